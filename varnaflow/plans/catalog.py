@@ -1,11 +1,368 @@
-"""All queries on the driver's tables, and SQL that gives the same rows."""
+"""All queries on the driver's tables, and SQL that gives the same rows. Every query runs over its whole tables and texts."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codemix, wer
+from ..functions.numbers import MULTIPLIER_VALUES, UNIT_VALUES, normalize_numbers, words_to_number
+from ..functions.text import normalize_text, tokenize, words
+from ..operators import errors, ingest, labels, lattice, spelling
+from ..streaming.cleanup import cleaned
+
+_WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LATIN, _DEVANAGARI = "abcdefghijklmnopqrstuvwxyz", "ािकगचेजतीटडदनपोबमंयरुलवसहॉ"
+#: Number words that may end a span: those whose last character is a letter.
+_NUMBERS = [(w, v) for w, v in UNIT_VALUES.items() if v and w[-1].isalpha()]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- text -------------------------------------------------------------------------------------------------------------
+
+
+def q_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", normalize_text(F.col("text")).alias("text"))
+
+
+def q_tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokenize(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_words"), F.array_join(t, "|").alias("words"))
+
+
+_PUNCT_SQL = r"""[।!?,;:()\[\]"''-]"""
+_NORM_SQL = lambda c: rf"regexp_replace(regexp_replace(regexp_replace({c}, '{_PUNCT_SQL}', ' ', 'g'), '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
+NORMALIZE_SQL = f"SELECT doc_id, {_NORM_SQL('text')} AS text FROM documents"
+TOKENS_SQL = f"""WITH t AS (SELECT doc_id, list_filter(string_split({_NORM_SQL('text')}, ' '), lambda w: w <> '') AS t FROM documents)
+SELECT doc_id, len(t) AS n_words, array_to_string(t, '|') AS words FROM t"""
+
+# --- ingestion --------------------------------------------------------------------------------------------------------
+
+
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as recordings: a turn is a segment that starts at its number and lasts a hundredth second a character."""
+    c = _table(spark, sf_dir, "conversations")
+    seg = F.struct(F.col("turn").cast("double").alias("start"), (F.col("turn") + F.length("text") / 100.0).alias("end"), F.col("text").alias("text"))
+    return c.groupBy(F.col("conv_id").alias("recording_id")).agg(F.array_sort(F.collect_list(seg)).alias("segments"))
+
+
+def q_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").withColumn("language", F.when(F.col("lang") == "en", "Hindi").when(F.col("lang") == "fr", "hi").otherwise(F.col("lang")))
+    return ingest.hindi_only(d).select("doc_id", "language")
+
+
+def q_url_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", ingest.url_rewritten(F.col("url"), "http://", "https://").alias("url"))
+
+
+def q_utterance_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.utterances(_recordings(spark, sf_dir)).select("recording_id", "start", F.round("duration", 6).alias("duration"), "text")
+
+
+def q_utterance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.filtered(ingest.utterances(_recordings(spark, sf_dir)), 1.0, 10.0).select("recording_id", "start", "text")
+
+
+def q_max_samples_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.capped(ingest.utterances(_recordings(spark, sf_dir)), "recording_id", 100).select("recording_id", "start")
+
+
+def q_train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.split(_table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"))
+
+
+_UTT = f"""utt AS (SELECT conv_id AS recording_id, turn::DOUBLE AS start, length(text) / 100.0::DOUBLE AS duration, {_NORM_SQL('text')} AS text FROM conversations WHERE {_NORM_SQL('text')} <> '')"""
+UTT_SQL = f"WITH {_UTT} SELECT recording_id, start, round((start + duration) - start, 6) AS duration, text FROM utt"
+UTT_FILTER_SQL = f"WITH {_UTT} SELECT recording_id, start, text FROM utt WHERE (start + duration) - start BETWEEN 1.0 AND 10.0"
+CAP_SQL = f"""WITH {_UTT}, n AS (SELECT recording_id, count(*) AS n FROM utt GROUP BY 1), b AS (SELECT recording_id, coalesce(sum(n) OVER (ORDER BY recording_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n)
+SELECT recording_id, start FROM utt WHERE recording_id IN (SELECT recording_id FROM b WHERE b < 100)"""
+SPLIT_SQL = """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) <= floor((SELECT count(*) FROM documents) * 0.9::DOUBLE) THEN 'train' ELSE 'validation' END AS split FROM documents"""
+
+# --- word error rates -------------------------------------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn as reference, the next turn as prediction; odd conversations in Devanagari letters."""
+    c = _table(spark, sf_dir, "conversations")
+    text = F.when(F.col("conv_id") % 2 == 1, F.translate(F.lower("text"), _LATIN, _DEVANAGARI)).otherwise(F.col("text"))
+    c = c.select("conv_id", "turn", text.alias("text"))
+    n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
+    return c.withColumnRenamed("text", "reference").join(n, ["conv_id", "turn"]).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir).select("id", "conv_id", tokenize(F.col("reference")).alias("r"), tokenize(F.col("prediction")).alias("h"))
+    return wer.with_word_edits(rows, "r", "h").select("id", "conv_id", "edits", F.size("r").cast("long").alias("ref_len"))
+
+
+def q_standard_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edits(spark, sf_dir)
+    return e.select("id", "edits", "ref_len", F.bround(F.col("edits") / F.greatest("ref_len", F.lit(1)), 6).alias("wer"))
+
+
+def q_corpus_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edits(spark, sf_dir).agg(F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_words"), F.bround(100 * F.sum("edits") / F.sum("ref_len"), 2).alias("wer"))
+
+
+def q_wer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd and even conversations as two models: rounded rates, their difference, and the relative gain if there is one."""
+    e = _edits(spark, sf_dir)
+    rate = lambda k: F.bround(100 * F.sum(F.when(F.col("conv_id") % 2 == k, F.col("edits"))) / F.sum(F.when(F.col("conv_id") % 2 == k, F.col("ref_len"))), 2)
+    two = e.agg(rate(0).alias("base"), rate(1).alias("tuned")).withColumn("delta", F.bround(F.col("base") - F.col("tuned"), 2))
+    return two.withColumn("relative", F.when(F.col("delta") > 0, F.bround(F.col("delta") / F.col("base") * 100, 1)))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir).select("id", wer.scoring_words(F.col("reference")).alias("r"), wer.scoring_words(F.col("prediction")).alias("h"), errors.classify_error(F.col("reference"), F.col("prediction")).alias("error_type"))
+    return wer.with_word_edits(rows, "r", "h").select("id", "edits", F.size("r").cast("long").alias("ref_len"), wer.utterance_wer(F.col("edits"), F.col("r")).alias("wer"), "error_type")
+
+
+def q_utterance_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("id", "edits", "ref_len", F.bround("wer", 6).alias("wer"))
+
+
+def q_classify_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("id", "error_type")
+
+
+def q_error_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).filter("wer > 0").groupBy(errors.stratum(F.col("wer")).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.systematic_sample(_scored(spark, sf_dir), "id").select("id", "stratum")
+
+
+def q_taxonomy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.taxonomy(_scored(spark, sf_dir).filter("wer > 0"), "id")
+
+
+_PAIR = f"""txt AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 THEN translate(lower(text), '{_LATIN}', '{_DEVANAGARI}') ELSE text END AS text FROM conversations),
+pair AS (SELECT a.conv_id, a.conv_id * 1000 + a.turn AS id, a.text AS reference, b.text AS prediction FROM txt a JOIN txt b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+def _dp(split: str) -> str:
+    """Row by row: the least of above + 1 and diagonal + cost, then a running minimum along the row."""
+    return f"""{_PAIR}, tok AS (SELECT id, conv_id, {split.format('reference')} AS r, {split.format('prediction')} AS h FROM pair),
+dp AS (
+  SELECT id, 0::BIGINT AS i, j, j AS v FROM (SELECT id, unnest(generate_series(0, len(h)))::BIGINT AS j FROM tok)
+  UNION ALL
+  SELECT id, i, j, min(t - j) OVER (PARTITION BY id ORDER BY j) + j FROM (
+    SELECT dp.id, dp.i + 1 AS i, dp.j, least(dp.v + 1, coalesce(lag(dp.v) OVER (PARTITION BY dp.id ORDER BY dp.j) + CASE WHEN tok.r[dp.i + 1] = tok.h[dp.j] THEN 0 ELSE 1 END, dp.v + 1)) AS t
+    FROM dp JOIN tok USING (id) WHERE dp.i < len(tok.r)
+  )
+), ed AS (SELECT tok.id, conv_id, dp.v AS edits, len(r) AS ref_len FROM tok JOIN dp ON tok.id = dp.id AND dp.i = len(r) AND dp.j = len(h))"""
+
+
+_TOK = f"list_filter(string_split({_NORM_SQL('{}')}, ' '), lambda w: w <> '')"
+_SCORE = f"list_filter(string_split(regexp_replace(regexp_replace(lower({{}}), '\\p{{{{P}}}}', '', 'g'), '^{_WS.replace('{', '{{').replace('}', '}}')}+|{_WS.replace('{', '{{').replace('}', '}}')}+$', '', 'g'), ' '), lambda w: w <> '')"
+_TOK = _TOK.replace("{", "{{").replace("}", "}}").replace("{{}}", "{}")
+_STD, _UTT_DP = "WITH RECURSIVE " + _dp(_TOK), "WITH RECURSIVE " + _dp(_SCORE)
+_CLASS = rf"""cls AS (
+  SELECT id, len(r) AS n0, greatest(len(r), 1) AS n, greatest(len(p), 1) AS m, list_max(list_transform(list_distinct(p), lambda w: len(list_filter(p, lambda x: x = w)))) AS most, latin
+  FROM (SELECT id, list_filter(regexp_split_to_array(reference, '{_WS}+'), lambda w: w <> '') AS r, list_filter(regexp_split_to_array(prediction, '{_WS}+'), lambda w: w <> '') AS p, regexp_matches(reference, '[A-Za-z]') OR regexp_matches(prediction, '[A-Za-z]') AS latin FROM pair)
+), typ AS (
+  SELECT id, CASE WHEN latin THEN 'CODE_MIX' WHEN n <= 2 THEN 'NOISE_DISFLUENCY' WHEN m / n < 0.5::DOUBLE THEN 'DELETION' WHEN m / n > 2.0::DOUBLE THEN 'INSERTION' WHEN m > 3 AND most > m * 0.4::DOUBLE THEN 'REPETITION' ELSE 'SUBSTITUTION_OOV' END AS error_type FROM cls
+)"""
+_WER = "utt_wer AS (SELECT *, CASE WHEN ref_len = 0 THEN 1.0::DOUBLE ELSE edits / ref_len END AS wer FROM ed)"
+_STRAT = "st AS (SELECT *, CASE WHEN wer <= 0.3::DOUBLE THEN 'low' WHEN wer <= 0.7::DOUBLE THEN 'mid' ELSE 'high' END AS stratum FROM utt_wer WHERE wer > 0)"
+STANDARD_SQL = _STD + " SELECT id, edits, ref_len, round_even(edits / greatest(ref_len, 1), 6) AS wer FROM ed"
+CORPUS_SQL = _STD + " SELECT sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_words, round_even(100 * sum(edits) / sum(ref_len), 2) AS wer FROM ed"
+COMPARE_SQL = _STD + """, r AS (SELECT round_even(100 * sum(edits) FILTER (conv_id % 2 = 0) / sum(ref_len) FILTER (conv_id % 2 = 0), 2) AS base, round_even(100 * sum(edits) FILTER (conv_id % 2 = 1) / sum(ref_len) FILTER (conv_id % 2 = 1), 2) AS tuned FROM ed), d AS (SELECT *, round_even(base - tuned, 2) AS delta FROM r)
+SELECT *, CASE WHEN delta > 0 THEN round_even(delta / base * 100, 1) END AS relative FROM d"""
+UTT_WER_SQL = _UTT_DP + f", {_WER} SELECT id, edits, ref_len, round_even(wer, 6) AS wer FROM utt_wer"
+CLASS_SQL = f"WITH {_PAIR}, {_CLASS} SELECT id, error_type FROM typ"
+STRATA_SQL = _UTT_DP + f", {_WER}, {_STRAT} SELECT stratum, count(*) AS n FROM st GROUP BY 1"
+SAMPLE_SQL = _UTT_DP + f""", {_WER}, {_STRAT}, k AS (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n, CASE stratum WHEN 'low' THEN 5 ELSE 10 END AS q FROM st)
+SELECT id, stratum FROM k WHERE k % greatest(1, n // q) = 0 AND k // greatest(1, n // q) < q"""
+TAXONOMY_SQL = _UTT_DP + f""", {_WER}, {_CLASS}, g AS (SELECT error_type, count(*) AS n, min(id) AS f FROM typ JOIN utt_wer USING (id) WHERE wer > 0 GROUP BY 1)
+SELECT error_type, n, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank, round_even(100 * n / sum(n) OVER (), 0) AS pct, CASE error_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in errors.TAXONOMY.items())} END AS description FROM g"""
+
+# --- numbers and code mix ---------------------------------------------------------------------------------------------
+
+
+def _number(spark_index, k: int = 0):
+    return F.element_at(F.array(*[F.lit(x[k]) for x in _NUMBERS]), (spark_index % len(_NUMBERS) + 1).cast("int"))
+
+
+def q_word_to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    tokens = F.array(_number(F.col("p_size")), F.lit("सौ"), _number(F.col("p_partkey")))
+    return p.select("p_partkey", words_to_number(tokens).cast("long").alias("number"))
+
+
+def q_normalize_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    text = F.concat(F.lit("वहाँ "), _number(F.col("p_size")), F.lit(" सौ  "), _number(F.col("p_partkey")), F.lit(" लोग थे"))
+    out = p.select("p_partkey", normalize_numbers(text).alias("n"))
+    return out.select("p_partkey", F.col("n.text").alias("text"), F.size("n.changes").cast("long").alias("n_changes"))
+
+
+def q_number_idiom_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    text = F.when(F.col("p_size") % 2 == 0, "दस-बीस लोग").otherwise(F.concat(_number(F.col("p_partkey")), F.lit(" लोग")))
+    out = p.select("p_partkey", normalize_numbers(text).alias("n"))
+    return out.select("p_partkey", F.col("n.text").alias("text"), F.size(F.filter("n.changes", lambda c: c.skipped)).cast("long").alias("n_skipped"))
+
+
+def q_english_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "documents").select("doc_id", codemix.tag_english_words(F.col("text")).alias("t"))
+    return t.select("doc_id", F.col("t.tagged").alias("tagged"), F.size("t.english_words").cast("long").alias("n_english"))
+
+
+def q_english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "documents").select(F.explode(codemix.tag_english_words(F.col("text")).english_words).alias("word"))
+    return t.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_cleanup_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("मुझे "), _number(F.col("p_partkey")), F.lit(" salary, "), F.col("p_name")).alias("text"))
+    return cleaned(p).select("p_partkey", "final", F.size("english_words").cast("long").alias("n_english"))
+
+
+def q_cleanup_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cleaned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    changed = (F.col("after_numbers") != F.col("text")) | (F.size("english_words") > 0)
+    return c.agg(F.count_if(changed).alias("changed"), F.count(F.lit(1)).alias("total"))
+
+
+_LIST = lambda k: "[" + ", ".join(f"'{x[k]}'" if k == 0 else str(x[k]) for x in _NUMBERS) + "]"
+_AT = lambda c, k: f"{_LIST(k)}[{c} % {len(_NUMBERS)} + 1]"
+NUMBER_SQL = f"SELECT p_partkey, CAST({_AT('p_size', 1)} * 100 + {_AT('p_partkey', 1)} AS BIGINT) AS number FROM part"
+NUMBERS_SQL = f"SELECT p_partkey, 'वहाँ ' || ({_AT('p_size', 1)} * 100 + {_AT('p_partkey', 1)}) || ' लोग थे' AS text, 1::BIGINT AS n_changes FROM part"
+IDIOM_SQL = f"SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'दस-बीस लोग' ELSE {_AT('p_partkey', 1)} || ' लोग' END AS text, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n_skipped FROM part"
+_EDGE1, _EDGE2, _EDGE3 = (x.replace("'", "''") for x in (codemix.CLASSIFIER_EDGE, codemix.TAGGER_EDGE, codemix.LISTED_EDGE))
+_BARE = lambda c, e: f"regexp_replace({c}, '^{e}+|{e}+$', '', 'g')"
+_ENGLISH = f"(regexp_matches({_BARE('t', _EDGE1)}, '^[A-Za-z][A-Za-z0-9''-]*$') AND lower({_BARE('t', _EDGE1)}) NOT IN ({', '.join(repr(w) for w in codemix.FALSE_POSITIVES)}))"
+_TOKENS = f"""tk AS (SELECT {{key}}, unnest(regexp_extract_all({{text}}, '{_WS.replace('{', '{{').replace('}', '}}')}+|[^{_WS[1:].replace('{', '{{').replace('}', '}}')}+')) AS t, generate_subscripts(regexp_extract_all({{text}}, '{_WS.replace('{', '{{').replace('}', '}}')}+|[^{_WS[1:].replace('{', '{{').replace('}', '}}')}+'), 1) AS i FROM {{source}})"""
+_TAGGED = f"CASE WHEN {_ENGLISH} THEN regexp_replace(t, '^({_EDGE2}*)(.*?)({_EDGE2}*)$', '\\1[EN]\\2[/EN]\\3') ELSE t END"
+TAG_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT doc_id, string_agg({_TAGGED}, '' ORDER BY i) AS tagged, count(*) FILTER ({_ENGLISH}) AS n_english FROM tk GROUP BY 1 UNION ALL SELECT doc_id, '', 0 FROM documents WHERE text = ''"
+WORDS_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT {_BARE('t', _EDGE3)} AS word, count(*) AS n FROM tk WHERE {_ENGLISH} GROUP BY 1"
+_SALARY = f"(SELECT p_partkey, 'मुझे ' || {_AT('p_partkey', 1)} || ' salary, ' || p_name AS text FROM part)"
+CLEANUP_SQL = f"WITH {_TOKENS.format(key='p_partkey', text='text', source=_SALARY)} SELECT p_partkey, string_agg({_TAGGED}, '' ORDER BY i) AS final, count(*) FILTER ({_ENGLISH}) AS n_english FROM tk GROUP BY 1"
+CHANGED_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT count(DISTINCT doc_id) FILTER ({_ENGLISH}) AS changed, (SELECT count(*) FROM documents) AS total FROM tk"
+
+# --- spelling ---------------------------------------------------------------------------------------------------------
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct Latin words of all documents in Devanagari letters, and as they are."""
+    d = _table(spark, sf_dir, "documents")
+    w = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("latin")).distinct()
+    return w.select("latin", F.translate("latin", _LATIN, _DEVANAGARI).alias("word"))
+
+
+def q_phonotactic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _words(spark, sf_dir)
+    both = w.select("latin", "word").union(w.select("latin", F.col("latin").alias("word")))
+    return both.groupBy(spelling.phonotactic_reason(F.col("word")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_loanword_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).filter(F.col("word").rlike(spelling.LOANWORDS)).select("word")
+
+
+def q_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.TrigramModel(_words(spark, sf_dir)).counts
+
+
+def q_ngram_context_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.TrigramModel(_words(spark, sf_dir)).contexts
+
+
+def q_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _words(spark, sf_dir)
+    return spelling.TrigramModel(w).score(w, "latin").select("latin", F.bround("lm_score", 6).alias("lm_score"))
+
+
+def q_spelling_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.classify(_words(spark, sf_dir), "latin").select("latin", "label", "confidence")
+
+
+def q_spelling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.stats(spelling.classify(_words(spark, sf_dir), "latin"))
+
+
+def q_spelling_signals_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.classify(_words(spark, sf_dir), "latin").select("latin", spelling.signals_json().alias("signals"))
+
+
+_W = f"w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS latin FROM documents), v AS (SELECT latin, translate(latin, '{_LATIN}', '{_DEVANAGARI}') AS word FROM w)"
+_PHON = "CASE WHEN word = '' THEN 'empty' WHEN NOT regexp_matches(word, '^[\\x{0900}-\\x{0963}\\x{0966}-\\x{096F}\\x{0970}-\\x{097F}]+$') THEN 'contains invalid characters' " + " ".join(f"WHEN contains(word, '{chr(int(c, 16)) * 2}') THEN 'invalid character combination: [\\u{c}][\\u{c}]'" for c in spelling.DOUBLED) + f" WHEN length(word) - length(replace(word, '{spelling.VIRAMA}', '')) > 3 AND length(word) < 8 THEN 'too many virama in short word' WHEN length(word) = 1 THEN 'single character (likely filler)' ELSE 'phonotactically valid' END"
+PHON_SQL = f"WITH {_W}, b AS (SELECT word FROM v UNION ALL SELECT latin FROM v) SELECT {_PHON} AS reason, count(*) AS n FROM b GROUP BY 1"
+LOAN_SQL = f"WITH {_W} SELECT word FROM v WHERE regexp_matches(word, '{spelling.LOANWORDS}')"
+
+
+def _lm(corpus: str) -> str:
+    return f"""{_W}, corpus AS ({corpus}), tri AS (SELECT array_to_string(p[i:i + 2], '') AS tri, count(*) AS c FROM (SELECT p, unnest(generate_series(1, len(p) - 2)) AS i FROM (SELECT regexp_extract_all('^^' || word || '$', '(?s).') AS p FROM corpus)) GROUP BY 1),
+ctx AS (SELECT array_to_string(regexp_extract_all(tri, '(?s).')[1:2], '') AS ctx, sum(c)::BIGINT AS x FROM tri GROUP BY 1), size AS (SELECT count(DISTINCT ch) AS v FROM (SELECT unnest(regexp_extract_all('^' || word || '$', '(?s).')) AS ch FROM corpus)),
+sc AS (SELECT latin, avg(ln((c + 1) / (x + v)::DOUBLE)) AS lm_score FROM (SELECT latin, array_to_string(p[i:i + 2], '') AS tri, array_to_string(p[i:i + 1], '') AS ctx FROM (SELECT latin, p, unnest(generate_series(1, len(p) - 2)) AS i FROM (SELECT latin, regexp_extract_all('^^' || word || '$', '(?s).') AS p FROM v))) JOIN tri USING (tri) JOIN ctx USING (ctx) CROSS JOIN size GROUP BY 1)"""
+
+
+_OWN = _lm("SELECT word FROM v")
+_ALL = _lm("SELECT word FROM v UNION ALL SELECT unnest([" + ", ".join(f"'{w}'" for w in spelling.DICTIONARY) + "])")
+COUNTS_SQL, CONTEXT_SQL, SCORE_SQL = f"WITH {_OWN} SELECT tri, c FROM tri", f"WITH {_OWN} SELECT ctx, x FROM ctx", f"WITH {_OWN} SELECT latin, round_even(lm_score, 6) AS lm_score FROM sc"
+_CLS = f"""{_ALL}, ph AS (SELECT latin, word, {_PHON} AS reason, CASE WHEN regexp_matches(word, '{spelling.LOANWORDS}') THEN 'loanword' WHEN {_PHON} NOT IN ('phonotactically valid', 'single character (likely filler)') THEN 'phonotactic' WHEN word IN ({', '.join(f"'{w}'" for w in spelling.DICTIONARY)}) THEN 'dictionary' ELSE 'model' END AS exit FROM v),
+cl AS (SELECT latin, CASE WHEN exit = 'phonotactic' OR exit = 'model' AND lm_score < -3.5::DOUBLE THEN 'incorrect_spelling' ELSE 'correct_spelling' END AS label, CASE WHEN exit <> 'model' OR lm_score >= -1.8::DOUBLE THEN 'high' WHEN lm_score >= -3.5::DOUBLE THEN 'medium' ELSE 'low' END AS confidence FROM ph JOIN sc USING (latin))"""
+CLASSIFY_SQL = f"WITH {_CLS} SELECT latin, label, confidence FROM cl"
+STATS_SQL = f"WITH {_CLS} SELECT count(*) AS total, count(*) FILTER (label = 'correct_spelling') AS correct, count(*) FILTER (label <> 'correct_spelling') AS wrong, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM cl"
+
+# --- lattices and label batches ---------------------------------------------------------------------------------------
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn is the reference; five models each replace, drop or double words by a rule of position."""
+    c = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("segment"), F.col("conv_id"), tokenize(F.col("text")).alias("reference")).filter(F.size("reference") > 0)
+
+    def model(m: int):
+        def word(w, i):
+            k = (F.col("conv_id") * 7 + i * 13 + m * 5) % 17
+            return F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(w, w)).when(k < 4, F.array(F.concat(w, F.lit("x")))).otherwise(F.array(w))
+
+        return F.struct(F.lit(f"m{m}").alias("model"), F.flatten(F.transform("reference", word)).alias("words"))
+
+    return c.withColumn("models", F.array(*[model(m) for m in range(5)]))
+
+
+def q_lattice_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(_segments(spark, sf_dir)).select("segment", "model", "standard_edits", "lattice_edits", "ref_len")
+
+
+def q_lattice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = lattice.scored(_segments(spark, sf_dir))
+    pct = lambda c: F.bround(100 * F.sum(c) / F.sum("ref_len"), 2)
+    return r.groupBy("model").agg(pct("standard_edits").alias("standard_wer_pct"), pct("lattice_edits").alias("lattice_wer_pct"), F.sum(F.size("overrides")).alias("n_overrides"))
+
+
+def q_label_pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(words(F.col("text")), lambda w: F.length(w)).alias("labels"))
+    p = labels.padded(c.withColumn("labels", F.concat(F.array(F.when(F.col("conv_id") % 2 == 0, 1).otherwise(2)), "labels")), "conv_id", "labels", 1)
+    return p.select("conv_id", "turn", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), F.array_join(F.transform(labels.unmasked(F.col("labels"), 0), lambda x: x.cast("string")), ",").alias("decoded"))
+
+
+PAD_SQL = rf"""WITH t AS (SELECT conv_id, turn, list_concat([CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 2 END], list_transform(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> ''), lambda w: length(w))) AS l FROM conversations),
+p AS (SELECT conv_id, turn, list_concat(l, list_transform(generate_series(1, max(len(l)) OVER (PARTITION BY conv_id) - len(l)), lambda i: -100)) AS l FROM t), b AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN l[2:] ELSE l END AS l FROM p)
+SELECT conv_id, turn, array_to_string(l, ',') AS labels, array_to_string(list_transform(l, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END), ',') AS decoded FROM b"""
+
+_SQL = {
+    "normalize_text": NORMALIZE_SQL, "tokenize_words": TOKENS_SQL, "url_rewrite": "SELECT page_id, replace(url, 'http://', 'https://') AS url FROM pages",
+    "language_filter": "SELECT doc_id, CASE lang WHEN 'en' THEN 'Hindi' ELSE 'hi' END AS language FROM documents WHERE lang IN ('en', 'fr')",
+    "utterance_build": UTT_SQL, "utterance_filter": UTT_FILTER_SQL, "max_samples_cap": CAP_SQL, "train_val_split": SPLIT_SQL,
+    "standard_wer": STANDARD_SQL, "corpus_wer": CORPUS_SQL, "wer_compare": COMPARE_SQL, "utterance_wer": UTT_WER_SQL, "classify_error": CLASS_SQL,
+    "error_strata": STRATA_SQL, "systematic_sample": SAMPLE_SQL, "taxonomy_rank": TAXONOMY_SQL,
+    "word_to_number": NUMBER_SQL, "normalize_numbers": NUMBERS_SQL, "number_idiom_skip": IDIOM_SQL,
+    "english_tagging": TAG_SQL, "english_words": WORDS_SQL, "cleanup_pipeline": CLEANUP_SQL, "cleanup_changed": CHANGED_SQL,
+    "phonotactic": PHON_SQL, "loanword_rule": LOAN_SQL, "ngram_counts": COUNTS_SQL, "ngram_context_counts": CONTEXT_SQL, "lm_score": SCORE_SQL,
+    "spelling_classify": CLASSIFY_SQL, "spelling_stats": STATS_SQL, "label_pad_mask": PAD_SQL,
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
