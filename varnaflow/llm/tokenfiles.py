@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .shared import shared_folder
 
-MAGIC, BLOCK, CACHED = b"VTOKENS1", 65536, 300_000
+MAGIC, BLOCK, CACHED = b"VTOKENS1", 65536, 1_000_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -147,6 +147,7 @@ class Reader:
 
 _ODD = re.compile(r" (?=\s|\Z)")
 _LED = re.compile(r"(?= \S)")
+_WORD = re.compile(r" ?\S+")
 
 
 class Encoder:
@@ -161,6 +162,7 @@ class Encoder:
         self.vocabulary = self.library.get_vocab_size()
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
+        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -174,13 +176,32 @@ class Encoder:
         try:
             return np.frombuffer(b"".join([words[p] for p in parts]), self.kind).astype(np.uint32)
         except KeyError:
-            if len(words) > CACHED:
-                words.clear()
-            new = [p for p in dict.fromkeys(parts) if p not in words]
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                words[p] = np.array(e.ids, self.kind).tobytes()
+            self.learn(parts)
             return np.frombuffer(b"".join([words[p] for p in parts]), self.kind).astype(np.uint32)
 
+    def learn(self, parts: list[str]) -> None:
+        """One call for all new words of a text: joined by line feeds, which no piece of a word holds, and cut there again."""
+        words = self.words
+        if len(words) > CACHED:
+            words.clear()
+        new = [p for p in set(parts) if p not in words]
+        lines = {p: two for p in new if "\n" in p and len(two := p.split("\n")) == 2 and all(map(_WORD.fullmatch, two))}
+        if lines:
+            new = [p for p in {x for p in new for x in lines.get(p, (p,))} if p not in words]
+        joined = list(filter(_WORD.fullmatch, new))
+        if joined:
+            ids = np.array(self.library.encode("\n".join(joined), add_special_tokens=False).ids, self.kind)
+            cuts = (np.flatnonzero(ids == self.feed) * ids.itemsize).tolist()
+            if len(cuts) == len(joined) - 1:
+                data, wide = ids.tobytes(), ids.itemsize
+                words.update(zip(joined, [data[x:y] for x, y in zip([0, *[c + wide for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
+        rest = [p for p in new if p not in words]
+        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            words[p] = np.array(e.ids, self.kind).tobytes()
+        feed = np.array([self.feed], self.kind).tobytes()
+        for p, (first, second) in lines.items():
+            words[p] = words[first] + feed + words[second]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
