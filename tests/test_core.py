@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from varnaflow.functions import codemix, wer
 from varnaflow.functions.numbers import MULTIPLIER_VALUES, UNIT_VALUES, normalize_numbers
 from varnaflow.functions.text import normalize_text
-from varnaflow.operators import errors, ingest, labels, lattice, spelling
+from varnaflow.operators import errors, ingest, labels, lattice, models, spelling
 from varnaflow.sources import files
 from varnaflow.streaming.cleanup import cleaned
 
@@ -91,6 +91,66 @@ def test_spelling(spark):
     assert got["अच्छा"][2] == "dictionary" and got[""][2] == "phonotactic" and got["hello"][0] == "incorrect_spelling" and got["क"][2] == "model"
 
 
+def test_low_confidence_review(spark):
+    w = rows(spark, [("abc", "low", "incorrect_spelling"), ("abcde", "low", "incorrect_spelling"), ("माँ", "low", "incorrect_spelling"), ("x", "high", "correct_spelling")], "word string, confidence string, label string")
+    assert tuple(spelling.review(spelling.low_confidence_sample(w)).first()) == (3, 1, 2, 1, 33.0)
+    assert spelling.review(w.limit(0)).first().accuracy is None and spelling.low_confidence_sample(w, n=2).count() == 2
+    got = rows(spark, [('{"lm_score": -2.5}',), ("{}",), ("no json",)], "s string").select(spelling.signal_score(F.col("s")).alias("x")).collect()
+    assert [r.x for r in got] == ["-2.5", "N/A", "N/A"]
+    assert spelling.failure_categories(spark).count() == 2
+
+
+def test_systematic_sample_against_slices(spark):
+    rnd = random.Random(8)
+    data = [(i, rnd.choice([0.0, 0.2, 0.5, 0.9])) for i in rnd.sample(range(10**6), 700)]
+    want = set()
+    for name, least, most, quota in (("low", 0, 0.3, 5), ("mid", 0.3, 0.7, 10), ("high", 0.7, 9, 10)):
+        ids = sorted(i for i, w in data if w > 0 and least < w <= most)
+        want |= {(i, name) for i in ids[:: max(1, len(ids) // quota)][:quota]}
+    got = errors.systematic_sample(rows(spark, data, "id long, wer double"), "id").collect()
+    assert {(r.id, r.stratum) for r in got} == want and len(got) == len(want)
+    assert errors.systematic_sample(rows(spark, [], "id long, wer double"), "id").count() == 0
+
+
+def test_error_examples(spark):
+    data = rows(spark, [(i, "DELETION" if i % 2 else "INSERTION") for i in range(20)], "id long, error_type string")
+    assert {r.id for r in errors.examples(data, "id").collect()} == set(range(10))
+    assert all(r.cause for r in errors.with_cause(data).collect())
+
+
+def test_alignment_against_opcodes(spark):
+    rnd = random.Random(9)
+    pairs = [(str(i), [rnd.choice("abc") for _ in range(9)], [rnd.choice("abc") for _ in range(rnd.randrange(9))]) for i in range(60)]
+    seg = rows(spark, [(s, r, [("m", h)]) for s, r, h in pairs], "segment string, reference array<string>, models array<struct<model:string,words:array<string>>>")
+    want = {(s, a0 + k, b0 + k) for s, r, h in pairs for tag, a0, a1, b0, _ in SequenceMatcher(None, r, h, autojunk=False).get_opcodes() if tag == "equal" for k in range(a1 - a0)}
+    assert {(r.segment, r.i, r.j) for r in lattice.matches(seg).collect()} == want
+    assert all(len(r.bins) == 9 for r in lattice.lattices(seg).collect())
+
+
+def test_model_hooks(spark):
+    audio = rows(spark, [("a", [0.5] * 70), ("b", None), ("c", [])], "id string, samples array<float>")
+    said = models.transcribed(audio, lambda: lambda chunks: [f" {len(c)}" for c in chunks], "id", "samples", rate=1, seconds=30)
+    assert {r.id: r.prediction for r in said.collect()} == {"a": "30  30  10", "b": "", "c": ""}
+    assert len(models.resampled(models.np.ones(8000), 8000)) == 16000 and not len(models.resampled(models.np.empty(0), 8000))
+    best = rows(spark, [(1, 3.0), (2, 1.5), (3, 1.5)], "step int, wer double").agg(models.best_checkpoint().alias("s")).first().s
+    assert best == 2
+    out = models.prepared(rows(spark, [("क ख",)], "text string"), lambda: lambda pdf: models.pd.DataFrame({"labels": [[len(t)] for t in pdf["text"]]}), "labels array<int>")
+    assert out.first().labels == [3]
+
+
+def test_files_round_trip(spark, tmp_path):
+    odd = [("1", ' a "b", \n c\r\n"', None), ("2", None, "x")]
+    files.write_csv(rows(spark, odd, "k string, t string, n string"), str(tmp_path / "csv"))
+    assert sorted(map(tuple, files.read_strings(spark, str(tmp_path / "csv")).collect())) == odd
+    p = rows(spark, [("big / one", "क", "ख", 12.5, 1)], "model string, prediction string, reference string, wer double, num_samples long")
+    files.write_predictions(p.select("model", "prediction", "reference"), str(tmp_path / "p"))
+    assert [d.name for d in (tmp_path / "p").glob("model=*")] == ["model=big_-_one"]
+    files.write_rates(p, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().wer == 12.5
+    (tmp_path / "u.json").write_text('[{"start": 1, "end": 2.5, "text": "क"}, {"start": 3}]', encoding="utf-8")
+    assert [(u.start, u.text) for u in files.read_utterances(spark, str(tmp_path / "u.json")).collect()] == [(1.0, "क"), (3.0, "")]
+
+
 def test_split_and_cap(spark):
     s = ingest.split(spark.range(103).withColumnRenamed("id", "k"), F.col("k")).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in s} == {"train": 92, "validation": 11}
@@ -114,3 +174,16 @@ def test_entry_without_optional_parts():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and re.match("corpus", "corpus_wer")
+
+
+def test_command_line(spark, tmp_path):
+    from varnaflow.__main__ import parser, run
+
+    run_ = lambda *a: run(spark, parser().parse_args(a))
+    assert run_("cleanup", "--text", "मुझे दस job").first().final == "मुझे 10 [EN]job[/EN]"
+    assert run_("spelling", "--text", "कंप्यूटर").first().signals == '{"devanagari_english": true}'
+    rows(spark, [("u/a", "क ख", "क ख", "क ग")], "segment_url_link string, Human string, m1 string, m2 string").transform(lambda d: files.write_csv(d, str(tmp_path / "w")) or d)
+    got = run_("lattice", "--input", str(tmp_path / "w"), "--models", "m1", "m2").collect()
+    assert {(r.segment, r.model, r.standard_edits, r.lattice_edits) for r in got} == {("a", "m1", 0, 0), ("a", "m2", 1, 0)}
+    rows(spark, [("abc", "incorrect_spelling", "low")], "word string, spelling_label string, confidence string").transform(lambda d: files.write_csv(d, str(tmp_path / "s")) or d)
+    assert run_("review", "--input", str(tmp_path / "s")).first().right == 1

@@ -31,10 +31,11 @@ def filtered(rows: DataFrame, least: float = 1.0, most: float = 30.0, least_word
 
 
 def capped(rows: DataFrame, recording: str, most: int | None) -> DataFrame:
-    """Whole recordings, in order, until ``most`` rows are reached: the last one is kept whole. The window sees one row a recording."""
+    """Whole recordings, in order, until ``most`` rows are reached: the last one is kept whole. At most ``most`` recordings can be among them, so no more reach the window."""
     if not most:
         return rows
     counts = rows.groupBy(recording).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.orderBy(recording).limit(most)
     before = F.coalesce(F.sum("_n").over(Window.orderBy(recording).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = counts.withColumn("_before", before).filter(F.col("_before") < most).select(recording)
     return rows.join(kept, recording, "left_semi")

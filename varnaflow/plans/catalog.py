@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions import codemix, wer
 from ..functions.numbers import MULTIPLIER_VALUES, UNIT_VALUES, normalize_numbers, words_to_number
 from ..functions.text import normalize_text, tokenize, words
 from ..operators import errors, ingest, labels, lattice, spelling
+from ..sources import files
 from ..streaming.cleanup import cleaned
 
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -66,6 +70,13 @@ def q_utterance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.filtered(ingest.utterances(_recordings(spark, sf_dir)), 1.0, 10.0).select("recording_id", "start", "text")
 
 
+def q_utterance_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many utterances the filter keeps and removes, in one pass."""
+    u = ingest.utterances(_recordings(spark, sf_dir))
+    kept = F.col("duration").between(1.0, 10.0)
+    return u.agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("removed"))
+
+
 def q_max_samples_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.capped(ingest.utterances(_recordings(spark, sf_dir)), "recording_id", 100).select("recording_id", "start")
 
@@ -77,6 +88,7 @@ def q_train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UTT = f"""utt AS (SELECT conv_id AS recording_id, turn::DOUBLE AS start, length(text) / 100.0::DOUBLE AS duration, {_NORM_SQL('text')} AS text FROM conversations WHERE {_NORM_SQL('text')} <> '')"""
 UTT_SQL = f"WITH {_UTT} SELECT recording_id, start, round((start + duration) - start, 6) AS duration, text FROM utt"
 UTT_FILTER_SQL = f"WITH {_UTT} SELECT recording_id, start, text FROM utt WHERE (start + duration) - start BETWEEN 1.0 AND 10.0"
+REMOVED_SQL = f"WITH {_UTT} SELECT count(*) FILTER ((start + duration) - start BETWEEN 1.0 AND 10.0) AS kept, count(*) FILTER (NOT (start + duration) - start BETWEEN 1.0 AND 10.0) AS removed FROM utt"
 CAP_SQL = f"""WITH {_UTT}, n AS (SELECT recording_id, count(*) AS n FROM utt GROUP BY 1), b AS (SELECT recording_id, coalesce(sum(n) OVER (ORDER BY recording_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n)
 SELECT recording_id, start FROM utt WHERE recording_id IN (SELECT recording_id FROM b WHERE b < 100)"""
 SPLIT_SQL = """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) <= floor((SELECT count(*) FROM documents) * 0.9::DOUBLE) THEN 'train' ELSE 'validation' END AS split FROM documents"""
@@ -140,6 +152,14 @@ def q_taxonomy_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.taxonomy(_scored(spark, sf_dir).filter("wer > 0"), "id")
 
 
+def q_taxonomy_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.with_cause(errors.taxonomy(_scored(spark, sf_dir).filter("wer > 0"), "id")).select("error_type", "rank", "cause")
+
+
+def q_taxonomy_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.examples(_scored(spark, sf_dir).filter("wer > 0"), "id").select("error_type", "rank", "id")
+
+
 _PAIR = f"""txt AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 THEN translate(lower(text), '{_LATIN}', '{_DEVANAGARI}') ELSE text END AS text FROM conversations),
 pair AS (SELECT a.conv_id, a.conv_id * 1000 + a.turn AS id, a.text AS reference, b.text AS prediction FROM txt a JOIN txt b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 
@@ -181,6 +201,11 @@ SELECT id, stratum FROM k WHERE k % greatest(1, n // q) = 0 AND k // greatest(1,
 TAXONOMY_SQL = _UTT_DP + f""", {_WER}, {_CLASS}, g AS (SELECT error_type, count(*) AS n, min(id) AS f FROM typ JOIN utt_wer USING (id) WHERE wer > 0 GROUP BY 1)
 SELECT error_type, n, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank, round_even(100 * n / sum(n) OVER (), 0) AS pct, CASE error_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in errors.TAXONOMY.items())} END AS description FROM g"""
 
+_ERR = _UTT_DP + f", {_WER}, {_CLASS}"
+CAUSES_SQL = _ERR + f""", g AS (SELECT error_type, count(*) AS n, min(id) AS f FROM typ JOIN utt_wer USING (id) WHERE wer > 0 GROUP BY 1)
+SELECT error_type, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank, CASE error_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in errors.CAUSES.items())} END AS cause FROM g"""
+EXAMPLES_SQL = _ERR + ", k AS (SELECT error_type, id, row_number() OVER (PARTITION BY error_type ORDER BY id) AS rank FROM typ JOIN utt_wer USING (id) WHERE wer > 0) SELECT error_type, CAST(rank AS INTEGER) AS rank, id FROM k WHERE rank <= 5"
+
 # --- numbers and code mix ---------------------------------------------------------------------------------------------
 
 
@@ -213,6 +238,11 @@ def q_english_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.col("t.tagged").alias("tagged"), F.size("t.english_words").cast("long").alias("n_english"))
 
 
+def q_english_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("token")).distinct()
+    return t.select("token", codemix.is_english_word(F.col("token")).alias("english"))
+
+
 def q_english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "documents").select(F.explode(codemix.tag_english_words(F.col("text")).english_words).alias("word"))
     return t.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -229,6 +259,13 @@ def q_cleanup_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count_if(changed).alias("changed"), F.count(F.lit(1)).alias("total"))
 
 
+def q_cleanup_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five texts that the cleanup changes."""
+    c = cleaned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    changed = (F.col("after_numbers") != F.col("text")) | (F.size("english_words") > 0)
+    return c.filter(changed).orderBy("doc_id").limit(5).select("doc_id", "final")
+
+
 _LIST = lambda k: "[" + ", ".join(f"'{x[k]}'" if k == 0 else str(x[k]) for x in _NUMBERS) + "]"
 _AT = lambda c, k: f"{_LIST(k)}[{c} % {len(_NUMBERS)} + 1]"
 NUMBER_SQL = f"SELECT p_partkey, CAST({_AT('p_size', 1)} * 100 + {_AT('p_partkey', 1)} AS BIGINT) AS number FROM part"
@@ -241,6 +278,8 @@ _TOKENS = f"""tk AS (SELECT {{key}}, unnest(regexp_extract_all({{text}}, '{_WS.r
 _TAGGED = f"CASE WHEN {_ENGLISH} THEN regexp_replace(t, '^({_EDGE2}*)(.*?)({_EDGE2}*)$', '\\1[EN]\\2[/EN]\\3') ELSE t END"
 TAG_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT doc_id, string_agg({_TAGGED}, '' ORDER BY i) AS tagged, count(*) FILTER ({_ENGLISH}) AS n_english FROM tk GROUP BY 1 UNION ALL SELECT doc_id, '', 0 FROM documents WHERE text = ''"
 WORDS_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT {_BARE('t', _EDGE3)} AS word, count(*) AS n FROM tk WHERE {_ENGLISH} GROUP BY 1"
+TOKEN_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT DISTINCT t AS token, {_ENGLISH} AS english FROM tk WHERE NOT regexp_matches(t, '^{_WS}')"
+SHOWN_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT doc_id, string_agg({_TAGGED}, '' ORDER BY i) AS final FROM tk GROUP BY 1 HAVING bool_or({_ENGLISH}) ORDER BY doc_id LIMIT 5"
 _SALARY = f"(SELECT p_partkey, 'मुझे ' || {_AT('p_partkey', 1)} || ' salary, ' || p_name AS text FROM part)"
 CLEANUP_SQL = f"WITH {_TOKENS.format(key='p_partkey', text='text', source=_SALARY)} SELECT p_partkey, string_agg({_TAGGED}, '' ORDER BY i) AS final, count(*) FILTER ({_ENGLISH}) AS n_english FROM tk GROUP BY 1"
 CHANGED_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT count(DISTINCT doc_id) FILTER ({_ENGLISH}) AS changed, (SELECT count(*) FROM documents) AS total FROM tk"
@@ -261,6 +300,13 @@ def q_phonotactic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(spelling.phonotactic_reason(F.col("word")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents in Devanagari letters, and the words of the list themselves."""
+    listed = spark.createDataFrame([(w,) for w in spelling.DICTIONARY], "word string")
+    c = _words(spark, sf_dir).select("word").union(listed).withColumn("c", spelling.dictionary_check(F.col("word")))
+    return c.groupBy(F.col("c.found").alias("found"), F.col("c.reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_loanword_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).filter(F.col("word").rlike(spelling.LOANWORDS)).select("word")
 
@@ -286,6 +332,18 @@ def q_spelling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.stats(spelling.classify(_words(spark, sf_dir), "latin"))
 
 
+def q_low_conf_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.low_confidence_sample(spelling.classify(_words(spark, sf_dir), "latin")).select("latin", "word")
+
+
+def q_low_conf_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.review(spelling.low_confidence_sample(spelling.classify(_words(spark, sf_dir), "latin")))
+
+
+def q_failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.failure_categories(spark).select("rank", "category", F.array_join("examples", ", ").alias("examples"))
+
+
 def q_spelling_signals_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.classify(_words(spark, sf_dir), "latin").select("latin", spelling.signals_json().alias("signals"))
 
@@ -310,6 +368,15 @@ cl AS (SELECT latin, CASE WHEN exit = 'phonotactic' OR exit = 'model' AND lm_sco
 CLASSIFY_SQL = f"WITH {_CLS} SELECT latin, label, confidence FROM cl"
 STATS_SQL = f"WITH {_CLS} SELECT count(*) AS total, count(*) FILTER (label = 'correct_spelling') AS correct, count(*) FILTER (label <> 'correct_spelling') AS wrong, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM cl"
 
+_IN_LIST = ", ".join(f"'{w}'" for w in spelling.DICTIONARY)
+LOOKUP_SQL = f"WITH {_W}, a AS (SELECT word FROM v UNION ALL SELECT unnest([{_IN_LIST}])) SELECT CASE WHEN word IN ({_IN_LIST}) THEN true END AS found, CASE WHEN word IN ({_IN_LIST}) THEN 'found in dictionary' ELSE 'not in dictionary' END AS reason, count(*) AS n FROM a GROUP BY 1, 2"
+_LOW = f"WITH {_CLS}, low AS (SELECT latin, word, label FROM cl JOIN v USING (latin) WHERE confidence = 'low' ORDER BY md5('42|' || word), word LIMIT 45)"
+LOW_SQL = _LOW + " SELECT latin, word FROM low"
+_VALID = f"(word IN ({', '.join(repr(w) for w in spelling.KNOWN_VALID)}) OR length(word) > 3)"
+REVIEW_SQL = _LOW + f""", r AS (SELECT *, (label = 'correct_spelling') = {_VALID} AS ok, {_VALID} AS valid FROM low)
+SELECT count(*) AS n, count(*) FILTER (ok) AS "right", count(*) FILTER (NOT ok) AS wrong, count(*) FILTER (ok AND NOT valid) AS misspelled, CASE WHEN count(*) > 0 THEN round_even(100 * count(*) FILTER (ok) / count(*), 0) END AS accuracy FROM r"""
+FAILURES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{', '.join(v)}')" for i, (k, v) in enumerate(spelling.FAILURES.items(), 1)) + ") AS t(rank, category, examples)"
+
 # --- lattices and label batches ---------------------------------------------------------------------------------------
 
 
@@ -320,13 +387,27 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     def model(m: int):
         def word(w, i):
             k = (F.col("conv_id") * 7 + i * 13 + m * 5) % 17
-            return F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(w, w)).when(k < 4, F.array(F.concat(w, F.lit("x")))).otherwise(F.array(w))
+            shared = (F.col("conv_id") + i * 3) % 11 == 0  # four models agree against the reference
+            return F.when(shared & F.lit(m < 4), F.array(F.concat(w, F.lit("y")))).when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(w, w)).when(k < 4, F.array(F.concat(w, F.lit("x")))).otherwise(F.array(w))
 
         return F.struct(F.lit(f"m{m}").alias("model"), F.flatten(F.transform("reference", word)).alias("words"))
 
     return c.withColumn("models", F.array(*[model(m) for m in range(5)]))
 
 
+def q_align_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.matches(_segments(spark, sf_dir))
+
+
+def q_lattice_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = lattice.lattices(_segments(spark, sf_dir)).select("segment", F.posexplode("bins").alias("position", "bin"))
+    return bins.select("segment", "position", F.array_join("bin", "|").alias("bin"))
+
+
+def q_trusted_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattices(_segments(spark, sf_dir)).select("segment", F.explode("overrides").alias("override"))
+
+
 def q_lattice_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scored(_segments(spark, sf_dir)).select("segment", "model", "standard_edits", "lattice_edits", "ref_len")
 
@@ -337,6 +418,52 @@ def q_lattice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("model").agg(pct("standard_edits").alias("standard_wer_pct"), pct("lattice_edits").alias("lattice_wer_pct"), F.sum(F.size("overrides")).alias("n_overrides"))
 
 
+def _lattice_sql() -> str:
+    """The longest matching block of an interval, then left and right of it; bins of what stands at each position."""
+    tokens = _TOK.format("text")
+    k = lambda m: f"((conv_id * 7 + (i - 1) * 13 + {m} * 5) % 17)"
+    made = lambda m: f"list_transform(r, lambda w, i: CASE WHEN {m} < 4 AND (conv_id + (i - 1) * 3) % 11 = 0 THEN [w || 'y'] WHEN {k(m)} = 0 THEN []::VARCHAR[] WHEN {k(m)} = 1 THEN [w, w] WHEN {k(m)} < 4 THEN [w || 'x'] ELSE [w] END)"
+    models = " UNION ALL ".join(f"SELECT segment, 'm{m}' AS model, r, flatten({made(m)}) AS h FROM ref" for m in range(5))
+    return f"""WITH RECURSIVE ref AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS segment, conv_id, {tokens} AS r FROM conversations WHERE len({tokens}) > 0),
+hyp AS ({models}),
+rw AS (SELECT segment, model, unnest(r) AS w, generate_subscripts(r, 1) - 1 AS i FROM hyp),
+hw AS (SELECT segment, model, unnest(h) AS w, generate_subscripts(h, 1) - 1 AS j FROM hyp),
+eq0 AS (SELECT segment, model, i, j, i - row_number() OVER (PARTITION BY segment, model, i - j ORDER BY i) AS island FROM rw JOIN hw USING (segment, model, w)),
+eq AS (SELECT segment, model, i, j, max(i) OVER (PARTITION BY segment, model, i - j, island) - i + 1 AS run FROM eq0),
+iv AS (
+  SELECT segment, model, 0::BIGINT AS alo, len(r)::BIGINT AS ahi, 0::BIGINT AS blo, len(h)::BIGINT AS bhi FROM hyp
+  UNION ALL
+  SELECT segment, model, CASE side WHEN 0 THEN alo ELSE b.i - b.nk END, CASE side WHEN 0 THEN b.i ELSE ahi END, CASE side WHEN 0 THEN blo ELSE b.j - b.nk END, CASE side WHEN 0 THEN b.j ELSE bhi END
+  FROM (
+    SELECT iv.segment, iv.model, alo, ahi, blo, bhi, min({{'nk': -least(run, ahi - i, bhi - j), 'i': i, 'j': j}}) AS b
+    FROM iv JOIN eq ON iv.segment = eq.segment AND iv.model = eq.model AND i >= alo AND i < ahi AND j >= blo AND j < bhi GROUP BY ALL
+  ), (VALUES (0), (1)) sides(side)
+),
+blocks AS (
+  SELECT iv.segment, iv.model, alo, ahi, blo, bhi, min({{'nk': -least(run, ahi - i, bhi - j), 'i': i, 'j': j}}) AS b
+  FROM iv JOIN eq ON iv.segment = eq.segment AND iv.model = eq.model AND i >= alo AND i < ahi AND j >= blo AND j < bhi GROUP BY ALL
+),
+same AS (SELECT segment, model, b.i + k AS i, b.j + k AS j FROM (SELECT segment, model, b, unnest(generate_series(0, -b.nk - 1)) AS k FROM blocks)),
+pos AS (
+  SELECT rw.segment, rw.model, rw.i, rw.w, same.j, coalesce(last_value(same.i IGNORE NULLS) OVER p, -1) AS before_i, coalesce(last_value(same.j IGNORE NULLS) OVER p, -1) AS before_j,
+    first_value(same.j IGNORE NULLS) OVER (PARTITION BY rw.segment, rw.model ORDER BY rw.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after_j
+  FROM rw LEFT JOIN same ON rw.segment = same.segment AND rw.model = same.model AND rw.i = same.i
+  WINDOW p AS (PARTITION BY rw.segment, rw.model ORDER BY rw.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+alt AS (
+  SELECT pos.segment, pos.model, i, pos.w, CASE WHEN j IS NOT NULL THEN pos.w WHEN before_j + 1 >= coalesce(after_j, len(h)) THEN '<DEL>' WHEN before_j + i - before_i < coalesce(after_j, len(h)) THEN h[before_j + i - before_i + 1] END AS a
+  FROM pos JOIN hyp USING (segment, model)
+),
+bins AS (SELECT segment, i AS position, list_sort(list_distinct(list_concat([w], coalesce(list(a) FILTER (a IS NOT NULL AND a <> '<DEL>'), []::VARCHAR[])))) AS bin FROM alt GROUP BY segment, i, w),
+over_ AS (SELECT segment, a || ' (' || count(*) || '/5 models agree)' AS override FROM alt WHERE a <> w GROUP BY segment, i, a HAVING count(*) >= 3)"""
+
+
+_LATTICE = _lattice_sql()
+MATCHES_SQL = _LATTICE + " SELECT segment, model, i, j FROM same"
+BINS_SQL = _LATTICE + " SELECT segment, position, array_to_string(bin, '|') AS bin FROM bins"
+OVERRIDES_SQL = _LATTICE + " SELECT segment, override FROM over_"
+
+
 def q_label_pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(words(F.col("text")), lambda w: F.length(w)).alias("labels"))
     p = labels.padded(c.withColumn("labels", F.concat(F.array(F.when(F.col("conv_id") % 2 == 0, 1).otherwise(2)), "labels")), "conv_id", "labels", 1)
@@ -347,6 +474,31 @@ PAD_SQL = rf"""WITH t AS (SELECT conv_id, turn, list_concat([CASE WHEN conv_id %
 p AS (SELECT conv_id, turn, list_concat(l, list_transform(generate_series(1, max(len(l)) OVER (PARTITION BY conv_id) - len(l)), lambda i: -100)) AS l FROM t), b AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN l[2:] ELSE l END AS l FROM p)
 SELECT conv_id, turn, array_to_string(l, ',') AS labels, array_to_string(list_transform(l, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END), ',') AS decoded FROM b"""
 
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='varnaflow-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def q_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written as JSON lines, read back and counted by value."""
+    path = _folder(spark)
+    files.write_json(_table(spark, sf_dir, "conversations").select(F.col("text").alias("prediction"), F.col("role").alias("reference")), path)
+    return files.read_predictions(spark, path).groupBy("prediction", "reference").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes and line ends written as CSV and read back as strings."""
+    path = _folder(spark)
+    files.write_csv(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path)
+    return files.read_strings(spark, path)
+
+
 _SQL = {
     "normalize_text": NORMALIZE_SQL, "tokenize_words": TOKENS_SQL, "url_rewrite": "SELECT page_id, replace(url, 'http://', 'https://') AS url FROM pages",
     "language_filter": "SELECT doc_id, CASE lang WHEN 'en' THEN 'Hindi' ELSE 'hi' END AS language FROM documents WHERE lang IN ('en', 'fr')",
@@ -356,6 +508,10 @@ _SQL = {
     "word_to_number": NUMBER_SQL, "normalize_numbers": NUMBERS_SQL, "number_idiom_skip": IDIOM_SQL,
     "english_tagging": TAG_SQL, "english_words": WORDS_SQL, "cleanup_pipeline": CLEANUP_SQL, "cleanup_changed": CHANGED_SQL,
     "phonotactic": PHON_SQL, "loanword_rule": LOAN_SQL, "ngram_counts": COUNTS_SQL, "ngram_context_counts": CONTEXT_SQL, "lm_score": SCORE_SQL,
+    "utterance_removed": REMOVED_SQL, "taxonomy_causes": CAUSES_SQL, "taxonomy_examples": EXAMPLES_SQL, "english_token": TOKEN_SQL, "cleanup_examples": SHOWN_SQL,
+    "dictionary_lookup": LOOKUP_SQL, "low_conf_sample": LOW_SQL, "low_conf_review": REVIEW_SQL, "failure_categories": FAILURES_SQL,
+    "align_matches": MATCHES_SQL, "lattice_bins": BINS_SQL, "trusted_overrides": OVERRIDES_SQL,
+    "jsonl_roundtrip": "SELECT text AS prediction, role AS reference, count(*) AS n FROM conversations GROUP BY 1, 2", "csv_roundtrip": "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text, nullif(source, '') AS source FROM documents",
     "spelling_classify": CLASSIFY_SQL, "spelling_stats": STATS_SQL, "label_pad_mask": PAD_SQL,
 }
 

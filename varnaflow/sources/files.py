@@ -33,7 +33,8 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False)
+    """All columns as strings; empty cells, quoted or not, are null."""
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
 
 
 def read_lattices(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +54,23 @@ def write_split(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.csv(path, header=True, escape='"')
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(rows: DataFrame, path: str, by: str | None = None) -> None:
     (rows.write.partitionBy(by) if by else rows.write).json(path)
+
+
+def read_utterances(spark: SparkSession, path: str) -> DataFrame:
+    """Utterances of JSON array files; a missing text is empty."""
+    return spark.read.schema(SEGMENTS).json(path, multiLine=True).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """JSON lines in a folder for each model; in its name blanks become '_' and slashes '-'."""
+    write_json(rows.withColumn("model", F.translate("model", " /", "_-")), path, "model")
+
+
+def write_rates(rows: DataFrame, path: str) -> None:
+    """JSON of (model, wer, num_samples)."""
+    write_json(rows.select("model", "wer", "num_samples").coalesce(1), path)  # one row a model
