@@ -1,13 +1,17 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from varnaflow.llm import boilerplate, chat, kdtree, media, mixing, ngram_join, pieces, tokenfiles, topk, toxicity
+from varnaflow.llm.shared import stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, c0 string, size int, _h string"  # clashing names too
 
@@ -217,3 +221,85 @@ def test_pipeline_stages_keep_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, d, "/root/testdata/sf0.001").columns == d.columns
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its predecessor's output, against plain Python."""
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    docs = []
+    for i in range(160):
+        lines = [" ".join(rnd.choice(words) for _ in range(12)) for _ in range(6)]
+        if i % 4 == 0:
+            lines[2] += " vile filthy scum"
+        docs.append((i, "\n".join(["menu home contact about", *lines]), "en", "ab"[i % 2], 0))
+    docs += [(200 + i, docs[4 * i + 1][1] + " end", "en", "a", 0) for i in range(20)]  # near copies
+    docs += [(300, docs[1][1], "en", "b", 0), (301, None, None, None, None), (302, "", "en", "a", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d[0], int("vile" in (d[1] or ""))) for d in docs[:160]], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES:
+        now = stored(stage(spark, now, str(tmp_path)), "out")
+        seen.append([r.asDict() for r in now.collect()])
+    toxic, lines, near, mix, ids = seen
+
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    fitted = toxicity.train(table, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert sorted(r["doc_id"] for r in toxic) == sorted(d[0] for d in docs if fitted.score(d[1]) < 0.5)
+    right = [d[0] for d in docs if (fitted.score(d[1]) >= 0.5) == ("vile" in (d[1] or ""))]
+    assert len(right) > 0.9 * len(docs)  # few labels, many words
+
+    pages, held = Counter(r["source"] for r in toxic), Counter()
+    for r in toxic:
+        held.update((r["source"], x) for x in set((r["text"] or "").split("\n")) if x.strip())
+    drop = {k for k, n in held.items() if pages[k[0]] >= boilerplate.MIN_PAGES and n > boilerplate.RATIO * pages[k[0]]}
+    want = {r["doc_id"]: r["text"] and "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in drop) for r in toxic}
+    assert {r["doc_id"]: r["text"] for r in lines} == want and ("a", "menu home contact about") in drop
+
+    order = sorted(lines, key=lambda r: r["doc_id"])
+    group = list(range(len(order)))
+    for i, j in sorted(brute_links([r["text"] for r in order])):
+        old, new = max(group[i], group[j]), min(group[i], group[j])
+        group = [new if g == old else g for g in group]
+    assert sorted(r["doc_id"] for r in near) == sorted({order[g]["doc_id"] for g in group}) and len(near) < len(lines)
+
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([{k: r[k] for k in ("doc_id", "text", "source")} for r in near]))
+    copies = {r[0]: r[5] for r in con.execute("SELECT doc_id, size, source_size, target, taken, copies FROM (" + mixing.OP7_SQL + ")").fetchall()}
+    assert Counter(r["doc_id"] for r in mix) == Counter({k: n for k, n in copies.items() if n})
+
+    model = pieces.load(pieces.vocabulary_path())
+    plain = {r["doc_id"]: r["text"] or "" for r in near}
+    assert sorted(r["doc_id"] for r in ids) == sorted(r["doc_id"] for r in mix)
+    for r in ids:
+        one = [k for s in model.segments(plain[r["doc_id"]]) for k in model.viterbi(s.encode())]
+        assert r["ids"] == one and r["round_trip"] and model.decode(np.array(r["ids"], int)) == plain[r["doc_id"]]
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in whole) == Counter((r["doc_id"], tuple(r["ids"])) for r in ids)
+
+
+def test_registered_queries_against_brute_force(spark):
+    """The queries without SQL, on all rows of a small table."""
+    from varnaflow.llm import registry
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    found = registry.queries()
+    got = found["op2_sentencepiece"](spark, d).collect()
+    model = pieces.load(pieces.vocabulary_path())
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.ids == [k for s in model.segments(docs[r.doc_id]) for k in model.viterbi(s.encode())] and r.round_trip
+    for r in found["op3_media_columns"](spark, d).collect():
+        b = docs[r.doc_id].encode()
+        p = b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (44 + len(p), hashlib.sha256(media.to_wav(p)).hexdigest())
+    got = found["op10_kd_shards"](spark, d).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items()}
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert sorted(sizes) == list(range(8)) and all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(8))
+    got = found["op6_toxicity"](spark, d).collect()
+    assert len(got) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
