@@ -81,6 +81,7 @@ def test_lattice_never_above_standard():
         hyps = [[rnd.choice("abcde") for _ in range(rnd.randrange(8))] for _ in range(3)]
         bins, _ = lattice.lattice(ref, hyps)
         assert all(lattice.edits(h, bins) <= lattice.edits(h, [{w} for w in ref]) for h in hyps)
+        assert lattice.all_edits(ref, bins, hyps).tolist() == [[lattice.edits(h, [{w} for w in ref]) for h in hyps], [lattice.edits(h, bins) for h in hyps]]
         assert SequenceMatcher(None, ref, ref, autojunk=False).ratio() == 1
 
 
