@@ -188,3 +188,41 @@ def test_command_line(spark, tmp_path):
     assert {(r.segment, r.model, r.standard_edits, r.lattice_edits) for r in got} == {("a", "m1", 0, 0), ("a", "m2", 1, 0)}
     rows(spark, [("abc", "incorrect_spelling", "low")], "word string, spelling_label string, confidence string").transform(lambda d: files.write_csv(d, str(tmp_path / "s")) or d)
     assert run_("review", "--input", str(tmp_path / "s")).first().right == 1
+
+
+def test_tagging_against_plain_rules(spark):
+    """Random tokens of letters, edge characters, marks and white space; the rules are spelled out in Python."""
+    rng = random.Random(3)
+    pieces = ["ok", "OK", "job", "a", "Z9", "it's", "x-y", "ji", "काम", "é", ".", ",", "।", "'", '"', "(", "]", "{", "}", "-", "9", " ", "  ", "\t", "\n", " ", "\x85"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    outer, edge, shown = ".,!?;:\"'()[]{}", ",।!?;:\"'()[]", ".,!?;:"
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", codemix.tag_english_words(F.col("text")).alias("t")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        tagged, listed = "", []
+        for token in re.split(r"(\s+)", r["text"]):
+            clean = token.strip(outer)
+            if re.fullmatch(r"[A-Za-z][A-Za-z0-9'-]*", clean) and clean.lower() not in codemix.FALSE_POSITIVES:
+                core = token.strip(edge)
+                at = len(token) - len(token.lstrip(edge))
+                listed.append(token.strip(shown))
+                token = token[:at] + "[EN]" + core + "[/EN]" + token[at + len(core) :]
+            tagged += token
+        assert (r["t"]["tagged"], r["t"]["english_words"]) == (tagged, listed), r["text"]
+
+
+def test_spread_keeps_rows_and_large_tables(spark):
+    rows = spark.range(1000).coalesce(1)
+    wide = files.spread(rows)
+    cores = spark.sparkContext.defaultParallelism
+    assert wide.rdd.getNumPartitions() == (cores if cores > 1 else 1) and wide.count() == 1000
+    many = spark.range(0, 1000, 1, 4 * cores)
+    assert files.spread(many).rdd.getNumPartitions() == 4 * cores
+
+
+def test_trigram_join_with_and_without_broadcast(spark, monkeypatch):
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(["काम", "कामना", "xyz", "क", "काम"])], "id long, word string")
+    scores = lambda: sorted((r["id"], round(r["lm_score"], 9)) for r in spelling.TrigramModel(words.limit(3)).score(words, "id").collect())
+    small = scores()
+    monkeypatch.setattr(spelling, "BROADCAST_ROWS", -1)
+    assert small == scores() and len(small) == 5

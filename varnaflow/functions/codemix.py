@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, interleaved
+from .text import WS
 
 #: Romanised Hindi that is no English.
 FALSE_POSITIVES = ("ji", "hai", "ho", "na", "nhi", "haan", "thik", "ok", "hmm", "ah")
@@ -13,6 +13,16 @@ FALSE_POSITIVES = ("ji", "hai", "ho", "na", "nhi", "haan", "thik", "ok", "hmm",
 CLASSIFIER_EDGE, TAGGER_EDGE, LISTED_EDGE = r"""[.,!?;:"'()\[\]{}]""", r"""[,।!?;:"'()\[\]]""", "[.,!?;:]"
 
 
+_NO_SPACE = f"[^{WS[1:]}"
+_BEGIN, _END = f"(?<![!-~])(?<!{_NO_SPACE})", f"(?![!-~])(?!{_NO_SPACE})"  # the short range first: it decides nearly all positions
+_EDGE = TAGGER_EDGE.replace("।", "")  # an English token has ASCII only
+#: A whole English token, in three groups: outer punctuation, the word, outer punctuation.
+TOKEN = (
+    f"{_BEGIN}(?={CLASSIFIER_EDGE}*+[A-Za-z][A-Za-z0-9'-]*+{CLASSIFIER_EDGE}*+{_END})(?!{CLASSIFIER_EDGE}*+(?i:{'|'.join(FALSE_POSITIVES)}){CLASSIFIER_EDGE}*+{_END})"
+    f"({_EDGE}*+)([!-~]*(?!{_EDGE})[!-~])({_EDGE}*+)"
+)
+
+
 def _bare(token: Column, edge: str) -> Column:
     return F.regexp_replace(token, f"^{edge}+|{edge}+$", "")
 
@@ -23,16 +33,6 @@ def is_english_word(token: Column) -> Column:
 
 
 def tag_english_words(text: Column) -> Column:
-    """struct(tagged, english_words): white space and outer punctuation stay as they are."""
-    tokens, spaces = interleaved(text, f"{WS}+")
-
-    def tagged(t: Column, space: Column) -> Column:
-        lead = F.regexp_extract(t, f"^{TAGGER_EDGE}*", 0)
-        rest = F.substring(t, F.length(lead) + 1, F.length(t))
-        trail = F.regexp_extract(rest, f"{TAGGER_EDGE}*$", 0)
-        core = F.substring(rest, F.lit(1), F.length(rest) - F.length(trail))
-        word = F.when(is_english_word(t), F.concat(lead, F.lit("[EN]"), core, F.lit("[/EN]"), trail)).otherwise(t)
-        return F.concat(word, F.coalesce(space, F.lit("")))
-
-    found = F.transform(F.filter(tokens, is_english_word), lambda t: _bare(t, LISTED_EDGE))
-    return F.struct(F.array_join(F.zip_with(tokens, spaces, tagged), "").alias("tagged"), found.alias("english_words"))
+    """struct(tagged, english_words): white space and outer punctuation stay as they are. One scan of the text tags, one lists the words."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: _bare(t, LISTED_EDGE))
+    return F.struct(F.regexp_replace(text, TOKEN, "$1[EN]$2[/EN]$3").alias("tagged"), found.alias("english_words"))

@@ -35,8 +35,10 @@ UNIT_VALUES, MULTIPLIER_VALUES = _pairs(UNITS), _pairs(MULTIPLIERS)
 def span_pattern(grapheme: bool = False) -> str:
     """Runs of number words. By default vowel signs are no word characters, so words that end in one match only inside a run; ``grapheme`` mends that."""
     edge = boundary(r"[\p{L}\p{N}\p{M}_]" if grapheme else WORD_CHAR)
-    word = "(?:" + "|".join(sorted([*UNIT_VALUES, *MULTIPLIER_VALUES], key=len, reverse=True)) + ")"
-    return f"{edge}{word}(?:{WS}+{word})*{edge}"
+    listed = sorted([*UNIT_VALUES, *MULTIPLIER_VALUES], key=len, reverse=True)
+    word = "(?:" + "|".join(listed) + ")"
+    first = "".join(sorted({w[0] for w in listed}))  # other positions are passed by at the cost of one look
+    return f"(?=[{first}]){edge}{word}(?:{WS}+{word})*{edge}"
 
 
 def words_to_number(tokens: Column) -> Column:

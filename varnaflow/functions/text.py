@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of Unicode, spelled out: the engines' own classes differ.
@@ -16,6 +16,11 @@ def boundary(chars: str = WORD_CHAR) -> str:
     return f"(?:(?<={chars})(?!{chars})|(?<!{chars})(?={chars}))"
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column by a generator of one row: later filters and expressions use its value, the optimizer can't put the expression into them."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +22,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, over all cores even if it is one small file."""
+    return files.spread(_table(spark, sf_dir, name).select(*columns))
+
+
 # --- text -------------------------------------------------------------------------------------------------------------
 
 
 def q_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", normalize_text(F.col("text")).alias("text"))
+    return _spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", normalize_text(F.col("text")).alias("text"))
 
 
 def q_tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokenize(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_words"), F.array_join(t, "|").alias("words"))
+    return _spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(t).cast("long").alias("n_words"), F.array_join(t, "|").alias("words"))
 
 
 _PUNCT_SQL = r"""[।!?,;:()\[\]"''-]"""
@@ -98,7 +100,7 @@ SPLIT_SQL = """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' ||
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn as reference, the next turn as prediction; odd conversations in Devanagari letters."""
-    c = _table(spark, sf_dir, "conversations")
+    c = _spread(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     text = F.when(F.col("conv_id") % 2 == 1, F.translate(F.lower("text"), _LATIN, _DEVANAGARI)).otherwise(F.col("text"))
     c = c.select("conv_id", "turn", text.alias("text"))
     n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
@@ -234,17 +236,17 @@ def q_number_idiom_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_english_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _table(spark, sf_dir, "documents").select("doc_id", codemix.tag_english_words(F.col("text")).alias("t"))
+    t = _spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", codemix.tag_english_words(F.col("text")).alias("t"))
     return t.select("doc_id", F.col("t.tagged").alias("tagged"), F.size("t.english_words").cast("long").alias("n_english"))
 
 
 def q_english_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("token")).distinct()
+    t = _spread(spark, sf_dir, "documents", "text").select(F.explode(words(F.col("text"))).alias("token")).distinct()
     return t.select("token", codemix.is_english_word(F.col("token")).alias("english"))
 
 
 def q_english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _table(spark, sf_dir, "documents").select(F.explode(codemix.tag_english_words(F.col("text")).english_words).alias("word"))
+    t = _spread(spark, sf_dir, "documents", "text").select(F.explode(codemix.tag_english_words(F.col("text")).english_words).alias("word"))
     return t.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -254,14 +256,14 @@ def q_cleanup_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cleanup_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cleaned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = cleaned(_spread(spark, sf_dir, "documents", "doc_id", "text"))
     changed = (F.col("after_numbers") != F.col("text")) | (F.size("english_words") > 0)
     return c.agg(F.count_if(changed).alias("changed"), F.count(F.lit(1)).alias("total"))
 
 
 def q_cleanup_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five texts that the cleanup changes."""
-    c = cleaned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = cleaned(_spread(spark, sf_dir, "documents", "doc_id", "text"))
     changed = (F.col("after_numbers") != F.col("text")) | (F.size("english_words") > 0)
     return c.filter(changed).orderBy("doc_id").limit(5).select("doc_id", "final")
 
@@ -289,7 +291,7 @@ CHANGED_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='document
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct Latin words of all documents in Devanagari letters, and as they are."""
-    d = _table(spark, sf_dir, "documents")
+    d = _spread(spark, sf_dir, "documents", "text")
     w = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("latin")).distinct()
     return w.select("latin", F.translate("latin", _LATIN, _DEVANAGARI).alias("word"))
 
@@ -382,7 +384,7 @@ FAILURES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{', '.join(v
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn is the reference; five models each replace, drop or double words by a rule of position."""
-    c = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("segment"), F.col("conv_id"), tokenize(F.col("text")).alias("reference")).filter(F.size("reference") > 0)
+    c = _spread(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("segment"), F.col("conv_id"), tokenize(F.col("text")).alias("reference")).filter(F.size("reference") > 0)
 
     def model(m: int):
         def word(w, i):
@@ -477,24 +479,16 @@ SELECT conv_id, turn, array_to_string(l, ',') AS labels, array_to_string(list_tr
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a local session may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='varnaflow-')).rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def q_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs written as JSON lines, read back and counted by value."""
-    path = _folder(spark)
+    path = files.shared_folder(spark, "files")
     files.write_json(_table(spark, sf_dir, "conversations").select(F.col("text").alias("prediction"), F.col("role").alias("reference")), path)
     return files.read_predictions(spark, path).groupBy("prediction", "reference").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with quotes and line ends written as CSV and read back as strings."""
-    path = _folder(spark)
+    path = files.shared_folder(spark, "files")
     files.write_csv(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path)
     return files.read_strings(spark, path)
 

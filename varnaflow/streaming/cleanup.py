@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.codemix import tag_english_words
 from ..functions.numbers import normalize_numbers
+from ..functions.text import once
 
 
 def cleaned(rows: DataFrame, text: str = "text", grapheme: bool = False) -> DataFrame:
     """Adds after_numbers, final, number_changes and english_words; works on batches and streams."""
-    rows = rows.withColumn("_n", normalize_numbers(F.col(text), grapheme)).withColumn("_t", tag_english_words(F.col("_n.text")))
+    rows = once(rows, "_n", normalize_numbers(F.col(text), grapheme)).withColumn("_t", tag_english_words(F.col("_n.text")))
     return rows.select(*[c for c in rows.columns if c not in ("_n", "_t")], F.col("_n.text").alias("after_numbers"), F.col("_t.tagged").alias("final"), F.col("_n.changes").alias("number_changes"), F.col("_t.english_words").alias("english_words"))
