@@ -3,7 +3,7 @@
 Features of a text: its words (lower case, outer punctuation off) and the beginnings of its words, each counted once, by
 hash. Labels are learned from a bounded sample of labelled rows (SAMPLE_ROWS, by a hash of the id, none of them held out).
 In each sentence of the sample that names a group (IDENTITY_TERMS), the term is exchanged for the next one of its list; the
-loss is the logistic loss, plus ``fairness`` times the mean squared change of the score under that exchange, plus a ridge. So
+loss is the logistic loss (toxic rows, the rarer kind, weigh EMPHASIS), plus ``fairness`` times the mean squared change of the score under that exchange, plus a ridge. So
 the score hangs on what is said, not on which group is named, and neutral mentions are not taken for attacks.
 
 Everything but the sample covers all rows: each whole text is scored. Neither lang, source nor doc_id enter a score. The
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-SAMPLE_ROWS, FEATURES, BUCKETS, LEAST_ROWS = 16_000, 4_000, 1 << 22, 5
-FAIRNESS, RIDGE, STEPS = 1.0, 2e-5, 400
+SAMPLE_ROWS, FEATURES, BUCKETS, LEAST_ROWS = 16_000, 4_000, 1 << 22, 2
+FAIRNESS, RIDGE, STEPS, EMPHASIS = 1.0, 2e-5, 400, 2.0
 STARTS = (4, 5, 6)
 #: Groups that may be named neutrally; the terms of a line are exchanged for each other.
 IDENTITY_TERMS = (
@@ -86,7 +86,7 @@ def exchanged(text: str) -> list[tuple[set[str], set[str]]]:
     return out
 
 
-def fit(examples: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], size: int, fairness: float = FAIRNESS, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def fit(examples: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], size: int, fairness: float = FAIRNESS, ridge: float = RIDGE, steps: int = STEPS, emphasis: float = EMPHASIS) -> tuple[np.ndarray, float]:
     """Weights and bias by full gradient steps (Adam)."""
     y = np.array([label for _, label in examples], np.float64)
     n = np.array([len(x) for x, _ in examples])
@@ -95,12 +95,14 @@ def fit(examples: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np
     p_row = np.concatenate([np.full(len(a) + len(b), k) for k, (a, b) in enumerate(pairs)]).astype(np.int64) if pairs else np.empty(0, np.int64)
     p_col = np.concatenate([np.concatenate(x) for x in pairs]).astype(np.int64) if pairs else np.empty(0, np.int64)
     p_sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in pairs]) if pairs else np.empty(0)
-    w, mean = np.zeros(size), y.mean()
+    share = np.where(y > 0, emphasis, 1.0)
+    share /= share.sum()
+    w, mean = np.zeros(size), float(share @ y)
     b = float(np.log(mean / (1 - mean)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, w[col], len(n)) + b
-        error = (1 / (1 + np.exp(-z)) - y) / len(n)
+        error = (1 / (1 + np.exp(-z)) - y) * share
         g = np.bincount(col, error[row], size) + ridge * w
         if len(pairs):
             change = np.bincount(p_row, p_sign * w[p_col], len(pairs))
