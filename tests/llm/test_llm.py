@@ -185,6 +185,13 @@ def test_line_dedup_on_odd_rows(spark):
     assert sorted(r.text for r in boilerplate.cleaned_rows(same).collect()) == sorted(f"own {i}\n" for i in range(30))
 
 
+def test_line_dedup_of_the_pipeline_takes_lines_on_a_few_per_cent(spark):
+    held = lambda i: [x for x, n in (("menu", 6), ("legal", 9), ("refrain", 4)) if i < n]
+    docs = spark.createDataFrame([(i, "\n".join([*held(i), f"own {i}"]), "s") for i in range(100)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: "\n".join([*["refrain"] * (i < 4), f"own {i}"]) for i in range(100)}
+
+
 def test_shards(spark):
     big = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"text {i % 700} " * (1 + i % 7), None) for i in range(6000)], "doc_id long, text string, x string")
     out = kdtree.sharded(big, shards=8).toPandas()
