@@ -19,7 +19,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source leave its documents; every document stays."""
-    return boilerplate.cleaned_rows(docs, ratio=boilerplate.SHARE)
+    return boilerplate.cleaned_rows(docs, ratio=boilerplate.SHARE, min_pages=1, least_held=boilerplate.LEAST_HELD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

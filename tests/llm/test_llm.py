@@ -192,6 +192,13 @@ def test_line_dedup_of_the_pipeline_takes_lines_on_a_few_per_cent(spark):
     assert got == {i: "\n".join([*["refrain"] * (i < 4), f"own {i}"]) for i in range(100)}
 
 
+def test_line_dedup_of_the_pipeline_in_small_hosts(spark):
+    hosts = {"a": 3, "b": 10, None: 19, "c": 2}
+    docs = spark.createDataFrame([(i, f"menu\nown {h} {i}" + "\ntwice" * (i < 2), h) for h, n in hosts.items() for i in range(n)], "doc_id long, text string, source string")
+    got = sorted((str(r.source), r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, "").collect())
+    assert got == sorted((str(h), i, "menu\n" * (h == "c") + f"own {h} {i}" + "\ntwice" * (i < 2)) for h, n in hosts.items() for i in range(n))
+
+
 def test_shards(spark):
     big = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"text {i % 700} " * (1 + i % 7), None) for i in range(6000)], "doc_id long, text string, x string")
     out = kdtree.sharded(big, shards=8).toPandas()

@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
 Pages are grouped by host. For each line: pages of the host that hold it, over all pages of the host. Lines above
-``ratio`` are boilerplate of that host and leave every page of it. Hosts with fewer than ``min_pages`` pages give no
-evidence and keep all lines.
+``ratio`` that stand on ``least_held`` pages or more are boilerplate of that host and leave every page of it. Hosts with
+fewer than ``min_pages`` pages keep all lines; with ``least_held`` that floor can be 1.
 
 A line travels as its 64-bit hash, so the texts are never shuffled: two different lines of one host take each other's
 count with a probability of about 1 in 10^19 a pair. A host has at most (mean distinct lines of a page / ratio) lines of
@@ -24,26 +24,28 @@ from .shared import stored
 RATIO, MIN_PAGES, BROADCAST_LINES = 0.1, 20, 200_000  # RATIO and MIN_PAGES: the query, as its SQL has them
 #: Share for whole cleaning (the pipeline): in sf0.1 shares by host leave a gap from 0.048 to 0.086 between content and boilerplate.
 SHARE = 0.05
+#: Pages of a host that hold a line of boilerplate, at least, whatever the host's size: the fewest that the query's rule asks for too (above 0.1 of 20).
+LEAST_HELD = 3
 
 
 def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, least_held: int = 1) -> DataFrame:
     """(host, line): the hash of each line of boilerplate."""
     pages = docs.select(docs[host_col].alias("host"), docs[text_col].alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     full = F.filter(_lines(F.col("text")), lambda x: F.length(F.trim(x)) > 0)
     lines = pages.select("host", F.explode(F.array_distinct(F.transform(full, lambda x: F.xxhash64(x)))).alias("line"))
     held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    above = held.alias("a").join(totals.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("n") > F.lit(ratio) * F.col("pages")) & (F.col("pages") >= min_pages))
+    above = held.alias("a").join(totals.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("n") > F.lit(ratio) * F.col("pages")) & (F.col("n") >= least_held) & (F.col("pages") >= min_pages))
     return above.select(F.col("a.host").alias("host"), "line")
 
 
-def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> tuple[DataFrame, list[str]]:
+def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, least_held: int = 1) -> tuple[DataFrame, list[str]]:
     """Every row with its columns as c0, c1, ..., the new text, n_lines and n_dropped; the names of its columns."""
-    found = stored(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
+    found = stored(boilerplate(docs, host_col, text_col, ratio, min_pages, least_held), "boilerplate")
     by_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_drop"))
     if found.count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)
