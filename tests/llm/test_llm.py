@@ -162,6 +162,25 @@ def test_counterfactual_penalty():
     assert abs(fair[a] - fair[b]) < 0.2 * abs(plain[a] - plain[b]) and fair[bad] > 1
 
 
+def test_training_evens_out_neutral_mentions_in_four_languages(spark):
+    said = {
+        ("muslims", "christians"): ("the {} are vile scum", "the {} met in town"), ("musulmans", "chrétiens"): ("les {} sont une ordure", "les {} vivent en ville"),
+        ("muslime", "christen"): ("die {} sind abschaum", "die {} wohnen hier"), ("musulmanes", "cristianos"): ("los {} son basura", "los {} viven aquí"),
+    }
+    rows = []
+    for (a, b), (bad, good) in said.items():
+        for i in range(60):
+            rows += [(len(rows), bad.format(a) + f" n{i}.", 1), (len(rows) + 1, good.format(b) + f" n{i}.", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    models = [toxicity.train(table, table, fairness=f) for f in (0.0, toxicity.FAIRNESS)]
+    for (a, b), (bad, good) in said.items():
+        plain, fair = (abs(m.score(good.format(a)) - m.score(good.format(b))) for m in models)
+        assert plain > 0.1 and fair < 0.5 * plain
+        assert models[1].score(bad.format(a)) > 0.5 and models[1].score(bad.format(b)) > 0.5
+    assert toxicity.exchanged("L'homme, là.") == [({"l'homme,", "là"}, {"femme", "là"})]
+    assert len(toxicity._NEXT) == sum(map(len, toxicity.IDENTITY_TERMS))
+
+
 def test_toxicity_without_labels(spark):
     m = toxicity.train(odd_docs(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.accepted(odd_docs(spark), m).columns == odd_docs(spark).columns and toxicity.accepted(odd_docs(spark), m).count() == 13

@@ -32,13 +32,31 @@ from .shared import stored
 SAMPLE_ROWS, FEATURES, BUCKETS, LEAST_ROWS = 16_000, 4_000, 1 << 22, 2
 FAIRNESS, RIDGE, STEPS, EMPHASIS = 1.0, 2e-5, 400, 2.0
 STARTS = (4, 5, 6)
-#: Groups that may be named neutrally; the terms of a line are exchanged for each other.
+#: Groups that may be named neutrally, in en, fr, de and es; the terms of a line are exchanged for each other. A word of two languages stands once.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("black", "white", "asian", "latino"), ("immigrants", "natives"), ("old", "young"), ("disabled", "deaf", "blind"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"), ("musulmane", "chrétienne", "juive", "hindoue"), ("chrétiennes", "juives", "hindoues"),
+    ("homosexuels", "hétérosexuels", "bisexuels", "transgenres"), ("homosexuel", "hétérosexuel", "bisexuel", "transgenre"),
+    ("lesbienne", "hétérosexuelle", "bisexuelle"), ("lesbiennes", "hétérosexuelles", "bisexuelles"), ("noirs", "blancs", "asiatiques", "arabes"),
+    ("noir", "blanc", "asiatique", "arabe"), ("noires", "blanches"), ("noire", "blanche"), ("immigrés", "autochtones"), ("immigré", "autochtone"),
+    ("vieux", "jeunes"), ("vieille", "jeune"), ("handicapés", "sourds", "aveugles"), ("handicapé", "sourd", "aveugle"), ("handicapée", "sourde"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"), ("muslime", "christen", "juden", "buddhisten", "atheisten"), ("muslimin", "christin", "jüdin"),
+    ("muslimische", "christliche", "jüdische", "hinduistische", "buddhistische", "atheistische"),
+    ("muslimischen", "christlichen", "jüdischen", "hinduistischen", "buddhistischen", "atheistischen"), ("schwule", "lesbische", "heterosexuelle"),
+    ("schwulen", "lesbischen", "heterosexuellen", "bisexuellen"), ("schwarze", "weiße", "asiatische"), ("schwarzen", "weißen", "asiatischen"),
+    ("einwanderer", "einheimische"), ("einwanderern", "einheimischen"), ("alte", "junge"), ("ältere", "jüngere"), ("älteren", "jüngeren"),
+    ("behinderte", "gehörlose", "blinde"), ("behinderten", "gehörlosen", "blinden"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("chicas", "chicos"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"), ("musulmana", "cristiana", "judía", "atea"), ("musulmanas", "cristianas", "judías", "ateas"),
+    ("homosexuales", "heterosexuales", "bisexuales"), ("homosexual", "heterosexual"), ("lesbianas", "gais"), ("negros", "blancos", "asiáticos", "latinos"),
+    ("negro", "blanco", "asiático"), ("negras", "blancas", "asiáticas", "latinas"), ("negra", "blanca", "asiática", "latina"), ("inmigrantes", "autóctonos"),
+    ("viejos", "jóvenes"), ("viejo", "joven"), ("discapacitados", "sordos", "ciegos"), ("discapacitado", "sordo", "ciego"), ("discapacitadas", "sordas", "ciegas"),
 )
 _NEXT = {t: line[(k + 1) % len(line)] for line in IDENTITY_TERMS for k, t in enumerate(line)}
+_ELIDED = re.compile(r"^(?:[dl]|qu)['’]")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -80,7 +98,7 @@ def exchanged(text: str) -> list[tuple[set[str], set[str]]]:
     out = []
     for sentence in _SENTENCE.findall(text.lower()):
         tokens = sentence.split()
-        other = [_NEXT.get(_OUTER.sub("", t), t) for t in tokens]
+        other = [_NEXT.get(_ELIDED.sub("", _OUTER.sub("", t)), t) for t in tokens]
         if other != tokens:
             out.append((set(tokens), set(other)))
     return out
