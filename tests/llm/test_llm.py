@@ -104,6 +104,67 @@ def test_sniffing():
     assert media.sniff(None, "x")["type"] == "x" and media.from_wav(wav).startswith(b"GIF89a")
 
 
+def pdf_section(before, linearised=False):
+    """A section with its table, startxref and end mark, written behind ``before``."""
+    head = b"" if before else b"%PDF-1.4\n"
+    body = head + (b"1 0 obj\n<< /Linearized 1 >>\nendobj\n" if linearised else b"1 0 obj\n<< >>\nendobj\n")
+    at = len(before) + len(body)
+    return body + b"xref\n0 1\n0000000000 65535 f \ntrailer\n<< >>\nstartxref\n%d\n%%%%EOF" % (0 if linearised else at)
+
+
+def media_samples():
+    import gzip
+    import io
+    import zipfile
+
+    def archive(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    box = lambda kind, data=b"": (8 + len(data)).to_bytes(4, "big") + kind + data
+    wide = b"\0\0\0\1mdat" + (16 + 40).to_bytes(8, "big") + b"x" * 40
+    one = pdf_section(b"")
+    two = one + b"\n" + pdf_section(one + b"\n")
+    first = pdf_section(b"", True)
+    table = first.index(b"xref\n")
+    halves = first + b"\n2 0 obj\n<< >>\nendobj\nxref\n0 0\ntrailer\n<< >>\nstartxref\n%d\n%%%%EOF" % table
+    stream = one + b"\n9 0 obj\n<< /Type /XRef >>\nstream\n\nendstream\nendobj\nstartxref\n%d\n%%%%EOF" % (len(one) + 1)
+    inner = archive(a=b"hello")
+    page = lambda flags, data: b"OggS\0" + bytes([flags]) + b"\0" * 20 + b"\1" + bytes([len(data)]) + data
+    return {
+        "pdf": ("application/pdf", one), "pdf saved twice": ("application/pdf", two), "pdf linearised": ("application/pdf", halves), "pdf stream": ("application/pdf", stream),
+        "zip": ("application/zip", archive(a=b"x", b=b"y")), "zip in zip": ("application/zip", archive(before=b"x", inner=inner, behind=b"y")),
+        "mp4": ("video/mp4", box(b"ftyp", b"isom") + box(b"moov", b"m" * 9) + box(b"mdat", b"d" * 5)), "mp4 64 bit": ("video/mp4", box(b"ftyp", b"isom") + wide + box(b"moov")),
+        "gif": ("image/gif", b"GIF89a\1\0\1\0\x80\0\0" + b"\0" * 6 + b"\x2c" + b"\0" * 4 + b"\1\0\1\0\0\2\2\x44\1\0\x3b"),
+        "jpeg": ("image/jpeg", b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\4cd12\xff\0\xff\xd034\xff\xd9"),
+        "bmp": ("image/bmp", b"BM" + (58).to_bytes(4, "little") + b"\0" * 4 + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + b"\0" * 40),
+        "gzip": ("application/gzip", gzip.compress(b"hello" * 99)), "ogg": ("audio/ogg", page(2, b"abc") + page(4, b"de")), "wav": ("audio/wav", media.to_wav(b"\x80" * 9)),
+        "webp": ("image/webp", b"RIFF\x0e\0\0\0WEBPVP8 \2\0\0\0ab"), "avi": ("video/avi", b"RIFF\x0e\0\0\0AVI LIST\2\0\0\0ab"),
+    }
+
+
+@pytest.mark.parametrize("name", list(media_samples()))
+def test_validators_give_the_exact_length(name):
+    kind, data = media_samples()[name]
+    whole = media.sniff(data + b"\n\0 more", "x")
+    assert (whole["type"], whole["length"]) == (kind, len(data))
+    assert media.sniff(b"?? " + data + b"\n" + data, "x")["embedded"] == [(kind, 3, len(data)), (kind, 4 + len(data), len(data))]
+    assert media.sniff(data[: len(data) // 3], "x")["type"] == "x"
+
+
+def test_zip_in_zip_and_open_box(monkeypatch):
+    outer, inner = media_samples()["zip in zip"][1], media_samples()["zip"][1]
+    assert [x[0] for x in media.sniff(outer)["embedded"]] == ["application/zip"] and len(inner) < len(outer)
+    box = b"\0\0\0\x0cftypisom" + b"\0\0\0\x08moov" + b"\0\0\0\0mdat" + b"d" * 77
+    assert media.sniff(box)["length"] == len(box)
+    monkeypatch.setattr("zipfile.ZIP_FILECOUNT_LIMIT", 0)  # the archive gets 64-bit records
+    long = media_samples()["zip"][1]
+    assert len(long) > len(inner) and media.sniff(long + b"more")["length"] == len(long)
+
+
 def test_media_columns(spark):
     for r in media.media_columns(odd_docs(spark)).collect():
         assert r.payload_bytes % 64 == 0 and r.payload_bytes >= max(64, r.n_bytes) and r.media_bytes == 44 + r.payload_bytes

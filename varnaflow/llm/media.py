@@ -1,7 +1,8 @@
 """Media columns: what bytes really are, and what media lies inside them.
 
 An Aho-Corasick automaton finds all magic byte strings in one pass. Where one stands, the validator of its format walks the
-structure (chunks, pages, boxes, checksums where there are any) and returns the exact length, or None. The format confirmed
+structure (chunks, pages, boxes, checksums where there are any) and returns the exact length, or None (a last MP4 box without
+a size ends with the bytes; of a PDF whose offsets are wrong the first section is taken). The format confirmed
 at the start of the bytes corrects a declared type; formats confirmed further in are carved as (type, offset, length),
 first come, none inside another.
 
@@ -12,6 +13,7 @@ payload of a text of up to 4 GB fits (the size field of WAV); repeated rows give
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -101,12 +103,27 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if ok else None
 
 
+_PDF_HEAD = re.compile(rb"%PDF-\d\.\d")
+_PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+_PDF_TABLE = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b(?:(?!stream).)*?/XRef\b", re.DOTALL)
+
+
 def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    whole = bytes(b[at:])
-    if len(whole) < 8 or not (whole[5:6].isdigit() and whole[6:7] == b"." and whole[7:8].isdigit()):
+    """To the end mark of the last section: a later one counts if its startxref lies on references written after the section before, or, in a linearised file, on those of the first section. Another PDF behind has offsets that don't fit."""
+    whole = b[at:]
+    if not _PDF_HEAD.match(whole):
         return None
-    end = whole.find(b"%%EOF")
-    return ("application/pdf", end + 5) if end > 0 and b"startxref" in whole[:end] else None
+    size, halves = 0, b"/Linearized" in bytes(whole[:1024])
+    for end in _PDF_END.finditer(whole):
+        start = int(end[1])
+        if not size:
+            size = end.end()
+        elif (start >= size or halves) and start < end.start() and _PDF_TABLE.match(whole, start, end.start()):
+            size, halves = end.end(), False
+    if not size:
+        end = re.search(rb"startxref.*?(%%EOF)", whole, re.DOTALL)
+        size = end.end() if end else 0
+    return ("application/pdf", size) if size else None
 
 
 def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
@@ -123,13 +140,22 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
 
 
 def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    whole = bytes(b[at:])
-    end = whole.find(b"PK\x05\x06")
-    if end < 30 or end + 22 > len(whole):
-        return None
-    size, start, note = struct.unpack_from("<IIH", whole, end + 12)
-    ok = start + size == end and whole[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(whole)
-    return ("application/zip", end + 22 + note) if ok else None
+    """To the end record that fits: its directory ends where the record begins, and the directory's offset is counted from here."""
+    whole = b[at:]
+    for found in re.finditer(rb"PK\x05\x06", whole):
+        end = found.start()
+        if end < 30 or end + 22 > len(whole):
+            continue
+        size, start, note = struct.unpack_from("<IIH", whole, end + 12)
+        last = end  # where the directory ends
+        if end >= 76 and whole[end - 20 : end - 16] == b"PK\x06\x07":  # 64-bit archives: a locator before the record, a longer record before that
+            far = struct.unpack_from("<Q", whole, end - 12)[0]
+            if far + 56 <= end - 20 and whole[far : far + 4] == b"PK\x06\x06":
+                size, start = struct.unpack_from("<QQ", whole, far + 40)
+                last = far
+        if start + size == last and whole[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(whole):
+            return "application/zip", end + 22 + note
+    return None
 
 
 def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
@@ -147,11 +173,18 @@ def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
+_LAST_BOX = {b"mdat", b"moov", b"moof", b"mfra", b"meta", b"free", b"skip", b"wide", b"uuid", b"udta", b"sidx", b"ssix", b"styp", b"pdin"}
+
+
 def _mp4(b: memoryview, at: int) -> tuple[str, int] | None:
     p, seen = at, set()
     while p + 8 <= len(b):
-        n, kind = struct.unpack_from(">I", b, p)[0], bytes(b[p + 4 : p + 8])
-        if n < 8 or p + n > len(b) or not kind.isalnum():
+        n, kind, least = struct.unpack_from(">I", b, p)[0], bytes(b[p + 4 : p + 8]), 8
+        if n == 1 and p + 16 <= len(b):  # a 64-bit size after the kind
+            n, least = struct.unpack_from(">Q", b, p + 8)[0], 16
+        elif n == 0 and seen and kind in _LAST_BOX:  # to the end of the bytes; zeros behind a file are no box
+            n = len(b) - p
+        if n < least or p + n > len(b) or not kind.isalnum():
             break
         p += n
         seen.add(kind)
