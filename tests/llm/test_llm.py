@@ -310,6 +310,18 @@ def test_token_files(spark, tmp_path):
         assert (tokenfiles.unpack(tokenfiles.pack(x, bits), 777, bits) == x).all()
 
 
+def test_added_tokens_as_the_library_gives_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), tokenfiles.Encoder(path)
+    (token,) = {t.content for t in library.get_added_tokens_decoder().values()}
+    for text in (token, f"one {token} two", f"one{token}two", f"a  {token}  b", f"a\n {token}\n{token} b", f"one {token[:-1]} two"):
+        assert own.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.ids(f"one {token} two").tolist().count(library.token_to_id(token)) == 1
+
+
 def test_pipeline_stages_keep_columns(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and len(corpus_pipeline.STAGES) == 5

@@ -12,7 +12,7 @@ Documents are dealt by ``repartitionByRange`` on the id and sorted, so the files
 order of the ids. Only one row a file (ids and documents in it) reaches the driver, to add up where each file starts.
 
 The tokenizer's pieces never cross from one blank-led word to the next, so each task keeps the ids of the words it has met
-(at most CACHED words) and gives the library only new ones.
+(at most CACHED words) and gives the library only new ones. A text that holds an added token goes to the library whole.
 
 Defined cases: a null text is empty and holds the end id alone; null doc_ids come first; equal doc_ids are ordered by text;
 an empty table gives an empty result; further columns are not used.
@@ -158,7 +158,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocabulary = self.library.get_vocab_size()
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
@@ -167,6 +167,8 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
+        if any(t in text for t in self.added):  # blanks before an added token are cut otherwise than before a word
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if _ODD.search(text):
             parts = _LED.split(text)
         else:
