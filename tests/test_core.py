@@ -2,6 +2,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 from varnaflow.functions import codemix, wer
 from varnaflow.functions.numbers import MULTIPLIER_VALUES, UNIT_VALUES, normalize_numbers
@@ -226,3 +227,18 @@ def test_trigram_join_with_and_without_broadcast(spark, monkeypatch):
     small = scores()
     monkeypatch.setattr(spelling, "BROADCAST_ROWS", -1)
     assert small == scores() and len(small) == 5
+
+
+def test_word_edits_of_more_words_than_one_unit_holds(spark, monkeypatch):
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    data = [(i, rnd.sample(words, 30), rnd.sample(words, 30)) for i in range(40)] + [(40, None, ["a"]), (41, [], [])]
+    edits = lambda some: {r.i: r.edits for r in wer.with_word_edits(rows(spark, some, "i int, r array<string>, h array<string>"), "r", "h").collect()}
+    want = edits(data)
+    monkeypatch.setattr(wer, "NARROW_WORDS", 10)
+    for first in (256, 0xD7F0, 0xF7F0, 0x10F7B0):  # codes as of the words after so many: across the surrogates, across 16 bits, up to the last
+        monkeypatch.setattr(wer, "FIRST", first)
+        assert edits(data) == want
+    monkeypatch.setattr(wer, "WIDE_WORDS", 20)
+    with pytest.raises(Exception, match="more distinct words"):
+        edits(data[:1])

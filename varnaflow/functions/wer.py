@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from .text import strip
 
 
+#: Distinct words of a pair that fit in one UTF-16 unit each, from 257 to before the surrogates; and in all of Unicode.
+FIRST = 256
+NARROW_WORDS, WIDE_WORDS = 0xD800 - FIRST - 1, 0x110000 - 0x800 - FIRST - 1
+
+
 def with_word_edits(rows: DataFrame, reference: str, hypothesis: str, edits: str = "edits") -> DataFrame:
-    """Adds the edit distance of two columns of word arrays. Each distinct word of the pair becomes a character (up to 55,000 of them), and the built-in distance does the rest.
+    """Adds the edit distance of two columns of word arrays. Each distinct word of the pair becomes a character, and the built-in distance does the rest.
 
+    Pairs of more than NARROW_WORDS distinct words get characters of all of Unicode but the surrogates; one of more than WIDE_WORDS (1.1 million) is an error, never a wrong count.
     The distinct words come out of a generator of one row: the optimizer can't put their expression into the lambda, where each word would compute it again.
     """
     known = rows.withColumn("_known", F.explode(F.array(F.array_distinct(F.concat(reference, hypothesis)))))
-    spelled = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.lit(256) + F.array_position("_known", w)), 4, "0")), "")), "UTF-16BE")
-    return known.withColumn(edits, F.levenshtein(spelled(reference), spelled(hypothesis)).cast("long")).drop("_known")
+    place = lambda w: F.lit(FIRST) + F.array_position("_known", w)
+    skipped = lambda k: k + F.when(k >= 0xD800, F.lit(0x800)).otherwise(F.lit(0))
+    narrow = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(place(w)), 4, "0")), "")), "UTF-16BE")
+    wide = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(skipped(place(w))), 8, "0")), "")), "UTF-32")
+    n = F.coalesce(F.size("_known"), F.lit(0))
+    too_many = F.raise_error(F.lit("more distinct words in a pair than characters")).cast("int")
+    distance = F.when(n <= NARROW_WORDS, F.levenshtein(narrow(reference), narrow(hypothesis))).when(n <= WIDE_WORDS, F.levenshtein(wide(reference), wide(hypothesis))).otherwise(too_many)
+    return known.withColumn(edits, distance.cast("long")).drop("_known")
 
 
 def standard_wer(edits: Column, reference: Column) -> Column:
