@@ -288,6 +288,15 @@ def test_shards(spark):
     assert kdtree.sharded(odd_docs(spark), shards=8).count() == 13 and kdtree.sharded(odd_docs(spark).limit(0), shards=8).count() == 0
 
 
+def token_rows(docs, ids_of):
+    """What the files must give, for rows in any order: (doc_id, n_tokens, crc32)."""
+    out = []
+    for r in docs:
+        ids = [*ids_of(r.text or ""), 0]
+        out.append((r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    return Counter(out)
+
+
 def test_token_files(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -300,16 +309,49 @@ def test_token_files(spark, tmp_path):
     for r in got:
         assert r.start == at
         at += r.n_tokens
-    texts = {r.doc_id: r.text or "" for r in d.collect() if r.doc_id is not None}
-    for r in got:
-        if r.doc_id is not None:
-            ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
-            assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == token_rows(d.collect(), lambda t: library.encode(t, add_special_tokens=False).ids)
+    assert tokenfiles.read(spark, tokenfiles.write(d.limit(0), path, str(tmp_path / "none"))).count() == 0
     for bits in (1, 7, 16, 17):
         x = np.random.default_rng(bits).integers(0, 1 << bits, 777).astype(np.uint32)
         assert (tokenfiles.unpack(tokenfiles.pack(x, bits), 777, bits) == x).all()
 
 
+def test_token_query_on_a_hot_id(spark, tmp_path):
+    """The registered query on a table where a third of the rows has no id, and on an empty one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(5)
+    rows = [(None if i % 3 == 0 else i // 2, rnd.choice([None, "", "same text", f"text {i}.\nline {i % 7}  two"])) for i in range(900)]
+    for name, part in (("some", rows), ("none", [])):
+        spark.createDataFrame(part, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = tokenfiles.op9_token_files(spark, f"{tmp_path}/some").collect()
+    in_order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in in_order] == np.cumsum([0, *[r.n_tokens for r in in_order]])[:-1].tolist()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in in_order]
+    assert ids == sorted(ids)
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == token_rows(docs, lambda t: library.encode(t, add_special_tokens=False).ids)
+    assert tokenfiles.op9_token_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_batches_of_odd_white_space_as_the_library_gives_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own, rnd = Tokenizer.from_file(path), tokenfiles.Encoder(path), random.Random(8)
+    calm = ["a", "th ", "ing", " x", " y", "\nz", "é", "the ", "word ", "'s", "12 "]
+    wild = [*calm, "  ", "\n\n", "漢", "😀", ".", "\t", "\xa0", "\x1c", "\x85", "\u3000", "\u200b", "<|endoftext|>", "\r\n"]
+    texts = ["".join(rnd.choice(wild if k % 2 else calm) for _ in range(rnd.randrange(12))) for k in range(3000)] + [None, "", "x" * 500]
+    for a in range(0, len(texts), 41):
+        ids, lengths = own.batch(texts[a : a + 41], 0)
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts[a : a + 41]]
+        assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [k for x in want for k in x]
+    assert max(map(len, own.words)) <= tokenfiles.CACHED_CHARS
+
+
 def test_added_tokens_as_the_library_gives_them():
     import public_tokenizers
     from tokenizers import Tokenizer
