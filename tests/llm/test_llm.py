@@ -179,7 +179,7 @@ def test_top_k_against_brute_force(spark):
     vectors[100:130] = vectors[7]
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(2000, None), (2001, [float("nan")] * 16), (2002, [1.0, None]), (None, [1.0] * 16), (2003, [0.5]), (2004, [])]
     t = topk.usable(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
-    got = topk.top_k(t, t.filter("id % 100 = 0"), 10, block=300, query_block=4).collect()
+    got = topk.top_k(t, t.filter("id % 100 = 0"), 10, block=300, chunk=4).collect()
     ids = [*range(900), 2003, 2004]
     whole = np.zeros((902, 16), np.int64)
     whole[:900], whole[900, 0] = np.floor(1024 * vectors), 512
@@ -189,12 +189,36 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(t.limit(0), t.limit(0)).count() == 0
 
 
+def test_every_query_row_is_answered(spark, tmp_path):
+    """Repeated ids: against the SQL of the query, as multisets."""
+    rng = random.Random(3)
+    rows = [(i // 2 if i < 60 else 0 if i < 90 else i, [rng.choice([-1.5, 0.25, 1.0, 2.0]) for _ in range(4)]) for i in range(400)] + [(None, [1.0] * 4), (100, None), (200, [float("inf")] * 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = topk.op4_exact_topk(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({topk.OP4_SQL})").fetchall()
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == Counter(want)
+    assert sum(r.query_id == 0 and r["rank"] == 1 for r in got) == sum(r[0] == 0 for r in rows) > 30
+
+
+def test_index_file_keeps_the_index():
+    rng = np.random.default_rng(6)
+    for vectors in (rng.integers(-99, 99, (500, 6)), np.array([[1 << 70, -3], [5, 1 << 65]] * 30, object)):
+        index = topk.ImpactIndex(np.arange(len(vectors)), vectors)
+        again = topk.ImpactIndex.from_bytes(index.to_bytes())
+        for query in vectors[:5]:
+            assert index.search(query, 7, 3) == again.search(query, 7, 3)
+            best = index.search(query, 7, 3)
+            assert again.search(query, 7, 3, best[4][0])[:5] == best[:5]
+
+
 def test_impact_index_stops_on_proof():
     rng = np.random.default_rng(5)
     vectors = rng.integers(-5, 5, (20000, 8))
     vectors[:20] += 200
     index = topk.ImpactIndex(np.arange(20000), vectors)
-    assert {i for _, i in index.search(np.full(8, 3), 10)} <= set(range(20))
+    assert {i for _, i, _ in index.search(np.full(8, 3), 10)} <= set(range(20))
     assert index.stats["rescored"] < 2000
 
 

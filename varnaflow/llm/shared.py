@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -32,6 +33,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/varnaflow-{uuid.uuid4().hex}"
 
 
+def open_uri(uri: str):
+    """The file system and the path there of a file in the shared folder, for Python workers."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Writes a file under a name of the attempt and renames it, so a task run again replaces its file by an equal one."""
+    from pyspark import TaskContext
+
+    fs, path = open_uri(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    part = f"{path}.{TaskContext.get().taskAttemptId()}.part"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, path)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}"

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import open_uri, shared_folder
 
 MAGIC, BLOCK = b"VTOKENS1", 65536
 #: Words kept by a task: bytes in all (OVERHEAD for the objects of each), and the longest kept. Words a call of the library. Bytes of text encoded at once.
@@ -64,17 +64,11 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return np.packbits(whole, axis=1).view(">u4").ravel().astype(np.uint32)
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
-
-
 class Writer:
     """Documents one after the other; ``close`` puts the file in its place."""
 
     def __init__(self, uri: str, bits: int, attempt: int = 0):
-        self.fs, self.path = _open(uri)
+        self.fs, self.path = open_uri(uri)
         self.part, self.bits = f"{self.path}.{attempt}{PART}", bits
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.out = self.fs.open_output_stream(self.part)
@@ -120,7 +114,7 @@ class Reader:
     """Random access to a file: only its footer and the blocks asked for are read."""
 
     def __init__(self, uri: str):
-        fs, path = _open(uri)
+        fs, path = open_uri(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         tail = self.file.read_at(16, size - 16)
@@ -316,7 +310,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
     if found:
         from pyarrow.fs import FileSelector
 
-        fs, path = _open(folder)
+        fs, path = open_uri(folder)
         for left in fs.get_file_info(FileSelector(path)):  # of attempts that were lost
             if left.path.endswith(PART):
                 fs.delete_file(left.path)
