@@ -266,6 +266,65 @@ def test_training_evens_out_neutral_mentions_in_four_languages(spark):
     assert len(toxicity._NEXT) == sum(map(len, toxicity.IDENTITY_TERMS))
 
 
+def test_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    """Groups named in toxic rows only: neutral mentions of them are flagged without the penalty and not with it."""
+    rnd, rows = random.Random(7), []
+    calm = ["met", "walked", "sang", "cooked", "danced", "spoke", "worked", "read"]
+    for i in range(400):
+        rows.append((len(rows), f"the muslims {rnd.choice(calm)} vile{rnd.randrange(99):02} n{i}.", 1))
+        rows += [(len(rows) + k, f"the {rnd.choice(['christians', 'people', 'town'])} {rnd.choice(calm)} {rnd.choice(calm)} m{i}.", 0) for k in range(2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = [f"the muslims {a} {b}" for a in calm for b in calm]
+    flagged = {}
+    for fairness in (0.0, 1.0):
+        model = toxicity.train(table, table, fairness=fairness)
+        flagged[fairness] = sum(model.score(t) >= 0.5 for t in neutral)
+        assert model.score("the muslims are vile07") > 0.5 and model.score("they are vile07") > 0.5 * fairness
+    assert flagged[1.0] == 0 and flagged[0.0] > len(neutral) // 2
+
+
+def test_penalty_has_pairs_in_the_given_tables_and_scores_follow_the_weights(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    learned = [r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert model.put_in >= 1.9 * len(set(learned))  # two for each labelled text that has a sentence
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.scored(docs, model).collect():
+        found = set()
+        for token in texts[r.doc_id].lower().split():
+            while token and (token[0] == "_" or not token[0].isalnum()):
+                token = token[1:]
+            while token and (token[-1] == "_" or not token[-1].isalnum()):
+                token = token[:-1]
+            if token:
+                found |= {zlib.crc32(token.encode()) % toxicity.BUCKETS} | {zlib.crc32(b"^" + token[:k].encode()) % toxicity.BUCKETS for k in (4, 5, 6) if len(token) > k}
+        z = model.bias + sum(model.weights.get(k, 0.0) for k in found)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_constants_are_the_best_on_a_training_fold(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    found = toxicity.selection(docs, labels, [(1.0, 2), (1.0, 5), (2.0, 2), (2.0, 5)])
+    assert found[toxicity.EMPHASIS, toxicity.LEAST_ROWS] == max(found.values()), found
+    with pytest.raises(ValueError):
+        toxicity.selection(docs, labels, [], fold=0)
+
+
+def test_toxicity_on_odd_labels(spark):
+    """Null, repeated and contradicting labels, labels of one kind, an empty table, one very long text."""
+    docs = spark.createDataFrame([(i, f"{'vile scum' if i % 4 == 0 else 'calm sea'} n{i}", "x") for i in range(200)] + [(None, "vile scum", "x"), (500, None, "x"), (501, "vile" * 300_000, "x")], "doc_id long, text string, c0 string")
+    labels = [(i, int(i % 4 == 0)) for i in range(200)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    base = toxicity.train(docs, table(labels))
+    odd = toxicity.train(docs, table([*labels, *labels, (None, 1), (5, None), (9999, 1), (4, 0)]))
+    assert base.weights == odd.weights and base.bias == odd.bias and base.score("vile scum") > 0.5 > base.score("calm sea") > 0 and 0 < base.score(None) < 1
+    assert {r.predicted for r in toxicity.scored(docs, toxicity.train(docs, table([(i, 1) for i in range(9)]))).collect()} == {1}
+    assert {r.predicted for r in toxicity.scored(docs, toxicity.train(docs, table([(i, 0) for i in range(9)]))).collect()} == {0}
+    assert toxicity.scored(docs.limit(0), base).count() == 0 and toxicity.scored(docs, base).count() == 203
+
+
 def test_toxicity_without_labels(spark):
     m = toxicity.train(odd_docs(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.accepted(odd_docs(spark), m).columns == odd_docs(spark).columns and toxicity.accepted(odd_docs(spark), m).count() == 13
