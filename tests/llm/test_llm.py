@@ -371,6 +371,61 @@ def test_shards(spark):
     assert kdtree.sharded(odd_docs(spark), shards=8).count() == 13 and kdtree.sharded(odd_docs(spark).limit(0), shards=8).count() == 0
 
 
+def test_shards_keep_groups_whole_within_the_tolerance(spark):
+    """Groups of up to 4 % of a shard stay whole; one of a third of all rows, without ids, is cut and the rest is not."""
+    rows = [(i, f"group {i % 400} " + "x" * 50 * (i % 400 // 40)) for i in range(4000)]
+    for extra in ([], [(None, "the hot text " * 9)] * 2000):
+        out = kdtree.sharded(spark.createDataFrame(rows + extra, "doc_id long, text string"), shards=8).toPandas()
+        sizes = out.groupby("shard")["size"].sum()
+        assert len(out) == len(rows) + len(extra) and len(sizes) == 8 and (abs(sizes / sizes.mean() - 1) < kdtree.TOLERANCE + 0.01).all()
+        cut = out.groupby("text_crc32")["shard"].nunique()
+        assert set(cut[cut > 1].index) <= {zlib.crc32(b"the hot text " * 9)} and (not extra or (cut > 1).any())
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    again = kdtree.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).toPandas()
+    first = kdtree.sharded(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), shards=8).toPandas()
+    assert again.sort_values("id").shard.tolist() == first.sort_values("id").shard.tolist()
+
+
+def test_shards_by_target_bytes(spark):
+    docs = spark.createDataFrame([(i, "y" * (i * 37 % 901)) for i in range(2000)], "doc_id long, text string")
+    out = kdtree.sharded(docs, target_bytes=25_000).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(sizes) == -(-out["size"].sum() // 25_000) and sizes.max() <= 1.1 * sizes.mean()
+    assert set(kdtree.sharded(docs.limit(3), shards=8).toPandas().shard) <= set(range(8))
+
+
+def test_rank_of_hot_ids(spark, monkeypatch):
+    """Null and repeated ids beyond what a window may hold: the rank is that of one sort."""
+    from varnaflow.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 50)
+    rnd = random.Random(12)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, rnd.choice(["a", "b", None]), rnd.randrange(4)) for i in range(3000)]
+    table = shared.with_id_hash(spark.createDataFrame(rows, "id long, g string, size long"), "id")
+    got = [tuple(r) for r in shared.distributed_rank(table, ["g"], "_h", ["id", "size"]).select("g", "_rank", "id", "size").collect()]
+    want = []
+    for g in ("a", "b", None):
+        mine = sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i is not None, i or 0, s) for i, x, s in rows if x == g)
+        want += [(g, k, i if there else None, s) for k, (_, there, i, s) in enumerate(mine)]
+    assert Counter(got) == Counter(want)
+
+
+def test_mix_of_hot_ids(spark, monkeypatch):
+    """The query's plan on null and repeated ids, against its SQL."""
+    from varnaflow.llm import shared
+
+    rnd = random.Random(13)
+    rows = [(None if i % 3 == 0 else i // 4, "w " * rnd.randrange(40), rnd.choice(["p", "q", None])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({k: [r[i] for r in rows] for i, k in enumerate(("doc_id", "text", "source"))}))
+    want = Counter(con.execute("SELECT doc_id, size, source_size, target, taken FROM (" + mixing.OP7_SQL + ")").fetchall())
+    for hot in (1 << 16, 64):
+        monkeypatch.setattr(shared, "HOT_ROWS", hot)
+        plan, _ = mixing.planned(docs)
+        assert Counter(tuple(r) for r in plan.select("c0", "size", "source_size", "target", "taken").collect()) == want
+
+
 def token_rows(docs, ids_of):
     """What the files must give, for rows in any order: (doc_id, n_tokens, crc32)."""
     out = []

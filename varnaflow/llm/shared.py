@@ -17,6 +17,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Rows that one window may hold.
+HOT_ROWS = 1 << 16
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
@@ -60,7 +63,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def with_id_hash(df: DataFrame, id_col: str, name: str = "_h") -> DataFrame:
-    """Adds the md5 of the id as text (null: empty text): an order that every engine shares and no key skews."""
+    """Adds the md5 of the id as text (null: empty text): an order that every engine shares. Rows of one id share it."""
     return df.withColumn(name, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
 
 
@@ -70,6 +73,10 @@ def distributed_rank(df: DataFrame, groups: list[str], hash_col: str, ties: list
     The hash is hexadecimal text. Counts by ever longer prefixes of it form a tree with 256 children to a node; an
     offset is the parent's offset plus the counts of the smaller siblings, so each window sees at most 256 rows, and the
     last window a leaf of about ``leaf_rows`` rows. Null groups count as one group.
+
+    A leaf of more than HOT_ROWS rows holds rows of one hash (an id that repeats, or null). Its rows are counted by (hash,
+    ties), and rows that tie in all of these are dealt to salts of about HOT_ROWS rows, so no window sees more than the
+    different ties of a hash, the salts of a tie or the rows of a salt. Which of tying rows comes first is up to the run.
     """
     n = df.count()
     depth = 1
@@ -89,11 +96,31 @@ def distributed_rank(df: DataFrame, groups: list[str], hash_col: str, ties: list
             here = here.join(above, [*g, "_up"]).withColumn("_o", F.col("_o") + F.col("_above"))
         offsets = here.select(*g, "_q", "_o")
     leaf = Window.partitionBy(*g, "_p").orderBy(hash_col, *ties)
-    ranked = keyed.withColumn("_in_leaf", F.row_number().over(leaf) - 1)
+    in_leaf = lambda rows: rows.withColumn("_in_leaf", (F.row_number().over(leaf) - 1).cast("long"))
+    hot = counts.filter(F.col("_n") > HOT_ROWS)
+    if many := hot.count():
+        hot = F.broadcast(hot) if many <= HOT_ROWS else hot
+        ranked = in_leaf(keyed.join(hot, [*g, "_p"], "left_anti")).unionByName(_in_hot_leaf(keyed.join(hot, [*g, "_p"]), [*g, "_p"], hash_col, ties))
+    else:
+        ranked = in_leaf(keyed)
     joined = ranked.join(offsets.withColumnRenamed("_q", "_p"), [*g, "_p"])
     return joined.select(*[df[c] for c in df.columns], (F.col("_o") + F.col("_in_leaf")).alias(rank))
 
 
+def _in_hot_leaf(rows: DataFrame, leaf: list[str], hash_col: str, ties: list[str | Column]) -> DataFrame:
+    """Rows of leaves of more than HOT_ROWS rows (with their count ``_n``), with their place in the leaf."""
+    names = [c for c in rows.columns if c != "_n"]
+    same = F.struct(F.col(hash_col).alias("h"), *[F.struct(c.isNull().alias("n"), c.alias("v")).alias(f"t{i}") for i, c in enumerate(F.col(t) if isinstance(t, str) else t for t in ties)])
+    rows = stored(rows.withColumn("_same", same).withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.ceil(F.col("_n") / HOT_ROWS))), "hot")
+    cells = stored(rows.groupBy(*leaf, "_same", "_salt").agg(F.count(F.lit(1)).alias("_c")), "cells")
+    before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    salts = cells.withColumn("_by_salt", before(Window.partitionBy(*leaf, "_same").orderBy("_salt")))
+    sames = cells.groupBy(*leaf, "_same").agg(F.sum("_c").alias("_c")).withColumn("_by_same", before(Window.partitionBy(*leaf).orderBy("_same"))).drop("_c")
+    at = rows.join(salts.drop("_c"), [*leaf, "_same", "_salt"]).join(sames, [*leaf, "_same"])
+    inside = F.row_number().over(Window.partitionBy(*leaf, "_same", "_salt").orderBy("_row")) - 1
+    return at.withColumn("_in_leaf", F.col("_by_same") + F.col("_by_salt") + inside).select(*names, "_in_leaf")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(33))
