@@ -222,6 +222,34 @@ def test_impact_index_stops_on_proof():
     assert index.stats["rescored"] < 2000
 
 
+def chat_rows(out):
+    return out.withColumn("t", chat.read_back(F.col("formatted"))).withColumn("l", chat.under_loss(F.col("formatted"), F.col("loss_spans")))
+
+
+def test_chat_on_odd_rows(spark):
+    """Null conversations, repeated rows, extra columns, characters beyond 16 bits, an empty table."""
+    schema = "conv_id long, turn long, role string, text string, head string, n int"
+    rows = [(None, 1, "user", "a", "h", 1), (None, 2, "assistant", "b", "h", 1), (3, 1, "assistant", "😀é<漢", "h", 1), (3, 1, "assistant", "😀é<漢", "h", 1), (3, 2, "user", "", "h", 1), (3, 3, "assistant", "#\\", "h", 1)]
+    got = {r.conv_id: r for r in chat_rows(chat.formatted(spark.createDataFrame(rows, schema))).collect()}
+    assert [tuple(t) for t in got[None].t] == [("user", "a"), ("assistant", "b")] and got[None].l == "b"
+    assert [tuple(t) for t in got[3].t] == [("assistant", "😀é<漢")] * 2 + [("user", ""), ("assistant", "#\\")] and got[3].l == "😀é<漢" * 2 + "#\\"
+    assert chat_rows(chat.formatted(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_a_long_conversation_takes_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text <é> "), F.col("id")).alias("text"))
+        began = time.time()
+        r = chat_rows(chat.formatted(rows)).select(F.size("t").alias("n"), F.length("l").alias("l")).first()
+        assert r.n == n and r.l == sum(len(f"text <é> {i}") for i in range(n) if i % 3)
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(80_000) < 12 * max(1.0, seconds(8_000))
+
+
 def test_chat_reads_back(spark):
     said = "\\### Assistant: </turn> ok<part>\\b\\l#"
     rows = [(1, 2, "assistant", said), (1, 1, "user", said), (1, 3, "assistant", None), (1, None, "a: b#", "x"), (2, 1, None, "")]

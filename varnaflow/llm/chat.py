@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted by (turn, role, text); adjacent turns of one role become one
-block, its texts parted by PART, so the original turns can be read back:
+Turns are put in order of (turn, role, text); adjacent turns of one role become one block: its texts are collected as structs,
+sorted and joined by PART, so the original turns can be read back; the blocks of a conversation likewise:
 
     ### role: text<part>text</turn>\\n### role: text</turn>\\n
 
@@ -9,7 +9,9 @@ Texts and roles are escaped, so no control string can stand inside them: ``\\``
 ``#`` becomes ``\\h``; in roles also ``:`` becomes ``\\c``. ``loss_spans`` marks the assistant's texts as (start, length) in
 code points of the formatted text, start from 1.
 
-A conversation is one string and so is made in one task; it is the row limit of Spark (2 GB) that bounds its length.
+Where a text starts is a running sum of lengths over the conversation's turns, so work grows in proportion to turns and
+characters. All steps share one shuffle, by conversation. A conversation is one string and so is made in one task; it is the
+row limit of Spark (2 GB, and for ``under_loss`` 500 million code points) that bounds its length.
 
 Defined cases: a null text or role is empty; null turns come first; a null conv_id is a conversation; repeated rows are
 turns of their own; an empty table gives an empty result; further columns are not used.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 HEAD, AFTER_ROLE, PART, END = "### ", ": ", "<part>", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
@@ -39,27 +42,20 @@ def unescaped(x: Column, pairs=ESCAPES) -> Column:
 
 def formatted(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_spans), one row a conversation."""
-    one = F.struct(rows[turn].alias("turn"), F.coalesce(rows[role], F.lit("")).alias("role"), F.coalesce(rows[text], F.lit("")).alias("text"))
-    turns = rows.groupBy(rows[conv].alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    # first[i]: turn i opens a block; the index beyond the end opens one too
-    first = F.transform(F.sequence(F.lit(0), F.size("turns")), lambda i: (i == 0) | (i == F.size("turns")) | ~F.get("turns", i).role.eqNullSafe(F.get("turns", i - 1).role))
-    turns = turns.withColumn("first", first)
-    opens = F.filter(F.sequence(F.lit(0), F.size("turns")), lambda i: F.get("first", i))
-    turns = turns.withColumn("opens", opens)
-    block = lambda i, k: F.slice("turns", i + 1, F.get("opens", k + 1) - i)
-    blocks = F.transform(F.slice("opens", 1, F.size("opens") - 1), lambda i, k: F.struct(F.get("turns", i).role.alias("role"), F.transform(block(i, k), lambda t: escaped(t.text)).alias("texts")))
-    turns = turns.withColumn("blocks", blocks)
-    piece = lambda b: F.concat(F.lit(HEAD), escaped(b.role, ROLE_ESCAPES), F.lit(AFTER_ROLE), F.array_join(b.texts, PART), F.lit(END))
-    out = turns.withColumn("formatted", F.array_join(F.transform("blocks", piece), ""))
-    # one entry a text: the length of what stands before it, of itself and of what follows, and whether it is trained on
-    parts = F.flatten(F.transform("blocks", lambda b: F.transform(b.texts, lambda t, i: F.struct(F.when(i == 0, F.length(escaped(b.role, ROLE_ESCAPES)) + len(HEAD) + len(AFTER_ROLE)).otherwise(len(PART)).alias("before"), F.length(t).alias("n"), F.when(i == F.size(b.texts) - 1, len(END)).otherwise(0).alias("after"), (b.role == trained).alias("loss")))))
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    spans = F.aggregate(
-        parts, F.struct(F.lit(1).alias("at"), empty.alias("spans")),
-        lambda acc, p: F.struct((acc.at + p.before + p.n + p.after).alias("at"), F.when(p.loss, F.concat(acc.spans, F.array(F.struct((acc.at + p.before).alias("start"), p.n.alias("length"))))).otherwise(acc.spans).alias("spans")),
-        lambda acc: acc.spans,
-    )
-    return out.select("conv_id", "formatted", spans.alias("loss_spans"))
+    turns = rows.select(rows[conv].alias("conv_id"), rows[turn].alias("turn"), F.coalesce(rows[role], F.lit("")).alias("role"), F.coalesce(rows[text], F.lit("")).alias("text"))
+    in_order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    turns = turns.select("*", F.row_number().over(in_order).alias("at"), F.coalesce(F.lag("role").over(in_order) != F.col("role"), F.lit(True)).alias("opens"), F.coalesce(F.lead("role").over(in_order) != F.col("role"), F.lit(True)).alias("closes"))
+    turns = turns.withColumn("safe", escaped(F.col("text"))).withColumn("head", F.concat(F.lit(HEAD), escaped(F.col("role"), ROLE_ESCAPES), F.lit(AFTER_ROLE)))
+    before = F.when(F.col("opens"), F.length("head")).otherwise(len(PART))
+    turns = turns.withColumn("n", F.length("safe")).withColumn("after", F.when(F.col("closes"), len(END)).otherwise(0)).withColumn("before", before)
+    turns = turns.select("*", F.sum(F.col("before") + F.col("n") + F.col("after")).over(so_far).alias("end"), F.sum(F.col("opens").cast("int")).over(so_far).alias("block"))
+    span = F.struct((F.col("end") - F.col("after") - F.col("n") + 1).cast("int").alias("start"), F.col("n").alias("length"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "safe"))), lambda t: t.safe)
+    blocks = turns.groupBy("conv_id", "block").agg(F.first("head").alias("head"), texts.alias("texts"), F.collect_list(F.when(F.col("role") == trained, span)).alias("spans"))
+    piece = F.concat("head", F.array_join("texts", PART), F.lit(END))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", piece.alias("piece")))), lambda b: b.piece)
+    return blocks.groupBy("conv_id").agg(F.array_join(pieces, "").alias("formatted"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("loss_spans"))
 
 
 def read_back(text: Column) -> Column:
@@ -77,8 +73,9 @@ def read_back(text: Column) -> Column:
 
 
 def under_loss(text: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(text, s.start, s.length))), "")
+    """All text under the mask, unescaped, in order. Cut from four bytes a code point, so a cut costs its own length only."""
+    cut = lambda b: lambda s: unescaped(F.decode(F.substring(b, (s.start - 1) * 4 + 1, s.length * 4), "UTF-32"))
+    return F.get(F.transform(F.array(F.encode(text, "UTF-32")), lambda b: F.array_join(F.transform(spans, cut(b)), "")), F.lit(0))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
