@@ -4,9 +4,10 @@
 2. Candidates: BANDS x ROWS MinHash values; classes that agree in a whole band meet. A pair of similarity 0.8 is missed with
    a probability of (1 - 0.8^6)^40, about 5e-6; at 0.85 below 1e-8. Each class is tied only to the first class of each of its
    buckets, so ties are linear in the classes, and the connected ties hold every candidate pair together.
-3. Inside such a component pairs are compared on STEP further MinHash values at a time. With a uniform prior the posterior
-   probability that a pair reaches the threshold is a sum of binomials; a pair below TOLERANCE is dropped, the rest is
-   verified exactly on the whole sets.
+3. Inside such a component pairs are compared on STEP MinHash values at a time, the same values that made the bands. With a
+   uniform prior the posterior probability that a pair reaches the threshold is a sum of binomials; a pair below TOLERANCE is
+   dropped, the rest is verified exactly on the whole sets. (A pair that met in a band agrees in some of these values for
+   that reason; that raises its posterior, so it makes dropping rarer.)
 4. A component of more than BLOCK_ROWS classes or BLOCK_SHINGLES shingles is cut into blocks, and pairs of blocks are tasks
    of their own. Tasks return for each class the documents it links to and the first class it hangs together with: rows
    in proportion to classes and blocks, never to pairs.
@@ -32,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import components
 from .shared import mixed, shingles, stored
@@ -162,9 +162,23 @@ def _verified(words: int, threshold: float, tolerance: float):
     return run
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, tolerance: float) -> DataFrame:
-    """(doc_id, th, class_id, n_links, first): a row for each document; th is a hash of the text, first marks one row of each class."""
-    spark = docs.sparkSession
+def _repeated(rows: DataFrame, key: str, th: str) -> DataFrame | None:
+    """(key, th) of more than one row; None if there are none."""
+    again = rows.groupBy(key, th).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col(key).alias("_again"), F.col(th).alias("_again_th"))
+    again = stored(again, "repeated")
+    return None if again.isEmpty() else again
+
+
+def _single(rows: DataFrame, again: DataFrame | None, key: str, th: str) -> DataFrame:
+    """One of the rows of each (key, th). Only rows that repeat are shuffled, and a key of very many rows is thinned out before."""
+    if again is None:
+        return rows
+    same = rows[key].eqNullSafe(again["_again"]) & (rows[th] == again["_again_th"])
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key, th]))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame | None]:
+    """(row, doc_id, th, class_id, lone, n_links): a row for each document; th is a hash of the text, lone names the group of the document. And the (doc_id, th) of several rows."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
     sets = stored(texts.mapInArrow(_summaries(words), "doc_id long, th long, f1 long, f2 long, n long, keys array<long>").withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = stored(sets.groupBy("f1", "f2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -182,7 +196,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("row", "doc_id", "th", "comp", "copies", "block", "blocks", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     wanted = dealt.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp", "low", "high").bitwiseOR(F.lit(-(1 << 62)))))
-    with_text = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("row", "comp", "copies", "block", "low", "high", "task", "blocks", "text")
+    again = _repeated(sets, "doc_id", "th")
+    single = _single(texts, again, "doc_id", "th")
+    with_text = single.join(wanted, single["doc_id"].eqNullSafe(wanted["doc_id"]) & (single["th"] == wanted["th"])).select("row", "comp", "copies", "block", "low", "high", "task", "blocks", "text")
     found = stored(with_text.groupBy("task", "blocks").applyInPandas(_verified(words, threshold, tolerance), "row long, links long, root long"), "links")
     by_row = found.groupBy("row").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     roots = components(found.select(F.col("row").alias("u"), F.col("root").alias("v")))
@@ -191,23 +207,23 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     whole = stored(whole, "whole")
     ids = whole.groupBy("root").agg(F.min("least").alias("class_id"), F.min("row").alias("lone"))
     named = whole.join(ids, "root").select("f1", "f2", "class_id", "lone", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return sets.select("row", "doc_id", "th", "f1", "f2").join(named, ["f1", "f2"]).select("row", "doc_id", "th", "class_id", "lone", "n_links")
+    return sets.select("row", "doc_id", "th", "f1", "f2").join(named, ["f1", "f2"]).select("row", "doc_id", "th", "class_id", "lone", "n_links"), again
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, class_id, n_links), one row a document."""
-    return _joined(docs, id_col, text_col, words, threshold, tolerance).select("doc_id", "class_id", "n_links")
+    return _joined(docs, id_col, text_col, words, threshold, tolerance)[0].select("doc_id", "class_id", "n_links")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the row with the smallest id (null ids last; equal ids: one of the rows)."""
-    joined = _joined(docs, id_col, text_col, words, threshold, tolerance)
+    joined, again = _joined(docs, id_col, text_col, words, threshold, tolerance)
     best = joined.groupBy("lone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "th")).alias("b")).select(F.col("b.doc_id").alias("_id"), F.col("b.th").alias("_th"))
     names = docs.columns
     rows = docs.select(docs[id_col].cast("long").alias("_key"), F.xxhash64(docs[text_col]).alias("_hash"), *[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
-    kept = rows.join(best.distinct(), rows["_key"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
-    one = kept.withColumn("_one", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))).filter("_one = 1")
-    return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    one = _single(rows, again, "_key", "_hash")
+    kept = one.join(best.distinct(), one["_key"].eqNullSafe(F.col("_id")) & (one["_hash"] == F.col("_th")))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
