@@ -16,7 +16,9 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,50 @@ UNIT = 64
 RATE = 8000
 
 
-def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
+class _Marks:
+    """Where a validator's end marks stand, looked for once in all bytes, so many beginnings cost no search each."""
+
+    def __init__(self, b: memoryview):
+        self.b = b
+
+    @cached_property
+    def pdf_ends(self) -> list[tuple[int, int, int]]:
+        """(begin, end, offset named there) of each complete tail."""
+        return [(m.start(), m.end(), int(m[1])) for m in _PDF_END.finditer(self.b) if len(m[1]) < 20]
+
+    @cached_property
+    def pdf_tails(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"startxref", self.b)]
+
+    @cached_property
+    def pdf_marks(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%%EOF", self.b)]
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Archive start -> length: an end record gives size and offset of its directory, which ends where the record begins."""
+        b, out = self.b, {}
+        far_records = [m.start() for m in re.finditer(rb"PK\x06\x06", b)]
+        for found in re.finditer(rb"PK\x05\x06", b):
+            end = found.start()
+            if end + 22 > len(b):
+                continue
+            size, start, note = struct.unpack_from("<IIH", b, end + 12)
+            last = end  # where the directory ends
+            if end >= 76 and b[end - 20 : end - 16] == b"PK\x06\x07":  # 64-bit archives: a locator before the record, a longer record before that
+                k = bisect_left(far_records, end - 75) - 1
+                if k >= 0:
+                    last = far_records[k]
+                    size, start = struct.unpack_from("<QQ", b, last + 40)
+                    if struct.unpack_from("<Q", b, end - 12)[0] != start + size:
+                        continue
+            begin = last - size - start
+            if begin >= 0 and end >= begin + 30 and b[begin + start : begin + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+                out.setdefault(begin, end + 22 + note - begin)
+        return out
+
+
+def _riff(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     size, kind = struct.unpack_from("<I", b, at + 4)[0] + 8, bytes(b[at + 8 : at + 12])
@@ -42,7 +87,7 @@ def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
     return {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}[kind], size
 
 
-def _png(b: memoryview, at: int) -> tuple[str, int] | None:
+def _png(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I", b, p)[0], bytes(b[p + 4 : p + 8])
@@ -54,7 +99,7 @@ def _png(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gif(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
@@ -74,7 +119,10 @@ def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
+_JPEG_MARK = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
+
+
+def _jpeg(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     p, scan = at + 2, False
     while p + 4 <= len(b):
         if b[p] != 0xFF:
@@ -88,14 +136,14 @@ def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
         p += 2 + n
         if kind == 0xDA:
             scan = True
-            while p + 1 < len(b) and not (b[p] == 0xFF and b[p + 1] and not 0xD0 <= b[p + 1] <= 0xD7):
-                p += 1
+            found = _JPEG_MARK.search(b, p)
+            p = found.start() if found else max(p, len(b) - 1)
     if scan and p + 2 <= len(b) and bytes(b[p : p + 2]) == b"\xff\xd9":
         return "image/jpeg", p + 2 - at
     return None
 
 
-def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
+def _bmp(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     if at + 26 > len(b):
         return None
     size, zero, pixels, header = struct.unpack_from("<IIII", b, at + 2)
@@ -108,25 +156,25 @@ _PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
 _PDF_TABLE = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b(?:(?!stream).)*?/XRef\b", re.DOTALL)
 
 
-def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
+def _pdf(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     """To the end mark of the last section: a later one counts if its startxref lies on references written after the section before, or, in a linearised file, on those of the first section. Another PDF behind has offsets that don't fit."""
-    whole = b[at:]
-    if not _PDF_HEAD.match(whole):
+    if not _PDF_HEAD.match(b, at):
         return None
-    size, halves = 0, b"/Linearized" in bytes(whole[:1024])
-    for end in _PDF_END.finditer(whole):
-        start = int(end[1])
+    size, halves = 0, b"/Linearized" in bytes(b[at : at + 1024])
+    for k in range(bisect_left(marks.pdf_ends, (at,)), len(marks.pdf_ends)):
+        begin, end, start = marks.pdf_ends[k]
         if not size:
-            size = end.end()
-        elif (start >= size or halves) and start < end.start() and _PDF_TABLE.match(whole, start, end.start()):
-            size, halves = end.end(), False
+            size = end - at
+        elif (start >= size or halves) and at + start < begin and _PDF_TABLE.match(b, at + start, begin):
+            size, halves = end - at, False
     if not size:
-        end = re.search(rb"startxref.*?(%%EOF)", whole, re.DOTALL)
-        size = end.end() if end else 0
+        k = bisect_left(marks.pdf_tails, at)
+        e = bisect_left(marks.pdf_marks, marks.pdf_tails[k]) if k < len(marks.pdf_tails) else len(marks.pdf_marks)
+        size = marks.pdf_marks[e] + 5 - at if e < len(marks.pdf_marks) else 0
     return ("application/pdf", size) if size else None
 
 
-def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gzip(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     d = zlib.decompressobj(31)
     p = at
     try:
@@ -139,26 +187,13 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("application/gzip", p - len(d.unused_data) - at) if d.eof else None
 
 
-def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    """To the end record that fits: its directory ends where the record begins, and the directory's offset is counted from here."""
-    whole = b[at:]
-    for found in re.finditer(rb"PK\x05\x06", whole):
-        end = found.start()
-        if end < 30 or end + 22 > len(whole):
-            continue
-        size, start, note = struct.unpack_from("<IIH", whole, end + 12)
-        last = end  # where the directory ends
-        if end >= 76 and whole[end - 20 : end - 16] == b"PK\x06\x07":  # 64-bit archives: a locator before the record, a longer record before that
-            far = struct.unpack_from("<Q", whole, end - 12)[0]
-            if far + 56 <= end - 20 and whole[far : far + 4] == b"PK\x06\x06":
-                size, start = struct.unpack_from("<QQ", whole, far + 40)
-                last = far
-        if start + size == last and whole[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(whole):
-            return "application/zip", end + 22 + note
-    return None
+def _zip(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
+    """To the end record that names this place as the archive's start."""
+    size = marks.archives.get(at)
+    return ("application/zip", size) if size else None
 
 
-def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
+def _ogg(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     p = at
     while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\0":
         n = b[p + 26]
@@ -176,7 +211,7 @@ def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
 _LAST_BOX = {b"mdat", b"moov", b"moof", b"mfra", b"meta", b"free", b"skip", b"wide", b"uuid", b"udta", b"sidx", b"ssix", b"styp", b"pdin"}
 
 
-def _mp4(b: memoryview, at: int) -> tuple[str, int] | None:
+def _mp4(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
     p, seen = at, set()
     while p + 8 <= len(b):
         n, kind, least = struct.unpack_from(">I", b, p)[0], bytes(b[p + 4 : p + 8]), 8
@@ -218,11 +253,12 @@ def sniff(data: bytes | None, declared: str | None = None, carve: bool = True) -
     if not data:
         return found
     view, past = memoryview(data), 0
+    marks = _Marks(view)
     for end, (back, check) in _automaton().iter(data.decode("latin-1")):
         at = end - back
         if at < 0 or at < past and at > 0 or at > 0 and not carve:
             continue
-        confirmed = check(view, at)
+        confirmed = check(view, at, marks)
         if confirmed is None:
             continue
         if at == 0:
