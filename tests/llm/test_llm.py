@@ -68,6 +68,22 @@ def test_deduplicated_keeps_columns_and_one_of_each(spark):
     assert ngram_join.deduplicated(d.limit(0)).count() == 0
 
 
+def test_hot_ids_and_repeated_rows_in_the_join(spark):
+    """A third of the rows without id and with one text, repeated near copies: against brute force; the text of a class is read once."""
+    w = [f"w{i}" for i in range(60)]
+    near = " ".join([*w[:30], "other", *w[31:]])
+    rows = [(None, " ".join(w)) if i % 3 == 0 else (-5, near) if i % 3 == 1 else (i, f"own text number {i} of many words") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    links = Counter()
+    for i, j in brute_links([t for _, t in rows]):
+        links.update((i, j))
+    got = ngram_join.ngram_jaccard_join(table).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((d, links[i]) for i, (d, _) in enumerate(rows))
+    kept = [tuple(r) for r in ngram_join.deduplicated(table).collect()]
+    assert sorted(kept) == sorted([(-5, near), *[r for r in rows if r[0] not in (None, -5)]])
+    assert ngram_join._single(table.withColumn("th", F.xxhash64("text")), ngram_join._repeated(table.withColumn("th", F.xxhash64("text")), "doc_id", "th"), "doc_id", "th").count() == 102
+
+
 def test_least_matches_grow():
     m = ngram_join.least_matches(0.8, 1e-6)
     assert m == sorted(m) and 0 < m[0] < 16 and m[-1] < 0.8 * 240
@@ -95,6 +111,86 @@ def test_pieces_round_trip_and_library(spark):
     assert len(out) == 13 and {r.doc_id for r in out if not r.round_trip} == {9} and all(r.n_ids == len(r.ids) for r in out)
 
 
+def test_whole_texts_against_plain_viterbi_and_the_library(spark):
+    """The registered query against a Viterbi over whole texts with a dictionary, no trie, no segments; and long texts without blanks."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    path = pieces.vocabulary_path()
+    model, proto = pieces.load(path), sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for k, x in enumerate(proto.pieces):
+        if x.type in (1, 4):
+            x.score = float(model.score[k])
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    score = {x.piece: float(model.score[k]) for k, x in enumerate(proto.pieces) if x.type in (1, 4)}
+    longest, unknown = max(map(len, score)), model.unknown_score
+
+    def best(text):
+        t = "\u2581" + text.replace(" ", "\u2581")
+        total = [0.0] + [float("-inf")] * len(t)
+        for s in range(len(t)):
+            total[s + 1] = max(total[s + 1], total[s] + score.get(t[s], unknown))
+            for e in range(s + 2, min(len(t), s + longest) + 1):
+                if t[s:e] in score:
+                    total[e] = max(total[e], total[s] + score[t[s:e]])
+        return total[-1]
+
+    def total_of(ids):
+        run, n = 0.0, 0
+        for k in ids:  # the bytes of one character cost as much as one unknown character
+            b = model.plain[k]
+            if model.is_byte[k]:
+                n += (b[0] & 0xC0) != 0x80
+            else:
+                run += float(model.score[k])
+        return run + n * unknown
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r.doc_id: r.ids for r in pieces.op2_sentencepiece(spark, d).collect()}
+    for i, t in texts.items():
+        assert model.decode(np.array(got[i], int)) == t
+        assert total_of(got[i]) == (pytest.approx(best(t)) if t else 0)
+        assert total_of(got[i]) == pytest.approx(total_of(library.encode(t)), rel=1e-5)
+    rnd = random.Random(4)
+    for alphabet in ("abcdefghij0123456789+/=", "漢字仮名交じり文é", "ab漢😀é"):
+        t = "".join(rnd.choice(alphabet) for _ in range(3000))
+        (ids,) = model.encode_batch([t])
+        assert ids.tolist() == model.viterbi(("\u2581" + t).encode()) and model.decode(ids) == t and total_of(ids.tolist()) == pytest.approx(best(t))
+    assert max(len(x.encode()) for x in model.known) <= pieces.WIDE and pieces.encoded(odd_docs(spark).limit(0), path).count() == 0
+    big = "".join(rnd.choice("abcdefghij0123456789") for _ in range(300_000))
+    assert model.decode(next(iter(model.encode_batch([big])))) == big
+
+
+def test_many_magic_strings_take_linear_time():
+    import time
+
+    began = time.time()
+    assert media.sniff(b"%PDF-1.4 PK\x03\x04 " * 200_000)["embedded"] == []
+    assert media.sniff(b"%PDF-1.4 startxref PK\x03\x04 PK\x05\x06 " * 50_000)["embedded"] == []
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\4cd" + b"12\xff\0" * 500_000 + b"\xff\xd9"
+    assert media.sniff(b"x" + jpeg)["embedded"] == [("image/jpeg", 1, len(jpeg))]
+    assert time.time() - began < 20
+
+
+def test_sniffed_column_and_features(spark):
+    """The operator on a binary column, and the query's feature line, computed anew."""
+    samples = [(i, data, "x/y") for i, (_, data) in enumerate(media_samples().values())] + [(None, None, None), (98, b"", "a/b"), (99, b"plain", None)]
+    got = {r.id: r for r in media.sniffed(spark.createDataFrame(samples, "n long, data binary, kind string"), "n", "data", "kind").collect()}
+    for i, (kind, data) in enumerate(media_samples().values()):
+        assert (got[i].type, got[i].corrected, got[i].length) == (kind, True, len(data))
+    assert got[None].type is None and got[98].type == "a/b" and got[99].type is None and not got[99].corrected
+    for text in ("", None, "é text", "GIF89a no image"):
+        (r,) = media.media_columns(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        p = (text or "").encode().ljust(64, b"\0")
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(p, p[1:]))
+        assert r.feature == f"audio/wav;corrected=1;length=108;samples=64;min={min(p)};max={max(p)};sum={sum(p)};crossings={crossings};embedded="
+    assert media.media_columns(odd_docs(spark).limit(0)).count() == 0
+
+
 def test_sniffing():
     png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", b"\0" * 13), (b"IEND", b"")))
     wav = media.to_wav(b"GIF89a no image" + png + b"BM" + b"\0" * 40)

@@ -8,7 +8,7 @@ law. Decoding joins the pieces' bytes, turns markers into blanks and drops the f
 
 No piece has a marker behind another character (checked on loading; else a text is one segment), so a text falls apart into
 segments of markers and what follows, and also at characters that stand in no piece. Viterbi runs over all segments of a
-batch that are new to the task at once, position by position in numpy; segments met before (at most CACHED) are looked up.
+batch that are new to the task at once, position by position in numpy; short segments met before (CACHED_BYTES at most) are looked up.
 This changes nothing in the result: a path over the text is the paths over its segments.
 
 Defined cases: null and empty texts have no ids; markers in the text itself decode as blanks (``round_trip`` is false then);
@@ -26,7 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MARK, UNKNOWN_COST, CACHED, BATCH_CHARS, WIDE = "▁", 10.0, 250_000, 3_000_000, 64
+MARK, UNKNOWN_COST, BATCH_CHARS, WIDE, STRIDE = "▁", 10.0, 3_000_000, 64, 1 << 15
+#: Bytes of segments kept by a task, with OVERHEAD for the objects of each; a segment is at most WIDE bytes.
+CACHED_BYTES, OVERHEAD = 96 << 20, 180
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _WIDTH = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10, np.int64)  # of a character, by its first byte
 
@@ -120,6 +122,7 @@ class Pieces:
         self.splits = not any(MARK in p.lstrip(MARK) for p in used)
         self.lines = self.splits and not any("\n" in p for p in used)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def segments(self, text: str) -> list[str]:
         if not text:
@@ -206,19 +209,70 @@ class Pieces:
                 out.append(row[row >= 0])
         return out
 
-    def learn(self, segments: set[str]) -> None:
-        if len(self.known) > CACHED:
+    def viterbi_long(self, data: bytes) -> np.ndarray:
+        """The ids of a long segment: the trie is walked from STRIDE positions at once, then their pieces are tried in order."""
+        n = len(data)
+        text = np.append(np.frombuffer(data, np.uint8).astype(np.int64), np.full(self.trie.longest + 1, -1))
+        from_, piece = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+        ahead = STRIDE + max(4, self.trie.longest) + 1
+        best = [0.0] + [-math.inf] * ahead
+        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
+        for low in range(0, n, STRIDE):
+            here = np.arange(low, min(n, low + STRIDE))
+            here = here[(text[here] & 0xC0) != 0x80] if low else here[((text[here] & 0xC0) != 0x80) | (here == 0)]
+            width = _WIDTH[text[here]]
+            alone, at, node = np.zeros(len(here), bool), np.arange(len(here)), np.zeros(len(here), np.int64)
+            starts, ends, ids = [], [], []
+            for p in range(self.trie.longest):
+                byte = text[here[at] + p]
+                t = base[node] + byte + 1
+                ok = (byte >= 0) & (check[t] == node)
+                at, node = at[ok], t[ok]
+                if not len(at):
+                    break
+                has = value[node] >= 0
+                starts.append(here[at[has]])
+                ends.append(starts[-1] + p + 1)
+                ids.append(value[node[has]])
+                alone[at[has][width[at[has]] == p + 1]] = True
+            lone = here[~alone]
+            starts, ends, ids = np.concatenate([*starts, lone]), np.concatenate([*ends, np.minimum(n, lone + width[~alone])]), np.concatenate([*ids, np.full(len(lone), -1)])
+            order = np.argsort(starts, kind="stable")
+            starts, ends, ids = starts[order], ends[order], ids[order]
+            gains = np.where(ids >= 0, score[ids], self.unknown_score)
+            came = {}
+            for k, (s, e, g) in enumerate(zip((starts - low).tolist(), (ends - low).tolist(), gains.tolist(), strict=True)):
+                total = best[s] + g
+                if total > best[e]:
+                    best[e], came[e] = total, k
+            if came:
+                to, how = np.fromiter(came, np.int64, len(came)), np.fromiter(came.values(), np.int64, len(came))
+                from_[to + low], piece[to + low] = starts[how], ids[how]
+            best = best[STRIDE:] + [-math.inf] * STRIDE
+        out: list[int] = []
+        while n:
+            s, k = int(from_[n]), int(piece[n])
+            out += [k] if k >= 0 else [self.byte_ids[x] for x in reversed(data[s:n])] if self.fallback else [self.unknown]
+            n = s
+        return np.array(out[::-1], self.kind)
+
+    def learn(self, segments: set[str]) -> list[str]:
+        """Sees to the ids of all segments in ``known``; the long ones among them, which are not to be kept."""
+        if self.held > CACHED_BYTES:
             self.known.clear()
+            self.held = 0
         new = [(s, s.encode("utf-8", "surrogatepass")) for s in segments if s not in self.known]
         for low, high in ((0, 12), (12, 24), (24, WIDE)):
             some = [x for x in new if low < len(x[1]) <= high]
             for k in range(0, len(some), 1 << 15):
                 part = some[k : k + (1 << 15)]
-                for (s, _), ids in zip(part, self.viterbi_many([b for _, b in part]), strict=True):
-                    self.known[s] = np.asarray(ids, self.kind).tobytes()
-        for s, b in new:
-            if not b or len(b) > WIDE:
-                self.known[s] = np.asarray(self.viterbi(b), self.kind).tobytes()
+                for (s, b), ids in zip(part, self.viterbi_many([b for _, b in part]), strict=True):
+                    self.known[s] = x = np.asarray(ids, self.kind).tobytes()
+                    self.held += len(b) + len(x) + OVERHEAD
+        long = [(s, b) for s, b in new if not b or len(b) > WIDE]
+        for s, b in long:
+            self.known[s] = self.viterbi_long(b).tobytes()
+        return [s for s, _ in long]
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; about BATCH_CHARS characters are worked on at a time."""
@@ -231,10 +285,12 @@ class Pieces:
                 new.update(cut)
                 chars += len(texts[k] or "")
                 k += 1
-            self.learn(new)
-            known = self.known
-            for cut in held:
-                yield np.frombuffer(b"".join([known[s] for s in cut]), self.kind).astype(np.int32)
+            long, known = self.learn(new), self.known
+            found = [b"".join([known[s] for s in cut]) for cut in held]
+            for s in long:
+                del known[s]
+            for x in found:
+                yield np.frombuffer(x, self.kind).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         plain = self.plain
