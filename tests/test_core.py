@@ -1,14 +1,19 @@
+import json
 import random
 import re
+import threading
+import wave
 from difflib import SequenceMatcher
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 from varnaflow.functions import codemix, wer
 from varnaflow.functions.numbers import MULTIPLIER_VALUES, UNIT_VALUES, normalize_numbers
 from varnaflow.functions.text import normalize_text
-from varnaflow.operators import errors, ingest, labels, lattice, models, spelling
-from varnaflow.sources import files
+from varnaflow.operators import errors, evaluation, ingest, labels, lattice, models, spelling
+from varnaflow.plans import demos
+from varnaflow.sources import files, http
 from varnaflow.streaming.cleanup import cleaned
 
 
@@ -21,6 +26,7 @@ def test_lexicon():
 
 
 def test_numbers(spark):
+    # Inputs and their results.
     cases = [
         ("दो", "दो"), ("सौ", "सौ"), ("दस", "10"), ("तीन सौ चौवन", "354"), ("एक हज़ार", "1000"), ("मैं तीस साल का हूँ", "मैं 30 साल का हूँ"),
         ("दो-चार बातें करना", "दो-चार बातें करना"), ("एक-दो काम बाकी हैं", "एक-दो काम बाकी हैं"), ("मुझे दो किलो आटा चाहिए", "मुझे दो किलो आटा चाहिए"),
@@ -62,17 +68,33 @@ def test_edits_against_plain_table(spark):
 
 
 def test_error_classes(spark):
+    # Inputs and their classes.
     cases = [("क ख ग घ", "क ख ok घ", "CODE_MIX"), ("हाँ जी", "हाँ जी हाँ जी हाँ जी", "NOISE_DISFLUENCY"), ("क ख ग घ ङ", "क ख", "DELETION"), ("क ख ग", "च छ ज झ ट ठ ड", "INSERTION"), ("क ख ग घ", "क क ख ग", "REPETITION"), ("क ख ग घ", "क ख ग च", "SUBSTITUTION_OOV")]
     got = rows(spark, cases, "r string, p string, want string").select("want", errors.classify_error(F.col("r"), F.col("p")).alias("x")).collect()
     assert all(r.want == r.x for r in got)
 
 
 def test_lattice_demo(spark):
+    # What was said, what was heard, and the edits.
     ref = "उसने चौदह किताबें खरीदीं".split()
     models = ["उसने चौदह किताबें खरीदी", "उसने 14 किताबें खरीदीं", "उसने चौदह किताबे खरीदी", "उसने चौदह पुस्तकें खरीदीं", "उसने 14 किताबें खरीदी"]
     out = lattice.scored(rows(spark, [("s", ref, [(str(i), m.split()) for i, m in enumerate(models)])], "segment string, reference array<string>, models array<struct<model:string,words:array<string>>>")).orderBy("model").collect()
     assert [r.standard_edits for r in out] == [1, 1, 2, 1, 2] and all(r.lattice_edits == 0 for r in out)
-    assert out[0].overrides == ["खरीदी (3/5 models agree)"] and out[0].bins[1] == ["14", "चौदह"]
+    assert [r.hyp_len for r in out] == [4] * 5
+    one = lattice.lattices(rows(spark, [("s", ref, [(str(i), m.split()) for i, m in enumerate(models)])], "segment string, reference array<string>, models array<struct<model:string,words:array<string>>>")).first()
+    assert one.overrides == ["खरीदी (3/5 models agree)"] and one.bins[1] == ["14", "चौदह"]
+    got = [r.change for r in lattice.report(demos.lattice_segments(spark)).orderBy("model").select(lattice.arrow(F.col("standard_wer_pct"), F.col("lattice_wer_pct")).alias("change")).collect()]
+    assert got == ["↓25%", "↓25%", "↓50%", "↓25%", "↓50%"]
+    arrows = rows(spark, [(5.0, 5.0), (5.0, 7.5), (1.0, 0.5)], "a double, b double").select(lattice.arrow(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.x for r in arrows] == ["=", "↑2%", "↓0%"]
+
+
+def test_lattice_report_keeps_segments_without_words(spark):
+    """A reference of punctuation only has no bins but is a segment; null references and segments without models are none."""
+    data = [("a", "?!", [], [("m", ["x", "y"], "x y"), ("n", [], ".")]), ("b", None, None, [("m", ["x"], "x")]), ("c", "x", ["x"], [])]
+    seg = rows(spark, data, "segment string, text string, reference array<string>, models array<struct<model:string,words:array<string>,text:string>>")
+    got = sorted(tuple(r) for r in lattice.report(seg).collect())
+    assert got == [("a", "?!", "m", "x y", 200.0, 200.0, 0.0), ("a", "?!", "n", ".", 0.0, 0.0, 0.0)]
 
 
 def test_lattice_never_above_standard():
@@ -186,11 +208,114 @@ def test_command_line(spark, tmp_path):
     assert run_("spelling", "--text", "कंप्यूटर").first().signals == '{"devanagari_english": true}'
     rows(spark, [("u/a", "क ख", "क ख", "क ग")], "segment_url_link string, Human string, m1 string, m2 string").transform(lambda d: files.write_csv(d, str(tmp_path / "w")) or d)
     got = run_("lattice", "--input", str(tmp_path / "w"), "--models", "m1", "m2").collect()
-    assert {(r.segment, r.model, r.standard_edits, r.lattice_edits) for r in got} == {("a", "m1", 0, 0), ("a", "m2", 1, 0)}
+    assert {(r.segment, r.model, r.standard_wer_pct, r.lattice_wer_pct, r.wer_reduction_pct) for r in got} == {("a", "m1", 0, 0, 0), ("a", "m2", 50, 0, 50)}
+    assert run_("lattice", "--demo").count() == 5 and run_("cleanup", "--demo", "--notes").count() == len(demos.SENTENCES)
+    (tmp_path / "l.json").write_text('{"reference": "क ख", "model_outputs": {"b": "क", "a": "क ख", "none": null}}', encoding="utf-8")
+    assert [(r.model, r.standard_wer_pct, r.lattice_wer_pct) for r in run_("lattice", "--input", str(tmp_path / "l.json")).collect()] == [("a", 0, 0), ("b", 50, 50)]
+    assert run_("spelling", "--word", "अच्छा").first().confidence == "high" and run_("spelling", "--sample", "15").count() == 15
+    rows(spark, [("क ख ग घ", "क ख ग घ"), ("क ख ग घ", "क ख ग च"), (None, "क")], "prediction string, reference string").transform(lambda d: files.write_json(d, str(tmp_path / "p1")) or d)
+    rates = {r.model: (r.wer, r.num_samples) for r in run_("evaluate", "--predictions", f"one={tmp_path}/p1", f"two={tmp_path}/p1", f"none={tmp_path}/no").collect()}
+    assert rates == {"one": (22.22, 3), "two": (22.22, 3)}
+    assert [(r.error_type, r.wer) for r in run_("errors", "--input", str(tmp_path / "no"), "--fallback", str(tmp_path / "p1")).collect()] == [("SUBSTITUTION_OOV", 0.25), ("NOISE_DISFLUENCY", 1.0)]
     rows(spark, [("abc", "incorrect_spelling", "low")], "word string, spelling_label string, confidence string").transform(lambda d: files.write_csv(d, str(tmp_path / "s")) or d)
     assert run_("review", "--input", str(tmp_path / "s")).first().right == 1
 
 
+class _Answers(BaseHTTPRequestHandler):
+    def do_GET(self):
+        self.send_response(404 if "gone" in self.path else 200)
+        self.end_headers()
+        self.wfile.write(b"no json" if "broken" in self.path else json.dumps([{"start": 0.0, "end": 2.5, "text": f"\u0915 {self.path[1:]}"}, {"start": 3}]).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def site():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_transcripts_over_http(spark, site, tmp_path):
+    """Broken answers, errors and hosts that don't answer are empty."""
+    got = http.read_transcripts(spark, [f"{site}/a", f"{site}/gone", f"{site}/broken", "http://127.0.0.1:9/x"]).collect()
+    assert sorted((r.start, r.end, r.text) for r in got) == [(0.0, 2.5, "क a"), (3.0, 0.0, "")] and http.read_transcripts(spark, []).count() == 0
+    index = rows(spark, [(1, 2, "hi", 3.0, "u", f"{site}/b", "m"), (1, 3, "ta", 3.0, "u", f"{site}/c", "m"), (1, 4, "Hindi", 3.0, "u", f"{site}/gone", "m")], files.INDEX)
+    files.write_csv(index, str(tmp_path / "i"))
+    from varnaflow.__main__ import main, parser, run
+
+    table = run(spark, parser().parse_args(["ingest", "--index", str(tmp_path / "i"), "--rewrite", "nothing", "x"])).collect()
+    assert [(r.recording_id, r.text, r.duration, r.split) for r in table] == [(2, "क b", 2.5, "validation")]
+    main(["ingest", "--index", str(tmp_path / "i"), "--max", "5", "--output", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_broken_files_give_no_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"start": 1, "end": 2, "text": "x"}, {"text": null}]', encoding="utf-8")
+    (tmp_path / "b.json").write_text('[{"start": 1, "end"', encoding="utf-8")
+    (tmp_path / "c.json").write_text("", encoding="utf-8")
+    assert sorted(r.text for r in files.read_transcripts(spark, str(tmp_path)).collect()) == ["", "x"]
+    assert files.read_utterances(spark, str(tmp_path)).count() == 2
+
+
+def test_wide_rows_of_one_file_name_stay_apart(spark):
+    wide = rows(spark, [("h/1/a.wav", "क ख", "क", None), ("h/2/a.wav", "क ख", "nan", "क ख"), ("nan", "x", "y", "z"), ("h/3", "क", " ", "nan"), ("h/4", " ", "क", "क")], "url string, Human string, `m 1` string, m2 string")
+    got = sorted((r.segment, r.models[0].model, len(r.models)) for r in files.wide_segments(wide, "url", "Human", ["m 1", "m2"]).collect())
+    assert got == [("a.wav", "m 1", 1), ("a.wav", "m2", 1)]
+
+
+def test_saved_split_and_benchmark(spark, tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "train").mkdir()
+    for k in range(2):
+        t = pa.table({"text": [f"t{k}", None], "start": [1.5, 2.5]})
+        with pa.OSFile(str(tmp_path / "train" / f"data-{k}.arrow"), "wb") as f, pa.ipc.new_stream(f, t.schema) as w:
+            w.write_table(t)
+    got = files.read_saved(spark, str(tmp_path / "train"), "start double, text string, missing long")
+    assert sorted((r.start, r.text or "", r.missing) for r in got.collect()) == [(1.5, "t0", None), (1.5, "t1", None), (2.5, "", None), (2.5, "", None)]
+    rows(spark, [(" क ", b"x"), (None, None)], "transcription string, audio binary").write.parquet(str(tmp_path / "b"))
+    assert sorted(r.reference for r in files.read_benchmark(spark, str(tmp_path / "b")).collect()) == ["", "क"]
+
+
+def test_audio_files(spark, tmp_path):
+    for name, width, channels in (("a", 2, 1), ("b", 1, 2)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setparams((channels, width, 8000, 0, "NONE", ""))
+            w.writeframes((b"\x00\x40" if width == 2 else b"\xc0\xc0") * 800)
+    (tmp_path / "c.wav").write_bytes(b"no audio")
+    got = {r.path[-5]: r.samples for r in models.decoded(spark, str(tmp_path / "*.wav")).collect()}
+    assert got["c"] is None and len(got["a"]) == len(got["b"]) == 1600 and all(abs(x - 0.5) < 1e-6 for x in got["a"] + got["b"])
+
+
+def test_error_sample_file(spark, tmp_path):
+    data = [(7, "a b", "a\nb \"c\"", 0.123456, "CODE_MIX"), (3, "क ख ग", "क", 0.66666, "DELETION")]
+    sample = errors.error_samples(rows(spark, data, "id long, reference string, prediction string, wer double, error_type string"))
+    files.write_error_samples(sample, str(tmp_path / "s"))
+    (part,) = (tmp_path / "s").glob("part-*")
+    found = json.loads(part.read_text(encoding="utf-8"))
+    assert [(x["idx"], x["wer"], x["prediction"]) for x in found] == [(3, 0.6667, "क"), (7, 0.1235, "a\nb \"c\"")] and "1 words for 3" in found[0]["reasoning"] and "0.33" in found[0]["reasoning"]
+    files.write_error_samples(sample.limit(0), str(tmp_path / "none"))
+    assert json.loads(next((tmp_path / "none").glob("part-*")).read_text()) == []
+
+
+def test_fixes_rates_metrics_and_samples(spark):
+    ranked = rows(spark, [(k, i) for i, k in enumerate(errors.TAXONOMY, 1)], "error_type string, rank int")
+    assert [r.fix is not None for r in errors.with_fix(ranked).orderBy("rank").collect()] == [True] * 3 + [False] * 3
+    rates = evaluation.corpus_rates(rows(spark, [("a", "x y", "x"), ("a", "z", "z"), ("b", "x y", "x y"), ("c", "", "q")], "model string, reference string, prediction string"))
+    assert {r.model: (r.wer, r.num_samples) for r in rates.collect()} == {"a": (33.33, 2), "b": (0.0, 1), "c": (None, 1)}
+    assert tuple(evaluation.comparison(rates, "a", "b").first()) == (33.33, 0.0, 33.33, 100.0) and evaluation.comparison(rates, "b", "a").first().relative is None
+    ids = rows(spark, [([5, 6, 7], [5, 6, -100])], "p array<int>, l array<int>")
+    decode = lambda c: F.array_join(F.transform(F.filter(c, lambda x: x != 0), lambda x: x.cast("string")), " ")
+    assert tuple(labels.compute_metrics(ids, "p", "l", decode, 0).first()) == (1, 2, 50.0)
+    words = [r.word for r in spelling.sample_words(spark, 5).orderBy("place").collect()]
+    assert words == [*[*spelling.DICTIONARY, *spelling.TEST_WORDS][: 5 - 11], *spelling.TEST_WORDS]
+    assert models.present(spark, {"a": None, "b": "/no/such/path"}) == ["a"]
+
+
 def test_tagging_against_plain_rules(spark):
     """Random tokens of letters, edge characters, marks and white space; the rules are spelled out in Python."""
     rng = random.Random(3)

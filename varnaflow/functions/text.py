@@ -26,8 +26,8 @@ def strip(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Punctuation to blanks, runs of white space to one blank, none at the ends; case is kept."""
-    return strip(F.regexp_replace(F.regexp_replace(text, PUNCTUATION, " "), f"{WS}+", " "))
+    """Punctuation to blanks, runs of white space to one blank, none at the ends; case is kept. One pass: a run of either becomes one blank."""
+    return F.trim(F.regexp_replace(text, f"[{WS[1:-1]}{PUNCTUATION[1:-1]}]+", " "))
 
 
 def words(text: Column) -> Column:
@@ -38,6 +38,11 @@ def tokenize(text: Column) -> Column:
     return words(normalize_text(text))
 
 
+def preview(text: Column, most: int = 60) -> Column:
+    """The first characters of a text, for reports."""
+    return F.substring(text, 1, most)
+
+
 def interleaved(text: Column, pattern: str) -> tuple[Column, Column]:
     """What lies between the matches of a pattern, and the matches: one fewer."""
     return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

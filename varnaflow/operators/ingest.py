@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import normalize_text, strip, words
+from ..functions.text import normalize_text, preview, strip, words
 
 
 def hindi_only(index: DataFrame) -> DataFrame:
@@ -41,9 +41,29 @@ def capped(rows: DataFrame, recording: str, most: int | None) -> DataFrame:
     return rows.join(kept, recording, "left_semi")
 
 
+def _mixed(key: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+
+
+def shuffled(rows: DataFrame, key: Column, seed: int = 42) -> DataFrame:
+    """All rows in the order of md5(seed | key): a distributed sort."""
+    return rows.orderBy(_mixed(key, seed), key)
+
+
+def demo_utterances(segments: DataFrame, user_id: int = 0, recording_id: int = 0, least: float = 1.0, most: float = 30.0) -> DataFrame:
+    """The utterances of one recording (start, end, text) under given ids, filtered; one that punctuation makes empty goes by the filter."""
+    one = segments.select(F.lit(user_id).cast("long").alias("user_id"), F.lit(recording_id).cast("long").alias("recording_id"), F.lit("").alias("audio_url"), F.lit("hi").alias("language"), F.array(F.struct("start", "end", "text")).alias("segments"))
+    return filtered(utterances(one), least, most)
+
+
+def head(rows: DataFrame, order: str, most: int = 5) -> DataFrame:
+    """The first rows with short raw and normalised texts."""
+    return rows.orderBy(order).limit(most).withColumns({"raw_text": preview(F.col("raw_text")), "text": preview(F.col("text"))})
+
+
 def split(rows: DataFrame, key: Column, share: float = 0.9, seed: int = 42) -> DataFrame:
     """Adds ``split``: the first floor(share * n) rows in the order of md5(seed | key) train, the others validate."""
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    order = _mixed(key, seed)
     hashed = rows.select(order.alias("h"), key.alias("k"))
     counts = sorted((r["p"], r["count"]) for r in hashed.groupBy(F.substring("h", 1, 3).alias("p")).count().collect())  # at most 4096 rows
     left = int(sum(n for _, n in counts) * share)

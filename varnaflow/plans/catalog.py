@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import codemix, wer
 from ..functions.numbers import MULTIPLIER_VALUES, UNIT_VALUES, normalize_numbers, words_to_number
 from ..functions.text import normalize_text, tokenize, words
-from ..operators import errors, ingest, labels, lattice, spelling
+from ..operators import errors, evaluation, ingest, labels, lattice, models, spelling
 from ..sources import files
-from ..streaming.cleanup import cleaned
+from ..streaming.cleanup import cleaned, example_notes
+from . import demos
 
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LATIN, _DEVANAGARI = "abcdefghijklmnopqrstuvwxyz", "ािकगचेजतीटडदनपोबमंयरुलवसहॉ"
 #: Number words that may end a span: those whose last character is a letter.
 _NUMBERS = [(w, v) for w, v in UNIT_VALUES.items() if v and w[-1].isalpha()]
+_MARK_FINAL = [(w, v) for w, v in (UNIT_VALUES | MULTIPLIER_VALUES).items() if v and not w[-1].isalpha()]
+_ALL_NUMBERS = [(w, v) for w, v in UNIT_VALUES.items() if v]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,10 +93,31 @@ def q_train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.split(_table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id"))
 
 
+def q_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shuffled order: the rows of the table, sorted by a hash."""
+    return ingest.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("doc_id"))
+
+
+def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five utterances that the filter keeps, cut short for a report."""
+    u = ingest.filtered(ingest.utterances(_recordings(spark, sf_dir)), 1.0, 10.0).withColumn("place", F.col("recording_id") * 1000 + F.col("start"))
+    return ingest.head(u, "place").select("recording_id", "start", "raw_text", "text")
+
+
+def q_demo_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as one recording under a given id."""
+    c = _table(spark, sf_dir, "conversations").select(F.col("turn").cast("double").alias("start"), (F.col("turn") + F.length("text") / 100.0).alias("end"), "text")
+    return ingest.demo_utterances(c, 7, 11, 1.0, 10.0).select("user_id", "recording_id", "start", "text", "language")
+
+
 _UTT = f"""utt AS (SELECT conv_id AS recording_id, turn::DOUBLE AS start, length(text) / 100.0::DOUBLE AS duration, {_NORM_SQL('text')} AS text FROM conversations WHERE {_NORM_SQL('text')} <> '')"""
 UTT_SQL = f"WITH {_UTT} SELECT recording_id, start, round((start + duration) - start, 6) AS duration, text FROM utt"
 UTT_FILTER_SQL = f"WITH {_UTT} SELECT recording_id, start, text FROM utt WHERE (start + duration) - start BETWEEN 1.0 AND 10.0"
 REMOVED_SQL = f"WITH {_UTT} SELECT count(*) FILTER ((start + duration) - start BETWEEN 1.0 AND 10.0) AS kept, count(*) FILTER (NOT (start + duration) - start BETWEEN 1.0 AND 10.0) AS removed FROM utt"
+SHUFFLED_SQL = "SELECT doc_id, source FROM documents"
+PREVIEW_SQL = f"""WITH {_UTT}, k AS (SELECT recording_id, start, text FROM utt WHERE (start + duration) - start BETWEEN 1.0 AND 10.0 ORDER BY recording_id * 1000 + start LIMIT 5)
+SELECT recording_id, start, left(regexp_replace(c.text, '^{_WS}+|{_WS}+$', '', 'g'), 60) AS raw_text, left(k.text, 60) AS text FROM k JOIN conversations c ON recording_id = conv_id AND start = turn"""
+DEMO_UTT_SQL = f"WITH {_UTT} SELECT 7::BIGINT AS user_id, 11::BIGINT AS recording_id, start, text, 'hi' AS language FROM utt WHERE (start + duration) - start BETWEEN 1.0 AND 10.0"
 CAP_SQL = f"""WITH {_UTT}, n AS (SELECT recording_id, count(*) AS n FROM utt GROUP BY 1), b AS (SELECT recording_id, coalesce(sum(n) OVER (ORDER BY recording_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM n)
 SELECT recording_id, start FROM utt WHERE recording_id IN (SELECT recording_id FROM b WHERE b < 100)"""
 SPLIT_SQL = """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) <= floor((SELECT count(*) FROM documents) * 0.9::DOUBLE) THEN 'train' ELSE 'validation' END AS split FROM documents"""
@@ -102,9 +129,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn as reference, the next turn as prediction; odd conversations in Devanagari letters."""
     c = _spread(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     text = F.when(F.col("conv_id") % 2 == 1, F.translate(F.lower("text"), _LATIN, _DEVANAGARI)).otherwise(F.col("text"))
-    c = c.select("conv_id", "turn", text.alias("text"))
-    n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
-    return c.withColumnRenamed("text", "reference").join(n, ["conv_id", "turn"]).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    c = c.select("conv_id", "turn", text.alias("reference"))
+    c = c.withColumns({"prediction": F.lead("reference").over(after), "_next": F.lead("turn").over(after)}).filter(F.col("_next") == F.col("turn") + 1)
+    return c.drop("_next").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
 
 
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +158,8 @@ def q_wer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).select("id", wer.scoring_words(F.col("reference")).alias("r"), wer.scoring_words(F.col("prediction")).alias("h"), errors.classify_error(F.col("reference"), F.col("prediction")).alias("error_type"))
-    return wer.with_word_edits(rows, "r", "h").select("id", "edits", F.size("r").cast("long").alias("ref_len"), wer.utterance_wer(F.col("edits"), F.col("r")).alias("wer"), "error_type")
+    rows = _pairs(spark, sf_dir).select("id", "reference", "prediction", wer.scoring_words(F.col("reference")).alias("r"), wer.scoring_words(F.col("prediction")).alias("h"), errors.classify_error(F.col("reference"), F.col("prediction")).alias("error_type"))
+    return wer.with_word_edits(rows, "r", "h").select("id", "reference", "prediction", "edits", F.size("r").cast("long").alias("ref_len"), wer.utterance_wer(F.col("edits"), F.col("r")).alias("wer"), "error_type")
 
 
 def q_utterance_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,21 +190,51 @@ def q_taxonomy_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.examples(_scored(spark, sf_dir).filter("wer > 0"), "id").select("error_type", "rank", "id")
 
 
-_PAIR = f"""txt AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 THEN translate(lower(text), '{_LATIN}', '{_DEVANAGARI}') ELSE text END AS text FROM conversations),
-pair AS (SELECT a.conv_id, a.conv_id * 1000 + a.turn AS id, a.text AS reference, b.text AS prediction FROM txt a JOIN txt b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+def q_error_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled rows with class and reason."""
+    return errors.error_samples(errors.systematic_sample(_scored(spark, sf_dir), "id"))
+
+
+def q_error_samples_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written as one JSON array and read back."""
+    path = files.shared_folder(spark, "samples")
+    files.write_error_samples(q_error_samples(spark, sf_dir), path)
+    return spark.read.schema("idx long, reference string, prediction string, wer double, error_type string, reasoning string").json(path, multiLine=True)
+
+
+def q_error_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _scored(spark, sf_dir)
+    return r.select("id", errors.error_reason(F.col("error_type"), F.col("reference"), F.col("prediction")).alias("reasoning"))
+
+
+def q_taxonomy_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.with_fix(errors.taxonomy(_scored(spark, sf_dir).filter("wer > 0"), "id")).select("error_type", "rank", "fix")
+
+
+def q_model_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus rates by model on texts as they are: odd and even conversations as two models."""
+    rows = _pairs(spark, sf_dir).withColumn("model", F.when(F.col("conv_id") % 2 == 0, "base").otherwise("tuned"))
+    return evaluation.corpus_rates(rows)
+
+
+_PAIR = f"""txt AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 THEN translate(lower(text), '{_LATIN}', '{_DEVANAGARI}') ELSE text END AS text FROM conversations),
+pair AS MATERIALIZED (SELECT a.conv_id, a.conv_id * 1000 + a.turn AS id, a.text AS reference, b.text AS prediction FROM txt a JOIN txt b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+def _diagonal(now: str, before: str, cost: str) -> str:
+    """The next diagonal of a distance table from the last two: cell i lies in row i, column k + 1 - i."""
+    least = f"least({now}[i] + 1, {now}[i + 1] + 1, {before}[i] + CASE WHEN {cost} THEN 0 ELSE 1 END)"
+    return f"list_transform(generate_series(0, k + 1), lambda i: CASE WHEN i = 0 OR i = k + 1 THEN k + 1 WHEN i > len(r) OR k + 1 - i > len(h) THEN 1000000 ELSE {least} END)"
 
 
 def _dp(split: str) -> str:
-    """Row by row: the least of above + 1 and diagonal + cost, then a running minimum along the row."""
-    return f"""{_PAIR}, tok AS (SELECT id, conv_id, {split.format('reference')} AS r, {split.format('prediction')} AS h FROM pair),
+    """Edit distances, a diagonal of the table a step."""
+    return f"""{_PAIR}, tok AS MATERIALIZED (SELECT id, conv_id, {split.format('reference')} AS r, {split.format('prediction')} AS h FROM pair),
 dp AS (
-  SELECT id, 0::BIGINT AS i, j, j AS v FROM (SELECT id, unnest(generate_series(0, len(h)))::BIGINT AS j FROM tok)
+  SELECT id, 0 AS k, []::BIGINT[] AS b, [0::BIGINT] AS a FROM tok
   UNION ALL
-  SELECT id, i, j, min(t - j) OVER (PARTITION BY id ORDER BY j) + j FROM (
-    SELECT dp.id, dp.i + 1 AS i, dp.j, least(dp.v + 1, coalesce(lag(dp.v) OVER (PARTITION BY dp.id ORDER BY dp.j) + CASE WHEN tok.r[dp.i + 1] = tok.h[dp.j] THEN 0 ELSE 1 END, dp.v + 1)) AS t
-    FROM dp JOIN tok USING (id) WHERE dp.i < len(tok.r)
-  )
-), ed AS (SELECT tok.id, conv_id, dp.v AS edits, len(r) AS ref_len FROM tok JOIN dp ON tok.id = dp.id AND dp.i = len(r) AND dp.j = len(h))"""
+  SELECT id, k + 1, a, {_diagonal('a', 'b', 'r[i] = h[k + 1 - i]')} FROM dp JOIN tok USING (id) WHERE k < len(r) + len(h)
+), ed AS (SELECT tok.id, conv_id, a[len(r) + 1] AS edits, len(r) AS ref_len FROM tok JOIN dp ON tok.id = dp.id AND k = len(r) + len(h))"""
 
 
 _TOK = f"list_filter(string_split({_NORM_SQL('{}')}, ' '), lambda w: w <> '')"
@@ -187,10 +245,12 @@ _CLASS = rf"""cls AS (
   SELECT id, len(r) AS n0, greatest(len(r), 1) AS n, greatest(len(p), 1) AS m, list_max(list_transform(list_distinct(p), lambda w: len(list_filter(p, lambda x: x = w)))) AS most, latin
   FROM (SELECT id, list_filter(regexp_split_to_array(reference, '{_WS}+'), lambda w: w <> '') AS r, list_filter(regexp_split_to_array(prediction, '{_WS}+'), lambda w: w <> '') AS p, regexp_matches(reference, '[A-Za-z]') OR regexp_matches(prediction, '[A-Za-z]') AS latin FROM pair)
 ), typ AS (
-  SELECT id, CASE WHEN latin THEN 'CODE_MIX' WHEN n <= 2 THEN 'NOISE_DISFLUENCY' WHEN m / n < 0.5::DOUBLE THEN 'DELETION' WHEN m / n > 2.0::DOUBLE THEN 'INSERTION' WHEN m > 3 AND most > m * 0.4::DOUBLE THEN 'REPETITION' ELSE 'SUBSTITUTION_OOV' END AS error_type FROM cls
+  SELECT id, n, m, CASE WHEN latin THEN 'CODE_MIX' WHEN n <= 2 THEN 'NOISE_DISFLUENCY' WHEN m / n < 0.5::DOUBLE THEN 'DELETION' WHEN m / n > 2.0::DOUBLE THEN 'INSERTION' WHEN m > 3 AND most > m * 0.4::DOUBLE THEN 'REPETITION' ELSE 'SUBSTITUTION_OOV' END AS error_type FROM cls
 )"""
 _WER = "utt_wer AS (SELECT *, CASE WHEN ref_len = 0 THEN 1.0::DOUBLE ELSE edits / ref_len END AS wer FROM ed)"
 _STRAT = "st AS (SELECT *, CASE WHEN wer <= 0.3::DOUBLE THEN 'low' WHEN wer <= 0.7::DOUBLE THEN 'mid' ELSE 'high' END AS stratum FROM utt_wer WHERE wer > 0)"
+_told = lambda k: "CASE error_type " + " ".join(f"WHEN '{c}' THEN '{v[k].replace(chr(39), chr(39) * 2)}'" for c, v in errors.TAXONOMY.items()) + " END"
+_REASON = "CASE error_type " + " ".join(f"WHEN '{c}' THEN " + (f"printf('{v.format('%d', '%d', '%.2f')}', m, n, round_even(m / n, 2))" if "{}" in v else f"'{v}'") for c, v in errors.REASONS.items()) + " END"
 STANDARD_SQL = _STD + " SELECT id, edits, ref_len, round_even(edits / greatest(ref_len, 1), 6) AS wer FROM ed"
 CORPUS_SQL = _STD + " SELECT sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_words, round_even(100 * sum(edits) / sum(ref_len), 2) AS wer FROM ed"
 COMPARE_SQL = _STD + """, r AS (SELECT round_even(100 * sum(edits) FILTER (conv_id % 2 = 0) / sum(ref_len) FILTER (conv_id % 2 = 0), 2) AS base, round_even(100 * sum(edits) FILTER (conv_id % 2 = 1) / sum(ref_len) FILTER (conv_id % 2 = 1), 2) AS tuned FROM ed), d AS (SELECT *, round_even(base - tuned, 2) AS delta FROM r)
@@ -201,26 +261,53 @@ STRATA_SQL = _UTT_DP + f", {_WER}, {_STRAT} SELECT stratum, count(*) AS n FROM s
 SAMPLE_SQL = _UTT_DP + f""", {_WER}, {_STRAT}, k AS (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n, CASE stratum WHEN 'low' THEN 5 ELSE 10 END AS q FROM st)
 SELECT id, stratum FROM k WHERE k % greatest(1, n // q) = 0 AND k // greatest(1, n // q) < q"""
 TAXONOMY_SQL = _UTT_DP + f""", {_WER}, {_CLASS}, g AS (SELECT error_type, count(*) AS n, min(id) AS f FROM typ JOIN utt_wer USING (id) WHERE wer > 0 GROUP BY 1)
-SELECT error_type, n, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank, round_even(100 * n / sum(n) OVER (), 0) AS pct, CASE error_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in errors.TAXONOMY.items())} END AS description FROM g"""
+SELECT error_type, n, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank, round_even(100 * n / sum(n) OVER (), 0) AS pct, {_told(0)} AS description FROM g"""
 
 _ERR = _UTT_DP + f", {_WER}, {_CLASS}"
 CAUSES_SQL = _ERR + f""", g AS (SELECT error_type, count(*) AS n, min(id) AS f FROM typ JOIN utt_wer USING (id) WHERE wer > 0 GROUP BY 1)
-SELECT error_type, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank, CASE error_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in errors.CAUSES.items())} END AS cause FROM g"""
+SELECT error_type, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank, {_told(1)} AS cause FROM g"""
+FIXES_SQL = _ERR + f""", g AS (SELECT error_type, count(*) AS n, min(id) AS f FROM typ JOIN utt_wer USING (id) WHERE wer > 0 GROUP BY 1), k AS (SELECT error_type, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank FROM g)
+SELECT error_type, rank, CASE WHEN rank <= {errors.FIXES_SHOWN} THEN {_told(2)} END AS fix FROM k"""
+REASONS_SQL = f"WITH {_PAIR}, {_CLASS} SELECT id, {_REASON} AS reasoning FROM typ"
+SAMPLES_SQL = _UTT_DP + f""", {_WER}, {_CLASS}, {_STRAT}, k AS (SELECT id, wer, row_number() OVER (PARTITION BY stratum ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n0, CASE stratum WHEN 'low' THEN 5 ELSE 10 END AS q FROM st)
+SELECT id AS idx, reference, prediction, round_even(wer, 4) AS wer, error_type, {_REASON} AS reasoning FROM k JOIN typ USING (id) JOIN pair USING (id) WHERE k % greatest(1, n0 // q) = 0 AND k // greatest(1, n0 // q) < q"""
+_RAW_TOK = rf"list_filter(regexp_split_to_array({{}}, '{_WS.replace('{', '{{').replace('}', '}}')}+'), lambda w: w <> '')"
+RATES_SQL = "WITH RECURSIVE " + _dp(_RAW_TOK) + " SELECT CASE WHEN conv_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS model, round_even(100 * sum(edits) / sum(ref_len), 2) AS wer, count(*) AS num_samples FROM ed GROUP BY 1"
 EXAMPLES_SQL = _ERR + ", k AS (SELECT error_type, id, row_number() OVER (PARTITION BY error_type ORDER BY id) AS rank FROM typ JOIN utt_wer USING (id) WHERE wer > 0) SELECT error_type, CAST(rank AS INTEGER) AS rank, id FROM k WHERE rank <= 5"
 
 # --- numbers and code mix ---------------------------------------------------------------------------------------------
 
 
+def _picked(values: list, at):
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (at % len(values) + 1).cast("int"))
+
+
 def _number(spark_index, k: int = 0):
-    return F.element_at(F.array(*[F.lit(x[k]) for x in _NUMBERS]), (spark_index % len(_NUMBERS) + 1).cast("int"))
+    return _picked([x[k] for x in _NUMBERS], spark_index)
 
 
 def q_word_to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number word, a multiplier and a number word; of all words but zero, marks at their ends or not."""
     p = _table(spark, sf_dir, "part")
-    tokens = F.array(_number(F.col("p_size")), F.lit("सौ"), _number(F.col("p_partkey")))
+    tokens = F.array(_picked([w for w, _ in _ALL_NUMBERS], F.col("p_size")), _picked(list(MULTIPLIER_VALUES), F.col("p_partkey")), _picked([w for w, _ in _ALL_NUMBERS], F.col("p_partkey")))
     return p.select("p_partkey", words_to_number(tokens).cast("long").alias("number"))
 
 
+def q_number_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All multipliers inside a sentence, behind any number word."""
+    p = _table(spark, sf_dir, "part")
+    text = F.concat_ws(" ", F.lit("उन्हें"), _picked([w for w, _ in _ALL_NUMBERS], F.col("p_size")), _picked(list(MULTIPLIER_VALUES), F.col("p_partkey")), _number(F.col("p_partkey")), F.lit("रुपये"))
+    out = p.select("p_partkey", normalize_numbers(text).alias("n"))
+    return out.select("p_partkey", F.col("n.text").alias("text"), F.col("n.changes")[0].reason.alias("reason"))
+
+
+def q_number_mark_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number words that end in a mark stay before a blank, but for a shorter one inside them; with marks as word characters they become digits."""
+    p = _table(spark, sf_dir, "part")
+    text = F.concat_ws(" ", F.lit("वह"), _picked([w for w, _ in _MARK_FINAL], F.col("p_partkey")), F.lit("किलो"))
+    return p.select("p_partkey", normalize_numbers(text).text.alias("text"), normalize_numbers(text, True).text.alias("mended"))
+
+
 def q_normalize_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "part")
     text = F.concat(F.lit("वहाँ "), _number(F.col("p_size")), F.lit(" सौ  "), _number(F.col("p_partkey")), F.lit(" लोग थे"))
@@ -268,9 +355,29 @@ def q_cleanup_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.filter(changed).orderBy("doc_id").limit(5).select("doc_id", "final")
 
 
+def q_cleanup_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cleanup changes in each text, as an example report shows it."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("दस-बीस लोग "), F.col("p_name"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("मुझे "), _number(F.col("p_partkey")), F.lit(" लोग मिले"))).otherwise("तुम कहाँ हो").alias("text"))
+    n = example_notes(cleaned(p))
+    return n.select("p_partkey", "before", "numbers", "after", F.array_join("number_notes", "; ").alias("number_notes"), "english_note")
+
+
+def q_surely_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _spread(spark, sf_dir, "documents", "text").select(F.explode(words(F.col("text"))).alias("token"))
+    return t.filter(codemix.surely_english(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 _LIST = lambda k: "[" + ", ".join(f"'{x[k]}'" if k == 0 else str(x[k]) for x in _NUMBERS) + "]"
 _AT = lambda c, k: f"{_LIST(k)}[{c} % {len(_NUMBERS)} + 1]"
-NUMBER_SQL = f"SELECT p_partkey, CAST({_AT('p_size', 1)} * 100 + {_AT('p_partkey', 1)} AS BIGINT) AS number FROM part"
+_OF = lambda values, c: "[" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in values) + f"][{c} % {len(values)} + 1]"
+_ANY = lambda c, k: _OF([x[k] for x in _ALL_NUMBERS], c)
+_TIMES = _OF(list(MULTIPLIER_VALUES.values()), "p_partkey")
+NUMBER_SQL = f"SELECT p_partkey, CAST({_ANY('p_size', 1)} AS BIGINT) * {_TIMES} + {_ANY('p_partkey', 1)} AS number FROM part"
+MULTIPLIERS_SQL = f"""WITH n AS (SELECT p_partkey, (CAST({_ANY('p_size', 1)} AS BIGINT) * {_TIMES} + {_AT('p_partkey', 1)})::VARCHAR AS x, {_ANY('p_size', 0)} || ' ' || {_OF(list(MULTIPLIER_VALUES), 'p_partkey')} || ' ' || {_AT('p_partkey', 0)} AS w FROM part)
+SELECT p_partkey, 'उन्हें ' || x || ' रुपये' AS text, 'Standard number conversion: ' || w || ' → ' || x AS reason FROM n"""
+_WORDS_RE = re.compile(r"\b(?:" + "|".join(sorted(UNIT_VALUES | MULTIPLIER_VALUES, key=len, reverse=True)) + r")\b")  # Python's own boundaries: a shorter number word may end before a mark
+_MARKED = [_WORDS_RE.sub(lambda m: str((UNIT_VALUES | MULTIPLIER_VALUES)[m[0]]), f"{w} ") for w, _ in _MARK_FINAL]
+MARKS_SQL = f"SELECT p_partkey, 'वह ' || {_OF(_MARKED, 'p_partkey')} || 'किलो' AS text, 'वह ' || {_OF([v for _, v in _MARK_FINAL], 'p_partkey')} || ' किलो' AS mended FROM part"
 NUMBERS_SQL = f"SELECT p_partkey, 'वहाँ ' || ({_AT('p_size', 1)} * 100 + {_AT('p_partkey', 1)}) || ' लोग थे' AS text, 1::BIGINT AS n_changes FROM part"
 IDIOM_SQL = f"SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'दस-बीस लोग' ELSE {_AT('p_partkey', 1)} || ' लोग' END AS text, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n_skipped FROM part"
 _EDGE1, _EDGE2, _EDGE3 = (x.replace("'", "''") for x in (codemix.CLASSIFIER_EDGE, codemix.TAGGER_EDGE, codemix.LISTED_EDGE))
@@ -286,13 +393,20 @@ _SALARY = f"(SELECT p_partkey, 'मुझे ' || {_AT('p_partkey', 1)} || ' sal
 CLEANUP_SQL = f"WITH {_TOKENS.format(key='p_partkey', text='text', source=_SALARY)} SELECT p_partkey, string_agg({_TAGGED}, '' ORDER BY i) AS final, count(*) FILTER ({_ENGLISH}) AS n_english FROM tk GROUP BY 1"
 CHANGED_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT count(DISTINCT doc_id) FILTER ({_ENGLISH}) AS changed, (SELECT count(*) FROM documents) AS total FROM tk"
 
+_NAMED = "list_filter(regexp_split_to_array(p_name, ' +'), lambda w: w <> '')"
+NOTES_SQL = f"""WITH t AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN 'दस-बीस लोग ' || p_name WHEN 1 THEN 'मुझे ' || {_AT('p_partkey', 0)} || ' लोग मिले' ELSE 'तुम कहाँ हो' END AS before FROM part)
+SELECT p_partkey, before, CASE WHEN p_partkey % 3 = 1 THEN 'मुझे ' || {_AT('p_partkey', 1)} || ' लोग मिले' END AS numbers,
+  CASE p_partkey % 3 WHEN 0 THEN 'दस-बीस लोग ' || array_to_string(list_transform({_NAMED}, lambda w: '[EN]' || w || '[/EN]'), ' ') WHEN 1 THEN 'मुझे ' || {_AT('p_partkey', 1)} || ' लोग मिले' ELSE before END AS after,
+  CASE p_partkey % 3 WHEN 0 THEN 'दस: idiom, kept; बीस: idiom, kept' WHEN 1 THEN {_AT('p_partkey', 0)} || ' → ' || {_AT('p_partkey', 1)} ELSE '' END AS number_notes, CASE WHEN p_partkey % 3 = 0 THEN array_to_string({_NAMED}, ', ') END AS english_note FROM t"""
+SURELY_SQL = f"WITH {_TOKENS.format(key='doc_id', text='text', source='documents')} SELECT t AS token, count(*) AS n FROM tk WHERE lower({_BARE('t', _EDGE1)}) IN ({', '.join(repr(w) for w in codemix.DEFINITE_ENGLISH)}) GROUP BY 1"
+
 # --- spelling ---------------------------------------------------------------------------------------------------------
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct Latin words of all documents in Devanagari letters, and as they are."""
+    """The distinct words of all documents, their letters a to z in Devanagari, and as they are. A word is a run of letters of any script."""
     d = _spread(spark, sf_dir, "documents", "text")
-    w = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("latin")).distinct()
+    w = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("latin")).distinct()
     return w.select("latin", F.translate("latin", _LATIN, _DEVANAGARI).alias("word"))
 
 
@@ -343,14 +457,25 @@ def q_low_conf_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.failure_categories(spark).select("rank", "category", F.array_join("examples", ", ").alias("examples"))
+    return spelling.failure_categories(spark).select("rank", "category", F.array_join("examples", ", ").alias("examples"), "description", "why", "fix")
 
 
 def q_spelling_signals_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.classify(_words(spark, sf_dir), "latin").select("latin", spelling.signals_json().alias("signals"))
 
 
-_W = f"w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS latin FROM documents), v AS (SELECT latin, translate(latin, '{_LATIN}', '{_DEVANAGARI}') AS word FROM w)"
+def q_spelling_first_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty words of low confidence, with the score that their signals tell."""
+    rows = spelling.first_low(spelling.classify(_words(spark, sf_dir), "latin"), "latin")
+    return rows.select("latin", spelling.signal_score(spelling.signals_json()).alias("lm_score"))
+
+
+def q_spelling_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty built-in words, the test words among them."""
+    return spelling.sample_words(spark, 20)
+
+
+_W = f"w AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS latin FROM documents), v AS MATERIALIZED (SELECT latin, translate(latin, '{_LATIN}', '{_DEVANAGARI}') AS word FROM w)"
 _PHON = "CASE WHEN word = '' THEN 'empty' WHEN NOT regexp_matches(word, '^[\\x{0900}-\\x{0963}\\x{0966}-\\x{096F}\\x{0970}-\\x{097F}]+$') THEN 'contains invalid characters' " + " ".join(f"WHEN contains(word, '{chr(int(c, 16)) * 2}') THEN 'invalid character combination: [\\u{c}][\\u{c}]'" for c in spelling.DOUBLED) + f" WHEN length(word) - length(replace(word, '{spelling.VIRAMA}', '')) > 3 AND length(word) < 8 THEN 'too many virama in short word' WHEN length(word) = 1 THEN 'single character (likely filler)' ELSE 'phonotactically valid' END"
 PHON_SQL = f"WITH {_W}, b AS (SELECT word FROM v UNION ALL SELECT latin FROM v) SELECT {_PHON} AS reason, count(*) AS n FROM b GROUP BY 1"
 LOAN_SQL = f"WITH {_W} SELECT word FROM v WHERE regexp_matches(word, '{spelling.LOANWORDS}')"
@@ -368,7 +493,11 @@ COUNTS_SQL, CONTEXT_SQL, SCORE_SQL = f"WITH {_OWN} SELECT tri, c FROM tri", f"WI
 _CLS = f"""{_ALL}, ph AS (SELECT latin, word, {_PHON} AS reason, CASE WHEN regexp_matches(word, '{spelling.LOANWORDS}') THEN 'loanword' WHEN {_PHON} NOT IN ('phonotactically valid', 'single character (likely filler)') THEN 'phonotactic' WHEN word IN ({', '.join(f"'{w}'" for w in spelling.DICTIONARY)}) THEN 'dictionary' ELSE 'model' END AS exit FROM v),
 cl AS (SELECT latin, CASE WHEN exit = 'phonotactic' OR exit = 'model' AND lm_score < -3.5::DOUBLE THEN 'incorrect_spelling' ELSE 'correct_spelling' END AS label, CASE WHEN exit <> 'model' OR lm_score >= -1.8::DOUBLE THEN 'high' WHEN lm_score >= -3.5::DOUBLE THEN 'medium' ELSE 'low' END AS confidence FROM ph JOIN sc USING (latin))"""
 CLASSIFY_SQL = f"WITH {_CLS} SELECT latin, label, confidence FROM cl"
-STATS_SQL = f"WITH {_CLS} SELECT count(*) AS total, count(*) FILTER (label = 'correct_spelling') AS correct, count(*) FILTER (label <> 'correct_spelling') AS wrong, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low FROM cl"
+STATS_SQL = f"""WITH {_CLS} SELECT count(*) AS total, count(*) FILTER (label = 'correct_spelling') AS correct, count(*) FILTER (label <> 'correct_spelling') AS wrong, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low, """ + ", ".join(f"CASE WHEN count(*) > 0 THEN round_even(count(*) FILTER ({c}) / count(*) * 100, 1) END AS {k}_pct" for k, c in {"correct": "label = 'correct_spelling'", "wrong": "label <> 'correct_spelling'"}.items() | {k: f"confidence = '{k}'" for k in ("high", "medium", "low")}.items()) + " FROM cl"
+SIGNALS_SQL = f"""WITH {_CLS} SELECT latin, CASE exit WHEN 'loanword' THEN '{{"devanagari_english": true}}' ELSE '{{"phonotactic": {{"ok": ' || (exit <> 'phonotactic')::VARCHAR || ', "reason": "' || replace(reason, '\\', '\\\\') || '"}}' || CASE exit WHEN 'dictionary' THEN ', "dictionary": {{"found": true, "reason": "found in dictionary"}}'
+  WHEN 'model' THEN ', "dictionary": {{"found": null, "reason": "not in dictionary"}}, "lm_score": ' || round_even(lm_score, 4)::VARCHAR ELSE '' END || '}}' END AS signals FROM ph JOIN sc USING (latin)"""
+FIRST_LOW_SQL = f"WITH {_CLS} SELECT latin, round_even(lm_score, 4)::VARCHAR AS lm_score FROM cl JOIN sc USING (latin) WHERE confidence = 'low' ORDER BY latin LIMIT 20"
+SAMPLED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate([*spelling.DICTIONARY[:9], *spelling.TEST_WORDS])) + ") t(place, word)"
 
 _IN_LIST = ", ".join(f"'{w}'" for w in spelling.DICTIONARY)
 LOOKUP_SQL = f"WITH {_W}, a AS (SELECT word FROM v UNION ALL SELECT unnest([{_IN_LIST}])) SELECT CASE WHEN word IN ({_IN_LIST}) THEN true END AS found, CASE WHEN word IN ({_IN_LIST}) THEN 'found in dictionary' ELSE 'not in dictionary' END AS reason, count(*) AS n FROM a GROUP BY 1, 2"
@@ -377,14 +506,14 @@ LOW_SQL = _LOW + " SELECT latin, word FROM low"
 _VALID = f"(word IN ({', '.join(repr(w) for w in spelling.KNOWN_VALID)}) OR length(word) > 3)"
 REVIEW_SQL = _LOW + f""", r AS (SELECT *, (label = 'correct_spelling') = {_VALID} AS ok, {_VALID} AS valid FROM low)
 SELECT count(*) AS n, count(*) FILTER (ok) AS "right", count(*) FILTER (NOT ok) AS wrong, count(*) FILTER (ok AND NOT valid) AS misspelled, CASE WHEN count(*) > 0 THEN round_even(100 * count(*) FILTER (ok) / count(*), 0) END AS accuracy FROM r"""
-FAILURES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{', '.join(v)}')" for i, (k, v) in enumerate(spelling.FAILURES.items(), 1)) + ") AS t(rank, category, examples)"
+FAILURES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{', '.join(v)}', " + ", ".join(f"'{x}'" for x in spelling.FAILURE_NOTES[k]) + ")" for i, (k, v) in enumerate(spelling.FAILURES.items(), 1)) + ") AS t(rank, category, examples, description, why, fix)"
 
 # --- lattices and label batches ---------------------------------------------------------------------------------------
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn is the reference; five models each replace, drop or double words by a rule of position."""
-    c = _spread(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("segment"), F.col("conv_id"), tokenize(F.col("text")).alias("reference")).filter(F.size("reference") > 0)
+    c = _spread(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("segment"), F.col("conv_id"), F.col("text"), tokenize(F.col("text")).alias("reference"))
 
     def model(m: int):
         def word(w, i):
@@ -392,7 +521,8 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
             shared = (F.col("conv_id") + i * 3) % 11 == 0  # four models agree against the reference
             return F.when(shared & F.lit(m < 4), F.array(F.concat(w, F.lit("y")))).when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(w, w)).when(k < 4, F.array(F.concat(w, F.lit("x")))).otherwise(F.array(w))
 
-        return F.struct(F.lit(f"m{m}").alias("model"), F.flatten(F.transform("reference", word)).alias("words"))
+        words = F.flatten(F.transform("reference", word))
+        return F.struct(F.lit(f"m{m}").alias("model"), words.alias("words"), F.array_join(words, " ").alias("text"))
 
     return c.withColumn("models", F.array(*[model(m) for m in range(5)]))
 
@@ -411,13 +541,25 @@ def q_trusted_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lattice_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.scored(_segments(spark, sf_dir)).select("segment", "model", "standard_edits", "lattice_edits", "ref_len")
+    return lattice.scored(_segments(spark, sf_dir)).select("segment", "model", "standard_edits", "lattice_edits", "ref_len", "hyp_len")
+
+
+def q_lattice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report: a row for each segment and model."""
+    return lattice.report(_segments(spark, sf_dir))
 
 
 def q_lattice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of each model over all segments."""
     r = lattice.scored(_segments(spark, sf_dir))
     pct = lambda c: F.bround(100 * F.sum(c) / F.sum("ref_len"), 2)
-    return r.groupBy("model").agg(pct("standard_edits").alias("standard_wer_pct"), pct("lattice_edits").alias("lattice_wer_pct"), F.sum(F.size("overrides")).alias("n_overrides"))
+    return r.groupBy("model").agg(pct("standard_edits").alias("standard_wer_pct"), pct("lattice_edits").alias("lattice_wer_pct"), F.count(F.lit(1)).alias("n_segments"))
+
+
+def q_lattice_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in segment with arrows."""
+    rows = lattice.report(demos.lattice_segments(spark))
+    return rows.select("model", "prediction", "standard_wer_pct", "lattice_wer_pct", lattice.arrow(F.col("standard_wer_pct"), F.col("lattice_wer_pct")).alias("change"))
 
 
 def _lattice_sql() -> str:
@@ -426,8 +568,8 @@ def _lattice_sql() -> str:
     k = lambda m: f"((conv_id * 7 + (i - 1) * 13 + {m} * 5) % 17)"
     made = lambda m: f"list_transform(r, lambda w, i: CASE WHEN {m} < 4 AND (conv_id + (i - 1) * 3) % 11 = 0 THEN [w || 'y'] WHEN {k(m)} = 0 THEN []::VARCHAR[] WHEN {k(m)} = 1 THEN [w, w] WHEN {k(m)} < 4 THEN [w || 'x'] ELSE [w] END)"
     models = " UNION ALL ".join(f"SELECT segment, 'm{m}' AS model, r, flatten({made(m)}) AS h FROM ref" for m in range(5))
-    return f"""WITH RECURSIVE ref AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS segment, conv_id, {tokens} AS r FROM conversations WHERE len({tokens}) > 0),
-hyp AS ({models}),
+    return f"""WITH RECURSIVE ref AS MATERIALIZED (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS segment, conv_id, text, {tokens} AS r FROM conversations),
+hyp AS MATERIALIZED ({models}),
 rw AS (SELECT segment, model, unnest(r) AS w, generate_subscripts(r, 1) - 1 AS i FROM hyp),
 hw AS (SELECT segment, model, unnest(h) AS w, generate_subscripts(h, 1) - 1 AS j FROM hyp),
 eq0 AS (SELECT segment, model, i, j, i - row_number() OVER (PARTITION BY segment, model, i - j ORDER BY i) AS island FROM rw JOIN hw USING (segment, model, w)),
@@ -461,6 +603,24 @@ over_ AS (SELECT segment, a || ' (' || count(*) || '/5 models agree)' AS overrid
 
 
 _LATTICE = _lattice_sql()
+_LATTICE_DP = _LATTICE + """,
+held AS MATERIALIZED (SELECT segment, list(bin ORDER BY position) AS bins FROM bins GROUP BY segment),
+tok AS MATERIALIZED (SELECT hyp.segment, model, r, h, coalesce(bins, []) AS bins FROM hyp LEFT JOIN held USING (segment)),
+dp AS (
+  SELECT segment, model, 0 AS k, []::BIGINT[] AS sb, [0::BIGINT] AS sa, []::BIGINT[] AS lb, [0::BIGINT] AS la FROM tok
+  UNION ALL
+  SELECT segment, model, k + 1, sa, """ + _diagonal("sa", "sb", "r[i] = h[k + 1 - i]") + ", la, " + _diagonal("la", "lb", "list_contains(bins[i], h[k + 1 - i])") + """ FROM dp JOIN tok USING (segment, model) WHERE k < len(r) + len(h)
+),
+ed AS (
+  SELECT segment, model, text, array_to_string(h, ' ') AS prediction, sa[len(tok.r) + 1] AS standard_edits, la[len(tok.r) + 1] AS lattice_edits, len(tok.r) AS ref_len, len(h) AS hyp_len
+  FROM tok JOIN dp USING (segment, model) JOIN ref USING (segment) WHERE k = len(tok.r) + len(h)
+)"""
+LATTICE_SQL = _LATTICE_DP + " SELECT segment, model, CAST(standard_edits AS INTEGER) AS standard_edits, CAST(lattice_edits AS INTEGER) AS lattice_edits, CAST(ref_len AS INTEGER) AS ref_len, CAST(hyp_len AS INTEGER) AS hyp_len FROM ed"
+_PCT = lambda c: f"round_even(100 * ({c}) / greatest(ref_len, 1), 2)"
+ROWS_SQL = _LATTICE_DP + f" SELECT segment, text AS reference, model, prediction, {_PCT('standard_edits')} AS standard_wer_pct, {_PCT('lattice_edits')} AS lattice_wer_pct, {_PCT('standard_edits - lattice_edits')} AS wer_reduction_pct FROM ed"
+REPORT_SQL = _LATTICE_DP + " SELECT model, round_even(100 * sum(standard_edits) / sum(ref_len), 2) AS standard_wer_pct, round_even(100 * sum(lattice_edits) / sum(ref_len), 2) AS lattice_wer_pct, count(*) AS n_segments FROM ed GROUP BY 1"
+#: The demo's rates, worked by hand.
+DEMO_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('model {chr(65 + k)}', '{x}', {p}::DOUBLE, 0::DOUBLE, '↓{p}%')" for k, (x, p) in enumerate(zip(demos.HEARD, (25, 25, 50, 25, 50), strict=True))) + ") t(model, prediction, standard_wer_pct, lattice_wer_pct, change)"
 MATCHES_SQL = _LATTICE + " SELECT segment, model, i, j FROM same"
 BINS_SQL = _LATTICE + " SELECT segment, position, array_to_string(bin, '|') AS bin FROM bins"
 OVERRIDES_SQL = _LATTICE + " SELECT segment, override FROM over_"
@@ -476,6 +636,16 @@ PAD_SQL = rf"""WITH t AS (SELECT conv_id, turn, list_concat([CASE WHEN conv_id %
 p AS (SELECT conv_id, turn, list_concat(l, list_transform(generate_series(1, max(len(l)) OVER (PARTITION BY conv_id) - len(l)), lambda i: -100)) AS l FROM t), b AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN l[2:] ELSE l END AS l FROM p)
 SELECT conv_id, turn, array_to_string(l, ',') AS labels, array_to_string(list_transform(l, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END), ',') AS decoded FROM b"""
 
+def q_compute_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn's word lengths as label ids, padded with the mask, against the next turn's: ids become words again and are scored."""
+    p = _pairs(spark, sf_dir).select("conv_id", "id", F.transform(words(F.col("prediction")), lambda w: F.length(w)).alias("said"), F.transform(words(F.col("reference")), lambda w: F.length(w)).alias("labels"))
+    decode = lambda ids: F.array_join(F.transform(F.filter(ids, lambda x: x != 0), lambda x: x.cast("string")), " ")
+    return labels.compute_metrics(labels.padded(p, "conv_id", "labels", -1), "said", "labels", decode, 0)
+
+
+_LENGTHS = f"list_transform({_RAW_TOK}, lambda w: length(w))"
+METRICS_SQL = "WITH RECURSIVE " + _dp(_LENGTHS) + " SELECT sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_words, round_even(100 * sum(edits) / sum(ref_len), 2) AS wer FROM ed"
+
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
@@ -493,6 +663,74 @@ def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_strings(spark, path)
 
 
+def q_words_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word a line, written with blanks around it and empty lines, read back."""
+    path = files.shared_folder(spark, "files")
+    w = _table(spark, sf_dir, "nation")
+    w.select(F.concat(F.lit("  "), "n_name", F.lit("\t")).alias("value")).union(w.select(F.lit("  ").alias("value"))).write.text(path)
+    return files.read_words(spark, path)
+
+
+def q_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of recordings as CSV, read back with its types and filtered by language."""
+    path = files.shared_folder(spark, "files")
+    c = _table(spark, sf_dir, "customer")
+    url = lambda x: F.concat(F.lit(f"https://host/{x}/"), F.col("c_custkey").cast("string"))
+    rows = c.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") * 10).alias("recording_id"), F.when(F.col("c_nationkey") % 2 == 0, "hi").otherwise("ta").alias("language"), F.col("c_acctbal").alias("duration"), url("a").alias("rec_url_gcp"), url("t").alias("transcription_url_gcp"), url("m").alias("metadata_url"))
+    files.write_csv(rows, path)
+    return ingest.hindi_only(files.read_index(spark, path))
+
+
+def q_transcripts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of one JSON array each, and as many broken ones: utterances of the whole files only."""
+    path = files.shared_folder(spark, "files")
+    u = F.to_json(F.collect_list(F.struct(F.col("turn").cast("double").alias("start"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("text"))))
+    one = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(u.alias("value"))
+    both = one.select(F.col("conv_id").alias("part"), "value").union(one.select((-F.col("conv_id") - 1).alias("part"), F.expr("left(value, length(value) - 1)")))
+    both.write.partitionBy("part").text(path)
+    return files.read_transcripts(spark, f"{path}/*/*.txt").select("start", "text")
+
+
+def q_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split table written by part and counted after reading."""
+    path = files.shared_folder(spark, "files")
+    files.write_split(ingest.split(_table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id")), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+def q_wide_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide table of two models, with missing cells, as CSV; read back as segments, and how many words each model has."""
+    path = files.shared_folder(spark, "files")
+    c = _table(spark, sf_dir, "conversations")
+    key = F.concat(F.lit("https://host/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    wide = c.select(key.alias("url"), F.when(F.col("turn") == 3, "nan").otherwise(F.col("text")).alias("Human"), F.when(F.col("conv_id") % 2 == 0, F.col("text")).alias("m 1"), F.when(F.col("turn") == 1, "nan").otherwise(F.col("role")).alias("m 2"))
+    files.write_csv(wide, path)
+    s = files.wide_segments(files.read_strings(spark, path), "url", "Human", ["m 1", "m 2"])
+    return s.select("segment", F.inline("models"), F.size("reference").alias("n_reference")).groupBy("segment", "model").agg(F.sum(F.size("words")).alias("n_words"), F.sum("n_reference").alias("n_reference"))
+
+
+def q_lattice_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattices as JSON of a reference and a map of outputs, read back as segments and scored."""
+    path = files.shared_folder(spark, "files")
+    c = _table(spark, sf_dir, "conversations").filter("text <> ''")
+    rows = c.select(F.col("text").alias("reference"), F.create_map(F.lit("same"), F.col("text"), F.lit("role"), F.col("role")).alias("model_outputs"))
+    rows.write.json(path)
+    r = lattice.scored(files.lattice_segments(spark.read.schema("reference string, model_outputs map<string,string>").json(path)))
+    return r.groupBy("model").agg(F.sum("hyp_len").alias("words"), F.sum("lattice_edits").alias("edits"))
+
+
+def q_models_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three models the two that are there."""
+    names = models.present(spark, {"baseline": None, "tuned": f"{sf_dir}/documents.parquet", "missing": f"{sf_dir}/no such model"})
+    return spark.createDataFrame([(k, n) for k, n in enumerate(names)], "place long, model string")
+
+
+_TRANSCRIPT = "SELECT turn::DOUBLE AS start, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') ELSE '' END AS text FROM conversations"
+WIDE_SQL = f"""WITH w AS (SELECT turn::VARCHAR AS segment, text, unnest(['m 1', 'm 2']) AS model, unnest([CASE WHEN conv_id % 2 = 0 THEN text END, CASE WHEN turn <> 1 THEN role END]) AS said FROM conversations WHERE turn <> 3 AND regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') <> '')
+SELECT segment, model, sum(len({_TOK.format('said')}))::BIGINT AS n_words, sum(len({_TOK.format('text')}))::BIGINT AS n_reference FROM w WHERE regexp_replace(said, '^{_WS}+|{_WS}+$', '', 'g') <> '' GROUP BY 1, 2"""
+LATTICE_JSON_SQL = f"""WITH t AS (SELECT {_TOK.format('text')} AS r, {_TOK.format('role')} AS h FROM conversations WHERE text <> '')
+SELECT 'same' AS model, sum(len(r))::BIGINT AS words, 0::BIGINT AS edits FROM t WHERE len(r) > 0 UNION ALL SELECT 'role', sum(len(h))::BIGINT, sum(greatest(len(r), 1) - 1)::BIGINT FROM t"""
+
 _SQL = {
     "normalize_text": NORMALIZE_SQL, "tokenize_words": TOKENS_SQL, "url_rewrite": "SELECT page_id, replace(url, 'http://', 'https://') AS url FROM pages",
     "language_filter": "SELECT doc_id, CASE lang WHEN 'en' THEN 'Hindi' ELSE 'hi' END AS language FROM documents WHERE lang IN ('en', 'fr')",
@@ -506,6 +744,12 @@ _SQL = {
     "dictionary_lookup": LOOKUP_SQL, "low_conf_sample": LOW_SQL, "low_conf_review": REVIEW_SQL, "failure_categories": FAILURES_SQL,
     "align_matches": MATCHES_SQL, "lattice_bins": BINS_SQL, "trusted_overrides": OVERRIDES_SQL,
     "jsonl_roundtrip": "SELECT text AS prediction, role AS reference, count(*) AS n FROM conversations GROUP BY 1, 2", "csv_roundtrip": "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text, nullif(source, '') AS source FROM documents",
+    "lattice_wer": LATTICE_SQL, "lattice_rows": ROWS_SQL, "lattice_report": REPORT_SQL, "lattice_demo": DEMO_SQL, "error_samples": SAMPLES_SQL, "error_samples_json": SAMPLES_SQL, "error_reasons": REASONS_SQL,
+    "taxonomy_fixes": FIXES_SQL, "model_rates": RATES_SQL, "spelling_signals_json": SIGNALS_SQL, "spelling_first_low": FIRST_LOW_SQL, "spelling_sample": SAMPLED_SQL, "number_multipliers": MULTIPLIERS_SQL, "number_mark_final": MARKS_SQL,
+    "cleanup_notes": NOTES_SQL, "surely_english": SURELY_SQL, "shuffled": SHUFFLED_SQL, "preview": PREVIEW_SQL, "demo_utterances": DEMO_UTT_SQL, "compute_metrics": METRICS_SQL,
+    "words_roundtrip": "SELECT n_name AS word FROM nation", "transcripts_roundtrip": _TRANSCRIPT, "wide_segments": WIDE_SQL, "lattice_json": LATTICE_JSON_SQL,
+    "index_roundtrip": "SELECT c_custkey AS user_id, c_custkey * 10 AS recording_id, 'hi' AS language, c_acctbal AS duration, 'https://host/a/' || c_custkey AS rec_url_gcp, 'https://host/t/' || c_custkey AS transcription_url_gcp, 'https://host/m/' || c_custkey AS metadata_url FROM customer WHERE c_nationkey % 2 = 0",
+    "split_roundtrip": f"SELECT split, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM ({SPLIT_SQL}) GROUP BY 1", "models_present": "SELECT * FROM (VALUES (0, 'baseline'), (1, 'tuned')) t(place, model)",
     "spelling_classify": CLASSIFY_SQL, "spelling_stats": STATS_SQL, "label_pad_mask": PAD_SQL,
 }
 
