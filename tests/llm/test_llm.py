@@ -662,7 +662,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     pages, held = Counter(r["source"] for r in toxic), Counter()
     for r in toxic:
         held.update((r["source"], x) for x in set((r["text"] or "").split("\n")) if x.strip())
-    drop = {k for k, n in held.items() if pages[k[0]] >= boilerplate.MIN_PAGES and n > boilerplate.RATIO * pages[k[0]]}
+    drop = {k for k, n in held.items() if n >= boilerplate.LEAST_HELD and n > boilerplate.RATIO * pages[k[0]]}
     want = {r["doc_id"]: r["text"] and "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in drop) for r in toxic}
     assert {r["doc_id"]: r["text"] for r in lines} == want and ("a", "menu home contact about") in drop
 
@@ -688,6 +688,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids)) for r in whole) == Counter((r["doc_id"], tuple(r["ids"])) for r in ids)
 
 
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registered_queries_against_brute_force(spark):
     """The queries without SQL, on all rows of a small table."""
     from varnaflow.llm import registry

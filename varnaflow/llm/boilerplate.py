@@ -2,7 +2,7 @@
 
 Pages are grouped by host. For each line: pages of the host that hold it, over all pages of the host. Lines above
 ``ratio`` that stand on ``least_held`` pages or more are boilerplate of that host and leave every page of it. Hosts with
-fewer than ``min_pages`` pages keep all lines; with ``least_held`` that floor can be 1.
+fewer than ``min_pages`` pages keep all lines (by default no host does for its size alone).
 
 A line travels as its 64-bit hash, so the texts are never shuffled: two different lines of one host take each other's
 count with a probability of about 1 in 10^19 a pair. A host has at most (mean distinct lines of a page / ratio) lines of
@@ -21,18 +21,18 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-RATIO, MIN_PAGES, BROADCAST_LINES = 0.1, 20, 200_000  # RATIO and MIN_PAGES: the query, as its SQL has them
-#: Share for whole cleaning (the pipeline): in sf0.1 shares by host leave a gap from 0.048 to 0.086 between content and boilerplate.
-SHARE = 0.05
-#: Pages of a host that hold a line of boilerplate, at least, whatever the host's size: the fewest that the query's rule asks for too (above 0.1 of 20).
+#: Share of a host's pages above which a line is boilerplate: in sf0.1 shares by host leave a gap from 0.048 to 0.086 between content and boilerplate.
+RATIO = 0.05
+#: Pages of a host that hold a line of boilerplate, at least, whatever the host's size.
 LEAST_HELD = 3
+BROADCAST_LINES = 200_000
 
 
 def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, least_held: int = 1) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = 1, least_held: int = LEAST_HELD) -> DataFrame:
     """(host, line): the hash of each line of boilerplate."""
     pages = docs.select(docs[host_col].alias("host"), docs[text_col].alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -43,7 +43,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     return above.select(F.col("a.host").alias("host"), "line")
 
 
-def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, least_held: int = 1) -> tuple[DataFrame, list[str]]:
+def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = 1, least_held: int = LEAST_HELD) -> tuple[DataFrame, list[str]]:
     """Every row with its columns as c0, c1, ..., the new text, n_lines and n_dropped; the names of its columns."""
     found = stored(boilerplate(docs, host_col, text_col, ratio, min_pages, least_held), "boilerplate")
     by_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_drop"))
@@ -81,7 +81,7 @@ WITH l AS (
 ), h AS (
   SELECT source, line, count(DISTINCT (doc_id, text)) AS n FROM l WHERE length(trim(line)) > 0 GROUP BY source, line
 ), b AS (
-  SELECT h.source, h.line FROM h JOIN p ON h.source IS NOT DISTINCT FROM p.source WHERE n > 0.1::DOUBLE * pages AND pages >= 20
+  SELECT h.source, h.line FROM h JOIN p ON h.source IS NOT DISTINCT FROM p.source WHERE n > 0.05::DOUBLE * pages AND n >= 3
 ), k AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (b.line IS NULL) AS text, count(*) AS n_lines, count(b.line) AS n_dropped
   FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line GROUP BY l.doc_id
