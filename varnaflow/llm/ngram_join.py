@@ -39,7 +39,7 @@ from .shared import mixed, shingles, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 40, 6, 16, 1e-6
-BLOCK_ROWS, BLOCK_SHINGLES, PACK_SHINGLES = 1000, 1_000_000, 1_500_000
+BLOCK_ROWS, BLOCK_SHINGLES, PACK_SHINGLES = 1000, 1_000_000, 250_000
 
 _SEEDS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _SEEDS[: BANDS * ROWS, None], _SEEDS[BANDS * ROWS :, None] | np.uint64(1)
