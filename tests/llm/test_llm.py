@@ -512,9 +512,9 @@ def test_shards_keep_groups_whole_within_the_tolerance(spark):
 
 def test_shards_by_target_bytes(spark):
     docs = spark.createDataFrame([(i, "y" * (i * 37 % 901)) for i in range(2000)], "doc_id long, text string")
-    out = kdtree.sharded(docs, target_bytes=25_000).toPandas()
+    out = kdtree.sharded(docs, target_bytes=100_000).toPandas()
     sizes = out.groupby("shard")["size"].sum()
-    assert len(sizes) == -(-out["size"].sum() // 25_000) and sizes.max() <= 1.1 * sizes.mean()
+    assert len(sizes) == -(-out["size"].sum() // 100_000) and sizes.max() <= 1.1 * sizes.mean()
     assert set(kdtree.sharded(docs.limit(3), shards=8).toPandas().shard) <= set(range(8))
 
 
