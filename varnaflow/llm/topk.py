@@ -5,8 +5,9 @@ query, a segment's impact is the most that one of its postings can add, counted
 segments of all dimensions are processed by descending impact into accumulators. A row's bound is its accumulator plus, for
 each dimension not seen yet, the impact of the next segment there. After each round (ROUNDS) the best accumulators are scored
 exactly; rows whose bound is below the k-th of these scores, or below the k-th score that the query has from another block,
-cannot be members. Processing stops when that proof leaves few rows, or at the end, and all rows left are scored exactly. So
-the result is exact whatever the data; on vectors without structure the proof comes late.
+cannot be members. Processing stops when that proof leaves few rows, or at the end, and all rows left are scored exactly.
+Accumulators, bounds and k-th scores are 64-bit integers; where a sum could leave LIMIT, a query is scored on all rows in
+Python's integers instead. So the result is exact whatever the data; on vectors without structure the proof comes late.
 
 Queries and rows both grow with the data, so they meet in blocks. The index of a block of rows is built once and written to
 the shared folder, and so is each chunk of queries. First every chunk meets one block, which gives each query a k-th score
@@ -16,7 +17,7 @@ No task and no broadcast holds all of either; each pair gives at most k rows a q
 Defined cases: vectors null or with null or non-finite components, and rows with null ids, take no part; a shorter vector
 ends in zeros; an empty vector scores 0; equal scores go to the smaller id; a query meets every row but its own, so also
 rows that share its id; each query row is answered, so a repeated query id has several rows of each rank; scores beyond a
-long stop at its limits; further columns are not used; empty tables give an empty result.
+long are ranked as they are and shown as its limits; further columns are not used; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql.window import Window
 from .shared import open_uri, put_file, shared_folder, stored
 
 LEVELS, BLOCK, CELLS, MOST_TASKS = 32, 16384, 1 << 22, 50_000
+#: Sums of products stay below this in 64-bit integers; no k-th score is known (or one that a long can't hold).
+LIMIT, NO_FLOOR = 1 << 60, -(1 << 63)
 #: Shares of the postings after which a round looks for proof.
 ROUNDS = (0.5, 0.7, 0.85, 1.0)
 
@@ -90,12 +93,21 @@ class ImpactIndex:
         out.stats = {"postings": 0, "rescored": 0}
         return out
 
-    def search(self, query: np.ndarray, k: int, own: int | None = None, floor: float = -math.inf) -> list[tuple[int, int, int]]:
+    def fits(self, query: np.ndarray) -> bool:
+        """Whether no sum over the dimensions can pass LIMIT."""
+        if self.vectors.dtype == object or query.dtype == object:
+            return False
+        most = np.maximum(np.abs(self.least[:, 0]), np.abs(self.most[:, -1])).astype(np.float64)
+        return float(np.abs(query).astype(np.float64) @ most) < LIMIT / 4
+
+    def search(self, query: np.ndarray, k: int, own: int | None = None, floor: int = NO_FLOOR) -> list[tuple[int, int, int]]:
         """The k best as (score, id, row), by score descending, id and row ascending; those below ``floor`` may be missing. own: the row that is the query."""
         n, dims = self.vectors.shape
         query = np.concatenate([query, np.zeros(max(0, dims - len(query)), query.dtype)])[:dims]
         possible = np.flatnonzero(self.rows != own) if own is not None else np.arange(n)
-        if n > 4 * k and dims and self.vectors.dtype != object and query.dtype != object:
+        if not dims or not self.fits(query):
+            query = query.astype(object)
+        elif n > 4 * k:
             possible = self._proven(query, k, possible, floor)
         self.stats["rescored"] += len(possible)
         scores = (self.vectors[possible] * query).sum(axis=1) if dims else np.zeros(len(possible), np.int64)
@@ -105,21 +117,23 @@ class ImpactIndex:
         best = sorted(zip((-scores).tolist(), self.ids[possible].tolist(), self.rows[possible].tolist(), strict=True))[:k]
         return [(-s, i, r) for s, i, r in best]
 
-    def _proven(self, query: np.ndarray, k: int, possible: np.ndarray, floor: float) -> np.ndarray:
+    def _proven(self, query: np.ndarray, k: int, possible: np.ndarray, floor: int) -> np.ndarray:
         """The rows that may be among the k best: what proof leaves after as few rounds as it takes."""
         n, dims = self.vectors.shape
         up = np.where(query[:, None] > 0, query[:, None] * self.most, query[:, None] * self.least)
         worst = np.where(query > 0, query * self.least[:, 0], query * self.most[:, -1])
-        gain = (up - worst[:, None]).astype(np.float64)  # of each segment, from 0 on
+        gain = up - worst[:, None]  # of each segment, from 0 on
         count = np.diff(self.at, axis=1)
-        impacts = np.where(count > 0, gain, 0.0)
+        impacts = np.where(count > 0, gain, 0)
         ranked = np.argsort(-impacts, axis=None)
         done = np.cumsum(count.ravel()[ranked])
-        acc = np.full(n, -np.inf)
-        acc[possible] = float(worst.sum())
-        cut, left = math.inf, possible
+        acc = np.full(n, -LIMIT)
+        acc[possible] = int(worst.sum())
+        inside = np.zeros(n, bool)
+        inside[possible] = True
+        cut, left = int(impacts.max()) + 1, possible
         for share in ROUNDS:  # a round: the segments of the next impacts; in a dimension they lie side by side
-            last, was = float(impacts.ravel()[ranked[np.searchsorted(done, share * done[-1])]]) if share < 1 else 0.0, cut
+            last, was = int(impacts.ravel()[ranked[np.searchsorted(done, share * done[-1])]]) if share < 1 else 0, cut
             cut = min(cut, last)
             new = (impacts >= cut) & (impacts < was) & (impacts > 0)
             for d in np.flatnonzero(new.any(axis=1)):
@@ -127,14 +141,14 @@ class ImpactIndex:
                 rows = self.order[d, self.at[d, some[0]] : self.at[d, some[-1] + 1]]
                 acc[rows] += np.repeat(gain[d, some[0] : some[-1] + 1], count[d, some[0] : some[-1] + 1])
                 self.stats["postings"] += len(rows)
-            waiting = np.where(impacts < cut, impacts, 0.0)
+            waiting = np.where(impacts < cut, impacts, 0)
             ahead = waiting.max(axis=1)
             some = np.argpartition(-acc, 2 * k)[: 2 * k]
-            scores = np.sort((self.vectors[some[np.isfinite(acc[some])]] * query).sum(axis=1))
-            least = max(float(scores[-k]) if len(scores) >= k else -math.inf, floor) - 0.5
-            left = np.flatnonzero(acc + ahead.sum() >= least)
+            scores = np.sort((self.vectors[some[inside[some]]] * query).sum(axis=1))
+            least = max(int(scores[-k]) if len(scores) >= k else NO_FLOOR, floor)
+            left = np.flatnonzero(inside & (acc + ahead.sum() >= least))
             if ahead.any() and len(left) <= n // 4:  # few enough to look which of their segments are still waiting
-                left = left[acc[left] + np.where(waiting > 0, ahead[:, None], 0.0).ravel()[self.codes[left]].sum(axis=1) >= least]
+                left = left[acc[left] + np.where(waiting > 0, ahead[:, None], 0).ravel()[self.codes[left]].sum(axis=1) >= least]
             if len(left) <= max(8 * k, n // 64):
                 break
         return left
@@ -173,7 +187,16 @@ def _got(uri: str) -> bytes | None:
         return f.read()
 
 
-FOUND = "query_row long, query_id long, row long, vec_id long, score long"
+FOUND = "query_row long, query_id long, row long, vec_id long, score long, beyond binary"
+
+
+def _beyond(score: int) -> bytes | None:
+    """For scores at a long's limits or past them: bytes in the scores' order."""
+    if NO_FLOOR < score < (1 << 63) - 1:
+        return None
+    size = abs(score).to_bytes(-(-abs(score).bit_length() // 8), "big")
+    key = len(size).to_bytes(4, "big") + size
+    return b"\1" + key if score > 0 else b"\0" + bytes(255 - x for x in key)
 
 
 def _searcher(folder: str, k: int, blocks: int, chunks: int, first: bool):
@@ -192,17 +215,17 @@ def _searcher(folder: str, k: int, blocks: int, chunks: int, first: bool):
                 continue
             asked, out = np.load(io.BytesIO(asked)), []
             floors = None if first else _got(f"{folder}/floors-{c}")
-            floors = [-math.inf] * len(asked["ids"]) if floors is None else np.load(io.BytesIO(floors)).tolist()
+            floors = [NO_FLOOR] * len(asked["ids"]) if floors is None else np.load(io.BytesIO(floors)).tolist()
             kth = []
             for i, row, query, floor in zip(asked["ids"].tolist(), asked["rows"].tolist(), integers(asked["vectors"]), floors, strict=True):
                 best = index.search(query, k, row, floor)
-                kth.append(float(best[-1][0]) if len(best) == k else -math.inf)
-                out += [(row, i, r, j, max(-(1 << 63), min((1 << 63) - 1, s))) for s, j, r in best if s >= floor]
+                kth.append(max(NO_FLOOR, min((1 << 63) - 1, best[-1][0])) if len(best) == k else NO_FLOOR)
+                out += [(row, i, r, j, max(-(1 << 63), min((1 << 63) - 1, s)), _beyond(s)) for s, j, r in best if s >= floor or floor == NO_FLOOR]
             if first:
                 held = io.BytesIO()
-                np.save(held, np.array(kth))
+                np.save(held, np.array(kth, np.int64))
                 put_file(f"{folder}/floors-{c}", held.getvalue())
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")]).astype("int64")
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
 
     return searched
 
@@ -222,7 +245,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
     found = stored(pairs(chunks, True), "first")
     if blocks > 1:
         found = found.unionByName(stored(pairs(chunks * (blocks - 1), False), "others"))
-    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
