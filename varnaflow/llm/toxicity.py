@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier with a counterfactual penalty.
 
 Features of a text: its words (lower case, outer punctuation off) and the beginnings of its words, each counted once, by
-hash. Labels are learned from a bounded sample of labelled rows (SAMPLE_ROWS, by a hash of the id, none of them held out).
+hash. Labels are learned from a bounded sample (SAMPLE_ROWS labelled ids, by a hash of the id, none of them held out; of an
+id with several documents one text, the smallest, so the driver never gets more than SAMPLE_ROWS rows).
 Pairs of sentences that should score alike are made of the sample: where a sentence names a group (IDENTITY_TERMS), with the
 term exchanged for the next one of its list; and, so that every corpus gives pairs, one sentence of each row with a term put
 in, against the same sentence with the next term, and without any. At most PAIRS sentences that name groups are taken from a
@@ -177,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "y"), "labelled")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # at most sample_rows ids
+    rows = stored(found.groupBy("_id", "y").agg(F.min("text").alias("text")).select("text", "y"), "labelled")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, total = _Kept(), [np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)]
