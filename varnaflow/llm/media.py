@@ -47,6 +47,27 @@ class _Marks:
     def pdf_marks(self) -> list[int]:
         return [m.start() for m in re.finditer(rb"%%EOF", self.b)]
 
+    @cached_property
+    def pdf_owned(self) -> dict[int, list[int]]:
+        """Beginning of a PDF -> the numbers of the tails that are its own: the last table before a tail lies as far behind the beginning as the tail says."""
+        heads = {m.start() for m in _PDF_HEAD.finditer(self.b)}
+        tables = [m.start() for m in re.finditer(rb"(?<!start)xref\b", self.b)]
+        streams, objects = [m.start() for m in re.finditer(rb"/XRef\b", self.b)], [m.start() for m in re.finditer(rb"\b\d{1,10}\s{1,4}\d{1,5}\s{1,4}obj\b", self.b)]
+        out: dict[int, list[int]] = {}
+        for k, (begin, _, start) in enumerate(self.pdf_ends):
+            places = [tables[i - 1] for i in (bisect_left(tables, begin),) if i]
+            if i := bisect_left(streams, begin):
+                places += [objects[j - 1] for j in (bisect_left(objects, streams[i - 1]),) if j]
+            for place in places:
+                if place - start in heads:
+                    out.setdefault(place - start, []).append(k)
+        return out
+
+    @cached_property
+    def pdf_unowned(self) -> list[int]:
+        """The numbers of the tails of no beginning."""
+        return sorted(set(range(len(self.pdf_ends))) - {k for own in self.pdf_owned.values() for k in own})
+
     @cached_property
     def archives(self) -> dict[int, int]:
         """Archive start -> length: an end record gives size and offset of its directory, which ends where the record begins."""
@@ -157,16 +178,21 @@ _PDF_TABLE = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b(?:(?!stream).)*?/XRef\b", re
 
 
 def _pdf(b: memoryview, at: int, marks: _Marks) -> tuple[str, int] | None:
-    """To the end mark of the last section: a later one counts if its startxref lies on references written after the section before, or, in a linearised file, on those of the first section. Another PDF behind has offsets that don't fit."""
+    """To the end mark of the last section: a later one counts if it is this file's own and its table was written after the section before. In a linearised file the second one names the table of the first section, so it is looked for there."""
     if not _PDF_HEAD.match(b, at):
         return None
-    size, halves = 0, b"/Linearized" in bytes(b[at : at + 1024])
-    for k in range(bisect_left(marks.pdf_ends, (at,)), len(marks.pdf_ends)):
-        begin, end, start = marks.pdf_ends[k]
-        if not size:
-            size = end - at
-        elif (start >= size or halves) and at + start < begin and _PDF_TABLE.match(b, at + start, begin):
-            size, halves = end - at, False
+    size, first = 0, bisect_left(marks.pdf_ends, (at,))
+    if first < len(marks.pdf_ends):
+        size = marks.pdf_ends[first][1] - at
+        if b"/Linearized" in bytes(b[at : at + 1024]):
+            k = bisect_left(marks.pdf_unowned, first + 1)
+            begin, end, start = marks.pdf_ends[marks.pdf_unowned[k]] if k < len(marks.pdf_unowned) else (0, 0, 0)
+            if at + start < begin and _PDF_TABLE.match(b, at + start, begin):
+                size = end - at
+        for k in marks.pdf_owned.get(at, ()):
+            begin, end, start = marks.pdf_ends[k]
+            if k > first and start >= size and _PDF_TABLE.match(b, at + start, begin):
+                size = end - at
     if not size:
         k = bisect_left(marks.pdf_tails, at)
         e = bisect_left(marks.pdf_marks, marks.pdf_tails[k]) if k < len(marks.pdf_tails) else len(marks.pdf_marks)
