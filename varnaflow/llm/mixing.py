@@ -8,7 +8,8 @@ id: so each class is sampled evenly and the words taken stay close to the target
 
 Defined cases: a null or empty text has size 0; null sources are one source and come last in the order of weights; a
 source without words has target 0; repeated rows are documents of their own (ties in the order: equal rows); an empty
-table gives an empty result; further columns are carried along, whatever their names.
+table gives an empty result; further columns are carried along, whatever their names. Rows of one id and one size are ordered
+by a hash of their text where ``docs`` has one, so reruns take the same texts.
 """
 
 from __future__ import annotations
@@ -63,14 +64,14 @@ def planned(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """Every row once, its columns as c0, c1, ..., with size, source_size, target, copies and taken; the names of its columns."""
     names = docs.columns
     size = word_count(docs["text"]) if size is None else size
-    rows = docs.select(docs[source_col].cast("string").alias("source"), docs[id_col].cast("string").alias("_id"), size.alias("size"), *[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
+    rows = docs.select(docs[source_col].cast("string").alias("source"), docs[id_col].cast("string").alias("_id"), size.alias("size"), (F.xxhash64(docs["text"]) if "text" in names else F.lit(0)).alias("_text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
     rows = stored(rows.withColumn("_h", F.md5(F.coalesce("_id", F.lit("")).cast("binary"))).withColumn("_class", size_class(F.col("size"))), "sized")
     targets = source_targets(rows.select("source", "size"), weights, share, most)
     classes = stored(rows.groupBy("source", "_class").agg(F.count(F.lit(1)).alias("_n")), "classes")
     smaller = Window.partitionBy("source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumn("_before", F.coalesce(F.sum("_n").over(smaller), F.lit(0))).drop("_n")
     small = classes.alias("k").join(targets.alias("t"), F.col("k.source").eqNullSafe(F.col("t.source"))).select(F.col("k.source").alias("_s"), F.col("k._class").alias("_k"), "_before", "source_size", "target")
-    ranked = distributed_rank(rows, ["source", "_class"], "_h", ["_id", "size"])
+    ranked = distributed_rank(rows, ["source", "_class"], "_h", ["_id", "size", "_text"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     at = ranked.join(small, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_k")))
     at = at.withColumn("_r", rate).withColumn("_u", offset(F.col("source"), seed)).withColumn("_pos", (F.col("_rank") + F.col("_before")).cast("double"))
