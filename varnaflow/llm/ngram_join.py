@@ -1,14 +1,17 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
 1. Each text becomes its set of word shingles. Documents with equal sets are one class ("copies"); classes are compared.
-2. Candidates: BANDS x ROWS MinHash values; classes that agree in a whole band meet. A pair of similarity 0.8 is missed with
-   a probability of (1 - 0.8^6)^40, about 5e-6; at 0.85 below 1e-8. Each class is tied only to the first class of each of its
-   buckets, so ties are linear in the classes, and the connected ties hold every candidate pair together.
-3. Inside such a component pairs are compared on STEP MinHash values at a time, the same values that made the bands. With a
-   uniform prior the posterior probability that a pair reaches the threshold is a sum of binomials; a pair below TOLERANCE is
-   dropped, the rest is verified exactly on the whole sets. (A pair that met in a band agrees in some of these values for
-   that reason; that raises its posterior, so it makes dropping rarer.)
-4. A component of more than BLOCK_ROWS classes or BLOCK_SHINGLES shingles is cut into blocks, and pairs of blocks are tasks
+2. Candidates: BANDS x ROWS MinHash values; classes that agree in a whole band meet in a bucket. A pair of similarity 0.8 is
+   missed with a probability of (1 - 0.8^6)^40, about 5e-6; at 0.85 below 1e-8. Buckets of the same members are one.
+3. In a bucket of up to BUCKET classes the pairs are compared on STEP MinHash values at a time, the same values that made the
+   bands, by their last byte (by chance equal bytes keep a pair, they never drop one). With a uniform prior the posterior
+   probability that a pair reaches the threshold is a sum of binomials; a pair below TOLERANCE is dropped. (A pair that met in a
+   band agrees in some of these values for that reason; that raises its posterior, so it makes dropping rarer.) What is left
+   ties classes together; a pair that is tied already needs no look, and a bucket gives less ties than it has classes. The
+   classes of a larger bucket are tied to its first one, unseen; such ties are linear in the classes too.
+4. The connected ties hold all pairs that were not dropped. Inside such a component pairs are compared again, on whole values,
+   and those not dropped are verified exactly on the whole sets.
+5. A component of more than BLOCK_ROWS classes or BLOCK_SHINGLES shingles is cut into blocks, and pairs of blocks are tasks
    of their own. Tasks return for each class the documents it links to and the first class it hangs together with: rows
    in proportion to classes and blocks, never to pairs.
 
@@ -40,6 +43,8 @@ from .shared import mixed, shingles, stored
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 40, 6, 16, 1e-6
 BLOCK_ROWS, BLOCK_SHINGLES, PACK_SHINGLES = 1000, 1_000_000, 250_000
+#: Classes of a bucket whose pairs are looked at there, and memberships of small buckets that a task gets.
+BUCKET, PACK_MEMBERS = 1024, 20_000
 
 _SEEDS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _SEEDS[: BANDS * ROWS, None], _SEEDS[BANDS * ROWS :, None] | np.uint64(1)
@@ -76,16 +81,18 @@ def least_matches(threshold: float, tolerance: float, most: int = BANDS * ROWS,
 def _summaries(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, keys = [], [], []
+            prints, sizes, keys, values = [], [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py(), words)
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
-                keys.append(band_keys(minhashes(s)) if len(s) else np.empty(0, np.int64))
+                v = minhashes(s) if len(s) else None
+                keys.append(np.empty(0, np.int64) if v is None else band_keys(v))
+                values.append(b"" if v is None else v.astype(np.uint8).tobytes())
             two = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
             offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(sizes, pa.int64()), lists], names=["doc_id", "th", "f1", "f2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(sizes, pa.int64()), lists, pa.array(values, pa.binary())], names=["doc_id", "th", "f1", "f2", "n", "keys", "low"])
 
     return run
 
@@ -105,6 +112,57 @@ class _Forest:
             self.up[max(x, y)] = min(x, y)
 
 
+def tied(values: np.ndarray, fewest: list[int], step: int = STEP) -> tuple[list[tuple[int, int]], int]:
+    """Ties (i, j) that connect all pairs of rows of ``values`` that pruning leaves, and how many pairs were looked at."""
+    root, out, seen = np.arange(len(values)), [], 0
+    for i in range(len(values) - 1):
+        js = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        seen += len(js)
+        if not len(js):
+            continue
+        hits = np.zeros(len(js), np.int64)
+        for h, least in enumerate(fewest):
+            part = slice(h * step, (h + 1) * step)
+            hits += (values[js, part] == values[i, part]).sum(axis=1)
+            alive = hits >= least
+            js, hits = js[alive], hits[alive]
+            if not len(js):
+                break
+        for j in js.tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out, seen
+
+
+def _bucket_ties(threshold: float, tolerance: float):
+    fewest = least_matches(threshold, tolerance)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, group in pdf.groupby("key", sort=False):
+            rows = group["row"].to_numpy()
+            values = np.frombuffer(b"".join(group["low"]), np.uint8).reshape(len(rows), -1)
+            out += [(int(rows[i]), int(rows[j])) for i, j in tied(values, fewest)[0]]
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _ties(sets: DataFrame, own: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(u, v): ties whose components hold all pairs of classes that are not dropped."""
+    keyed = stored(own.select("row", F.explode("keys").alias("key")), "keyed")
+    mark = lambda salt: F.bit_xor(F.xxhash64("row", F.lit(salt)))
+    buckets = keyed.groupBy("key").agg(F.min("row").alias("m"), F.count(F.lit(1)).alias("c"), mark(1).alias("x"), mark(2).alias("y")).filter("c > 1")
+    buckets = stored(buckets.groupBy("m", "c", "x", "y").agg(F.min("key").alias("key")).select("key", "m", "c"), "buckets")  # those of the same members once
+    members = buckets.filter(F.col("c") <= BUCKET).agg(F.sum("c")).first()[0] or 0
+    dealt = keyed.join(buckets.filter(F.col("c") <= BUCKET).select("key"), "key").join(sets.select("row", "low"), "row")
+    dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-members // PACK_MEMBERS)))))
+    seen = dealt.groupBy("pack").applyInPandas(_bucket_ties(threshold, tolerance), "u long, v long")
+    first = keyed.join(buckets.filter(F.col("c") > BUCKET).select("key", "m"), "key").filter("row <> m").select(F.col("row").alias("u"), F.col("m").alias("v"))
+    return seen.unionByName(first)
+
+
 def linked_pairs(sets: list[np.ndarray], lefts: np.ndarray, rights: np.ndarray, threshold: Fraction, fewest: list[int], step: int = STEP) -> Iterator[tuple[int, np.ndarray]]:
     """(i, js): the members js of ``rights`` that reach the threshold with member i of ``lefts``; each pair once if the two are the same."""
     values = np.stack([minhashes(s) for s in sets])
@@ -180,13 +238,10 @@ def _single(rows: DataFrame, again: DataFrame | None, key: str, th: str) -> Data
 def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame | None]:
     """(row, doc_id, th, class_id, lone, n_links): a row for each document; th is a hash of the text, lone names the group of the document. And the (doc_id, th) of several rows."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
-    sets = stored(texts.mapInArrow(_summaries(words), "doc_id long, th long, f1 long, f2 long, n long, keys array<long>").withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = stored(texts.mapInArrow(_summaries(words), "doc_id long, th long, f1 long, f2 long, n long, keys array<long>, low binary").withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = stored(sets.groupBy("f1", "f2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
     own = sets.join(classes.select("row", "copies"), "row")
-    keyed = own.select("row", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("row").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "m")
-    ties = keyed.join(buckets, "key").filter("row <> m").select(F.col("row").alias("u"), F.col("m").alias("v"))
-    near = components(ties)
+    near = components(_ties(sets, own, threshold, tolerance))
     members = stored(own.select("row", "doc_id", "th", "n", "copies").join(near.withColumnRenamed("node", "row").withColumnRenamed("root", "comp"), "row"), "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     sizes = stored(sizes.select("comp", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long").alias("blocks"), "s"), "sizes")
