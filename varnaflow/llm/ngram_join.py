@@ -151,16 +151,19 @@ def _bucket_ties(threshold: float, tolerance: float):
 
 def _ties(sets: DataFrame, own: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(u, v): ties whose components hold all pairs of classes that are not dropped."""
-    keyed = stored(own.select("row", F.explode("keys").alias("key")), "keyed")
+    keyed = own.select("row", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("row").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = stored(keyed.join(buckets, "key").select("key", "row", "m", "c"), "met")
+    large = met.filter((F.col("c") > BUCKET) & (F.col("row") != F.col("m"))).select(F.col("row").alias("u"), F.col("m").alias("v"))
+    small = met.filter(F.col("c") <= BUCKET)
     mark = lambda salt: F.bit_xor(F.xxhash64("row", F.lit(salt)))
-    buckets = keyed.groupBy("key").agg(F.min("row").alias("m"), F.count(F.lit(1)).alias("c"), mark(1).alias("x"), mark(2).alias("y")).filter("c > 1")
-    buckets = stored(buckets.groupBy("m", "c", "x", "y").agg(F.min("key").alias("key")).select("key", "m", "c"), "buckets")  # those of the same members once
-    members = buckets.filter(F.col("c") <= BUCKET).agg(F.sum("c")).first()[0] or 0
-    dealt = keyed.join(buckets.filter(F.col("c") <= BUCKET).select("key"), "key").join(sets.select("row", "low"), "row")
+    marked = small.groupBy("key", "m", "c").agg(mark(1).alias("x"), mark(2).alias("y"))
+    chosen = stored(marked.groupBy("m", "c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), "buckets")  # those of the same members once
+    members = chosen.agg(F.sum("c")).first()[0] or 0
+    dealt = small.select("key", "row").join(chosen.select("key"), "key").join(sets.select("row", "low"), "row")
     dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-members // PACK_MEMBERS)))))
     seen = dealt.groupBy("pack").applyInPandas(_bucket_ties(threshold, tolerance), "u long, v long")
-    first = keyed.join(buckets.filter(F.col("c") > BUCKET).select("key", "m"), "key").filter("row <> m").select(F.col("row").alias("u"), F.col("m").alias("v"))
-    return seen.unionByName(first)
+    return seen.unionByName(large)
 
 
 def linked_pairs(sets: list[np.ndarray], lefts: np.ndarray, rights: np.ndarray, threshold: Fraction, fewest: list[int], step: int = STEP) -> Iterator[tuple[int, np.ndarray]]:
