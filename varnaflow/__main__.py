@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.wer import scoring_words, utterance_wer, with_word_edits
 from .operators import errors, evaluation, ingest, lattice, models, spelling
 from .plans import demos
-from .sources import files, http
+from .sources import files, http, outputs
 from .streaming.cleanup import cleaned, example_notes
 
 MODELS = ["Model H", "Model i", "Model k", "Model l", "Model m", "Model n"]
@@ -47,7 +47,7 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def _errors(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """The sample with reasons; the taxonomy of the sample is printed."""
-    rows = files.read_predictions(spark, args.input, args.fallback).withColumn("id", F.monotonically_increasing_id())
+    rows = outputs.numbered_predictions(spark, args.input if args.fallback is None or files.exists(spark, args.input) else args.fallback)
     rows = rows.withColumns({"reference": F.coalesce("reference", F.lit("")), "prediction": F.coalesce("prediction", F.lit(""))})
     rows = with_word_edits(rows.withColumns({"r": scoring_words(F.col("reference")), "h": scoring_words(F.col("prediction"))}), "r", "h")
     rows = rows.withColumns({"wer": utterance_wer(F.col("edits"), F.col("r")), "error_type": errors.classify_error(F.col("reference"), F.col("prediction"))})

@@ -30,6 +30,12 @@ MULTIPLIER_VALUES = {
 IDIOMS = (r"दो[‐\-]चार\s+बात", r"दो[‐\-]चार", r"एक[‐\-]दो", r"तीन[‐\-]चार", r"चार[‐\-]पाँच", r"आठ[‐\-]दस", r"दस[‐\-]बीस", "एक न एक", "एक ही")
 
 
+#: Characters before and behind a span in which an idiom keeps its words. A span has two characters at least, so few parts around it hold them.
+BEFORE, BEHIND = 10, 15
+_LEAST = min(map(len, [*UNIT_VALUES, *MULTIPLIER_VALUES]))
+_PARTS_BEFORE, _PARTS_BEHIND = -(-BEFORE // _LEAST), -(-BEHIND // _LEAST)
+
+
 def span_pattern(grapheme: bool = False) -> str:
     """Runs of number words. By default vowel signs are no word characters, so words that end in one match only inside a run; ``grapheme`` mends that."""
     edge = boundary(r"[\p{L}\p{N}\p{M}_]" if grapheme else WORD_CHAR)
@@ -62,24 +68,20 @@ def normalize_numbers(text: Column, grapheme: bool = False) -> Column:
     """struct(text, changes array<struct<original, converted, reason, skipped>>). A span near an idiom (10 characters before to 15 behind) stays."""
     gaps, spans = interleaved(text, span_pattern(grapheme))
     idiom = "|".join(p.replace(r"\s", WS) for p in IDIOMS)
-    none = F.array().cast("array<struct<gap:string,span:string,at:int>>")
-
-    def placed(acc: Column, x: Column) -> Column:
-        at = acc.at + F.length(x.gap)
-        return F.struct((at + F.coalesce(F.length(x.span), F.lit(0))).alias("at"), F.concat(acc.items, F.array(F.struct(x.gap.alias("gap"), x.span.alias("span"), at.alias("at")))).alias("items"))
-
     pairs = F.zip_with(gaps, spans, lambda g, s: F.struct(g.alias("gap"), s.alias("span")))
-    items = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("items")), placed, lambda acc: acc.items)
+    whole = F.transform(pairs, lambda x: F.concat(x.gap, F.coalesce(x.span, F.lit(""))))
 
-    def changed(x: Column) -> Column:
-        first = F.greatest(x.at - 10, F.lit(0))
-        near = F.substring(text, first + 1, x.at + F.length(x.span) + 15 - first).rlike(idiom)
+    def changed(x: Column, i: Column, all_parts: Column) -> Column:
+        before = F.right(F.concat(F.array_join(F.slice(all_parts, F.greatest(i - _PARTS_BEFORE, F.lit(0)) + 1, F.least(i, F.lit(_PARTS_BEFORE))), ""), x.gap), F.lit(BEFORE))
+        behind = F.left(F.array_join(F.slice(all_parts, i + 2, F.lit(_PARTS_BEHIND)), ""), F.lit(BEHIND))
+        near = F.concat(before, x.span, behind).rlike(idiom)
         number = words_to_number(F.split(x.span, f"{WS}+")).cast("string")
         reason = F.when(near, "Idiomatic expression — preserved").otherwise(F.concat(F.lit("Standard number conversion: "), x.span, F.lit(" → "), number))
         record = F.struct(x.span.alias("original"), F.when(near, x.span).otherwise(number).alias("converted"), reason.alias("reason"), near.alias("skipped"))
         return F.struct(x.gap.alias("gap"), x.span.alias("span"), F.when(x.span.isNotNull(), record).alias("change"))
 
-    found = F.transform(items, changed)
+    # an array of one element names the parts, so that they are not computed again for each of them
+    found = F.transform(F.array(whole), lambda w: F.transform(pairs, lambda x, i: changed(x, i, w)))[0]
     new = F.array_join(F.transform(found, lambda x: F.concat(x.gap, F.coalesce(x.change.converted, x.span, F.lit("")))), "")
     changes = F.transform(F.filter(found, lambda x: x.change.converted.isNotNull()), lambda x: x.change)
     return F.struct(new.alias("text"), changes.alias("changes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normalize_text, preview, strip, words
+from ..sources.files import stored
 
 
 def hindi_only(index: DataFrame) -> DataFrame:
@@ -50,6 +51,20 @@ def shuffled(rows: DataFrame, key: Column, seed: int = 42) -> DataFrame:
     return rows.orderBy(_mixed(key, seed), key)
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the place of each row, from 0, in the order in which ``rows`` are: sorted rows come in ranges, one a partition.
+
+    The rows are written once with a number that tells partition and place in it; counts by partition, one row each, give the places before.
+    """
+    kept = stored(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = kept.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))  # a row a partition
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_before") + inside).alias(name))
+
+
 def demo_utterances(segments: DataFrame, user_id: int = 0, recording_id: int = 0, least: float = 1.0, most: float = 30.0) -> DataFrame:
     """The utterances of one recording (start, end, text) under given ids, filtered; one that punctuation makes empty goes by the filter."""
     one = segments.select(F.lit(user_id).cast("long").alias("user_id"), F.lit(recording_id).cast("long").alias("recording_id"), F.lit("").alias("audio_url"), F.lit("hi").alias("language"), F.array(F.struct("start", "end", "text")).alias("segments"))

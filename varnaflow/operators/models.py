@@ -14,17 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
 from ..sources.files import exists
-
-RATE, CHUNK_SECONDS = 16_000, 30
-
-
-def resampled(samples: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
-    """Linear resampling of one channel; the length is rounded."""
-    n = int(round(len(samples) * to / rate)) if len(samples) else 0
-    return np.interp(np.arange(n) * rate / to, np.arange(len(samples)), samples).astype(np.float32) if n else np.empty(0, np.float32)
-
+from .audio import RATE, resampled, transcribed  # noqa: F401
 
 def wav_samples(data: bytes) -> tuple[np.ndarray, int]:
     """One channel of a PCM WAV file (the mean of its channels), from -1 to 1, and its rate."""
@@ -71,21 +62,6 @@ def prepared(rows: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.Dat
     return rows.mapInPandas(run, schema)
 
 
-def transcribed(audio: DataFrame, make: Callable[[], Callable[[list[np.ndarray]], list[str]]], key: str, samples: str, rate: int = RATE, seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """(key, prediction): audio is cut into chunks, their texts are joined by blanks and stripped."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, size = make(), rate * seconds
-        for pdf in batches:
-            chunks = [[x[k : k + size] for k in range(0, len(x), size)] for x in (np.asarray([] if v is None else v, np.float32) for v in pdf[samples])]
-            flat = [c for cs in chunks for c in cs]
-            texts = iter(model(flat) if flat else [])
-            yield pd.DataFrame({key: pdf[key], "prediction": [" ".join(next(texts) for _ in cs) for cs in chunks]})
-
-    out = audio.select(F.col(key).cast("string").alias(key), samples).mapInPandas(run, f"{key} string, prediction string")
-    return out.withColumn("prediction", strip(F.col("prediction")))
-
-
 def best_checkpoint(step: str = "step", wer: str = "wer") -> Column:
     """The step of the lowest rate; an aggregate, the earliest step on ties."""
     return F.min(F.struct(F.col(wer), F.col(step)))[step]

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codemix, wer
 from ..functions.numbers import MULTIPLIER_VALUES, UNIT_VALUES, normalize_numbers, words_to_number
-from ..functions.text import normalize_text, tokenize, words
-from ..operators import errors, evaluation, ingest, labels, lattice, models, spelling
-from ..sources import files
+from ..functions.text import normalize_text, once, tokenize, words
+from ..operators import audio, errors, evaluation, ingest, labels, lattice, spelling
+from ..sources import files, http, outputs
 from ..streaming.cleanup import cleaned, example_notes
-from . import demos
 
 _WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LATIN, _DEVANAGARI = "abcdefghijklmnopqrstuvwxyz", "ािकगचेजतीटडदनपोबमंयरुलवसहॉ"
@@ -94,8 +93,8 @@ def q_train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shuffled order: the rows of the table, sorted by a hash."""
-    return ingest.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("doc_id"))
+    """All documents with their places in the shuffled order."""
+    return ingest.numbered(ingest.shuffled(_table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("doc_id")), "place")
 
 
 def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +113,7 @@ _UTT = f"""utt AS (SELECT conv_id AS recording_id, turn::DOUBLE AS start, length
 UTT_SQL = f"WITH {_UTT} SELECT recording_id, start, round((start + duration) - start, 6) AS duration, text FROM utt"
 UTT_FILTER_SQL = f"WITH {_UTT} SELECT recording_id, start, text FROM utt WHERE (start + duration) - start BETWEEN 1.0 AND 10.0"
 REMOVED_SQL = f"WITH {_UTT} SELECT count(*) FILTER ((start + duration) - start BETWEEN 1.0 AND 10.0) AS kept, count(*) FILTER (NOT (start + duration) - start BETWEEN 1.0 AND 10.0) AS removed FROM utt"
-SHUFFLED_SQL = "SELECT doc_id, source FROM documents"
+SHUFFLED_SQL = "SELECT doc_id, source, row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) - 1 AS place FROM documents"
 PREVIEW_SQL = f"""WITH {_UTT}, k AS (SELECT recording_id, start, text FROM utt WHERE (start + duration) - start BETWEEN 1.0 AND 10.0 ORDER BY recording_id * 1000 + start LIMIT 5)
 SELECT recording_id, start, left(regexp_replace(c.text, '^{_WS}+|{_WS}+$', '', 'g'), 60) AS raw_text, left(k.text, 60) AS text FROM k JOIN conversations c ON recording_id = conv_id AND start = turn"""
 DEMO_UTT_SQL = f"WITH {_UTT} SELECT 7::BIGINT AS user_id, 11::BIGINT AS recording_id, start, text, 'hi' AS language FROM utt WHERE (start + duration) - start BETWEEN 1.0 AND 10.0"
@@ -456,8 +455,9 @@ def q_low_conf_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.review(spelling.low_confidence_sample(spelling.classify(_words(spark, sf_dir), "latin")))
 
 
-def q_failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.failure_categories(spark).select("rank", "category", F.array_join("examples", ", ").alias("examples"), "description", "why", "fix")
+def q_low_conf_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of low confidence that Python's seeded generator draws from their list in order."""
+    return spelling.seeded_sample(spelling.classify(_words(spark, sf_dir), "latin"), "latin").select("place", "latin")
 
 
 def q_spelling_signals_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,11 +470,6 @@ def q_spelling_first_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("latin", spelling.signal_score(spelling.signals_json()).alias("lm_score"))
 
 
-def q_spelling_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty built-in words, the test words among them."""
-    return spelling.sample_words(spark, 20)
-
-
 _W = f"w AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS latin FROM documents), v AS MATERIALIZED (SELECT latin, translate(latin, '{_LATIN}', '{_DEVANAGARI}') AS word FROM w)"
 _PHON = "CASE WHEN word = '' THEN 'empty' WHEN NOT regexp_matches(word, '^[\\x{0900}-\\x{0963}\\x{0966}-\\x{096F}\\x{0970}-\\x{097F}]+$') THEN 'contains invalid characters' " + " ".join(f"WHEN contains(word, '{chr(int(c, 16)) * 2}') THEN 'invalid character combination: [\\u{c}][\\u{c}]'" for c in spelling.DOUBLED) + f" WHEN length(word) - length(replace(word, '{spelling.VIRAMA}', '')) > 3 AND length(word) < 8 THEN 'too many virama in short word' WHEN length(word) = 1 THEN 'single character (likely filler)' ELSE 'phonotactically valid' END"
 PHON_SQL = f"WITH {_W}, b AS (SELECT word FROM v UNION ALL SELECT latin FROM v) SELECT {_PHON} AS reason, count(*) AS n FROM b GROUP BY 1"
@@ -482,22 +477,21 @@ LOAN_SQL = f"WITH {_W} SELECT word FROM v WHERE regexp_matches(word, '{spelling.
 
 
 def _lm(corpus: str) -> str:
-    return f"""{_W}, corpus AS ({corpus}), tri AS (SELECT array_to_string(p[i:i + 2], '') AS tri, count(*) AS c FROM (SELECT p, unnest(generate_series(1, len(p) - 2)) AS i FROM (SELECT regexp_extract_all('^^' || word || '$', '(?s).') AS p FROM corpus)) GROUP BY 1),
-ctx AS (SELECT array_to_string(regexp_extract_all(tri, '(?s).')[1:2], '') AS ctx, sum(c)::BIGINT AS x FROM tri GROUP BY 1), size AS (SELECT count(DISTINCT ch) AS v FROM (SELECT unnest(regexp_extract_all('^' || word || '$', '(?s).')) AS ch FROM corpus)),
-sc AS (SELECT latin, avg(ln((c + 1) / (x + v)::DOUBLE)) AS lm_score FROM (SELECT latin, array_to_string(p[i:i + 2], '') AS tri, array_to_string(p[i:i + 1], '') AS ctx FROM (SELECT latin, p, unnest(generate_series(1, len(p) - 2)) AS i FROM (SELECT latin, regexp_extract_all('^^' || word || '$', '(?s).') AS p FROM v))) JOIN tri USING (tri) JOIN ctx USING (ctx) CROSS JOIN size GROUP BY 1)"""
+    return f"""{_W}, corpus AS MATERIALIZED ({corpus}), tri AS MATERIALIZED (SELECT array_to_string(p[i:i + 2], '') AS tri, count(*) AS c FROM (SELECT p, unnest(generate_series(1, len(p) - 2)) AS i FROM (SELECT regexp_extract_all('^^' || word || '$', '(?s).') AS p FROM corpus)) GROUP BY 1),
+ctx AS MATERIALIZED (SELECT array_to_string(regexp_extract_all(tri, '(?s).')[1:2], '') AS ctx, sum(c)::BIGINT AS x FROM tri GROUP BY 1), size AS MATERIALIZED (SELECT count(DISTINCT ch) AS v FROM (SELECT unnest(regexp_extract_all('^' || word || '$', '(?s).')) AS ch FROM corpus)),
+sc AS MATERIALIZED (SELECT latin, avg(ln((c + 1) / (x + v)::DOUBLE)) AS lm_score FROM (SELECT latin, array_to_string(p[i:i + 2], '') AS tri, array_to_string(p[i:i + 1], '') AS ctx FROM (SELECT latin, p, unnest(generate_series(1, len(p) - 2)) AS i FROM (SELECT latin, regexp_extract_all('^^' || word || '$', '(?s).') AS p FROM v))) JOIN tri USING (tri) JOIN ctx USING (ctx) CROSS JOIN size GROUP BY 1)"""
 
 
 _OWN = _lm("SELECT word FROM v")
 _ALL = _lm("SELECT word FROM v UNION ALL SELECT unnest([" + ", ".join(f"'{w}'" for w in spelling.DICTIONARY) + "])")
 COUNTS_SQL, CONTEXT_SQL, SCORE_SQL = f"WITH {_OWN} SELECT tri, c FROM tri", f"WITH {_OWN} SELECT ctx, x FROM ctx", f"WITH {_OWN} SELECT latin, round_even(lm_score, 6) AS lm_score FROM sc"
-_CLS = f"""{_ALL}, ph AS (SELECT latin, word, {_PHON} AS reason, CASE WHEN regexp_matches(word, '{spelling.LOANWORDS}') THEN 'loanword' WHEN {_PHON} NOT IN ('phonotactically valid', 'single character (likely filler)') THEN 'phonotactic' WHEN word IN ({', '.join(f"'{w}'" for w in spelling.DICTIONARY)}) THEN 'dictionary' ELSE 'model' END AS exit FROM v),
-cl AS (SELECT latin, CASE WHEN exit = 'phonotactic' OR exit = 'model' AND lm_score < -3.5::DOUBLE THEN 'incorrect_spelling' ELSE 'correct_spelling' END AS label, CASE WHEN exit <> 'model' OR lm_score >= -1.8::DOUBLE THEN 'high' WHEN lm_score >= -3.5::DOUBLE THEN 'medium' ELSE 'low' END AS confidence FROM ph JOIN sc USING (latin))"""
+_CLS = f"""{_ALL}, ph AS MATERIALIZED (SELECT latin, word, {_PHON} AS reason, CASE WHEN regexp_matches(word, '{spelling.LOANWORDS}') THEN 'loanword' WHEN {_PHON} NOT IN ('phonotactically valid', 'single character (likely filler)') THEN 'phonotactic' WHEN word IN ({', '.join(f"'{w}'" for w in spelling.DICTIONARY)}) THEN 'dictionary' ELSE 'model' END AS exit FROM v),
+cl AS MATERIALIZED (SELECT latin, CASE WHEN exit = 'phonotactic' OR exit = 'model' AND lm_score < -3.5::DOUBLE THEN 'incorrect_spelling' ELSE 'correct_spelling' END AS label, CASE WHEN exit <> 'model' OR lm_score >= -1.8::DOUBLE THEN 'high' WHEN lm_score >= -3.5::DOUBLE THEN 'medium' ELSE 'low' END AS confidence FROM ph JOIN sc USING (latin))"""
 CLASSIFY_SQL = f"WITH {_CLS} SELECT latin, label, confidence FROM cl"
 STATS_SQL = f"""WITH {_CLS} SELECT count(*) AS total, count(*) FILTER (label = 'correct_spelling') AS correct, count(*) FILTER (label <> 'correct_spelling') AS wrong, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low, """ + ", ".join(f"CASE WHEN count(*) > 0 THEN round_even(count(*) FILTER ({c}) / count(*) * 100, 1) END AS {k}_pct" for k, c in {"correct": "label = 'correct_spelling'", "wrong": "label <> 'correct_spelling'"}.items() | {k: f"confidence = '{k}'" for k in ("high", "medium", "low")}.items()) + " FROM cl"
 SIGNALS_SQL = f"""WITH {_CLS} SELECT latin, CASE exit WHEN 'loanword' THEN '{{"devanagari_english": true}}' ELSE '{{"phonotactic": {{"ok": ' || (exit <> 'phonotactic')::VARCHAR || ', "reason": "' || replace(reason, '\\', '\\\\') || '"}}' || CASE exit WHEN 'dictionary' THEN ', "dictionary": {{"found": true, "reason": "found in dictionary"}}'
   WHEN 'model' THEN ', "dictionary": {{"found": null, "reason": "not in dictionary"}}, "lm_score": ' || round_even(lm_score, 4)::VARCHAR ELSE '' END || '}}' END AS signals FROM ph JOIN sc USING (latin)"""
 FIRST_LOW_SQL = f"WITH {_CLS} SELECT latin, round_even(lm_score, 4)::VARCHAR AS lm_score FROM cl JOIN sc USING (latin) WHERE confidence = 'low' ORDER BY latin LIMIT 20"
-SAMPLED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate([*spelling.DICTIONARY[:9], *spelling.TEST_WORDS])) + ") t(place, word)"
 
 _IN_LIST = ", ".join(f"'{w}'" for w in spelling.DICTIONARY)
 LOOKUP_SQL = f"WITH {_W}, a AS (SELECT word FROM v UNION ALL SELECT unnest([{_IN_LIST}])) SELECT CASE WHEN word IN ({_IN_LIST}) THEN true END AS found, CASE WHEN word IN ({_IN_LIST}) THEN 'found in dictionary' ELSE 'not in dictionary' END AS reason, count(*) AS n FROM a GROUP BY 1, 2"
@@ -506,7 +500,6 @@ LOW_SQL = _LOW + " SELECT latin, word FROM low"
 _VALID = f"(word IN ({', '.join(repr(w) for w in spelling.KNOWN_VALID)}) OR length(word) > 3)"
 REVIEW_SQL = _LOW + f""", r AS (SELECT *, (label = 'correct_spelling') = {_VALID} AS ok, {_VALID} AS valid FROM low)
 SELECT count(*) AS n, count(*) FILTER (ok) AS "right", count(*) FILTER (NOT ok) AS wrong, count(*) FILTER (ok AND NOT valid) AS misspelled, CASE WHEN count(*) > 0 THEN round_even(100 * count(*) FILTER (ok) / count(*), 0) END AS accuracy FROM r"""
-FAILURES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{', '.join(v)}', " + ", ".join(f"'{x}'" for x in spelling.FAILURE_NOTES[k]) + ")" for i, (k, v) in enumerate(spelling.FAILURES.items(), 1)) + ") AS t(rank, category, examples, description, why, fix)"
 
 # --- lattices and label batches ---------------------------------------------------------------------------------------
 
@@ -556,12 +549,6 @@ def q_lattice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("model").agg(pct("standard_edits").alias("standard_wer_pct"), pct("lattice_edits").alias("lattice_wer_pct"), F.count(F.lit(1)).alias("n_segments"))
 
 
-def q_lattice_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The built-in segment with arrows."""
-    rows = lattice.report(demos.lattice_segments(spark))
-    return rows.select("model", "prediction", "standard_wer_pct", "lattice_wer_pct", lattice.arrow(F.col("standard_wer_pct"), F.col("lattice_wer_pct")).alias("change"))
-
-
 def _lattice_sql() -> str:
     """The longest matching block of an interval, then left and right of it; bins of what stands at each position."""
     tokens = _TOK.format("text")
@@ -619,8 +606,6 @@ LATTICE_SQL = _LATTICE_DP + " SELECT segment, model, CAST(standard_edits AS INTE
 _PCT = lambda c: f"round_even(100 * ({c}) / greatest(ref_len, 1), 2)"
 ROWS_SQL = _LATTICE_DP + f" SELECT segment, text AS reference, model, prediction, {_PCT('standard_edits')} AS standard_wer_pct, {_PCT('lattice_edits')} AS lattice_wer_pct, {_PCT('standard_edits - lattice_edits')} AS wer_reduction_pct FROM ed"
 REPORT_SQL = _LATTICE_DP + " SELECT model, round_even(100 * sum(standard_edits) / sum(ref_len), 2) AS standard_wer_pct, round_even(100 * sum(lattice_edits) / sum(ref_len), 2) AS lattice_wer_pct, count(*) AS n_segments FROM ed GROUP BY 1"
-#: The demo's rates, worked by hand.
-DEMO_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('model {chr(65 + k)}', '{x}', {p}::DOUBLE, 0::DOUBLE, '↓{p}%')" for k, (x, p) in enumerate(zip(demos.HEARD, (25, 25, 50, 25, 50), strict=True))) + ") t(model, prediction, standard_wer_pct, lattice_wer_pct, change)"
 MATCHES_SQL = _LATTICE + " SELECT segment, model, i, j FROM same"
 BINS_SQL = _LATTICE + " SELECT segment, position, array_to_string(bin, '|') AS bin FROM bins"
 OVERRIDES_SQL = _LATTICE + " SELECT segment, override FROM over_"
@@ -719,12 +704,86 @@ def q_lattice_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("model").agg(F.sum("hyp_len").alias("words"), F.sum("lattice_edits").alias("edits"))
 
 
-def q_models_present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of three models the two that are there."""
-    names = models.present(spark, {"baseline": None, "tuned": f"{sf_dir}/documents.parquet", "missing": f"{sf_dir}/no such model"})
-    return spark.createDataFrame([(k, n) for k, n in enumerate(names)], "place long, model string")
+def q_predictions_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns by role as models: one file of JSON lines each, read back under the names of the files."""
+    path = files.shared_folder(spark, "files")
+    model = F.concat("role", F.lit(" a/b"))
+    outputs.write_predictions(_table(spark, sf_dir, "conversations").select(model.alias("model"), F.col("text").alias("prediction"), F.col("conv_id").cast("string").alias("reference")), path)
+    read = spark.read.schema("prediction string, reference string").json(f"{path}/predictions_*.jsonl")
+    name = F.regexp_extract(F.col("_metadata.file_name"), "^predictions_(.*)[.]jsonl$", 1)
+    return read.select(name.alias("label"), "prediction", "reference").groupBy("label", "prediction", "reference").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a saved dataset of two splits, read back by its manifests."""
+    path = files.shared_folder(spark, "files")
+    d = _table(spark, sf_dir, "documents").withColumn("split", F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train"))
+    outputs.write_dataset(d, path)
+    return outputs.read_dataset(spark, path).select("split", "doc_id", "text", "lang", "source", "n_chars")
+
+
+def q_numbered_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in order as JSON lines, many files and splits; read back with the numbers of the lines."""
+    path = files.shared_folder(spark, "files")
+    line = F.to_json(F.struct(F.col("text").alias("prediction"), F.col("doc_id").cast("string").alias("reference")))
+    _table(spark, sf_dir, "documents").orderBy("doc_id").select(line.alias("value")).write.text(path)
+    return outputs.numbered_predictions(spark, path).select(F.col("id").alias("idx"), F.col("reference").cast("long").alias("doc_id"), F.length("prediction").cast("long").alias("n_chars"))
+
+
+def q_transcripts_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations at URLs that hold their transcripts themselves, some broken, some missing: what became of each, and what was there."""
+    path = F.to_json(F.collect_list(F.struct(F.col("turn").cast("double").alias("start"), "text")))
+    one = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(path.alias("j"), F.sum(F.length("text")).alias("_"))
+    held = F.concat(F.lit("data:application/json;base64,"), F.base64(F.when(F.col("conv_id") % 5 == 0, F.expr("left(j, length(j) - 1)")).otherwise(F.col("j")).cast("binary")))
+    url = F.when(F.col("conv_id") % 7 == 3, F.lit(None)).otherwise(held)
+    got = http.fetch_table(one.select("conv_id", url.alias("url")), "url")
+    chars = F.aggregate("segments", F.lit(0).cast("long"), lambda n, x: n + F.length(x.text))
+    return got.select("conv_id", "status", F.size("segments").cast("long").alias("n_segments"), chars.alias("n_chars"))
+
+
+# --- audio: the bytes of texts as samples ----------------------------------------------------------------------------
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _spread(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", audio.pcm(F.coalesce("text", F.lit("")).cast("binary")).alias("samples"))
+
+
+def q_log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the whole bytes of each text, a row for each thirty seconds; frames of silence behind the end are left out."""
+    return audio.features(_samples(spark, sf_dir), "doc_id", "samples", padded=False)
+
+
+def q_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes taken as samples at 22,050 a second, at 16,000 afterwards."""
+    return _samples(spark, sf_dir).select("doc_id", F.size(audio.resampled_column(F.col("samples"), 22_050)).cast("long").alias("n_samples"))
+
+
+OVERLAP = (400, 24, 3)
+
+
+def q_overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts cut into windows of words that share their ends, misheard where they were cut; merged again."""
+    size, shared, wrong = OVERLAP
+    step = size - shared
+    d = _spread(spark, sf_dir, "documents", "doc_id", "text")
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - shared) / step).cast("int") - 1)
+        heard = lambda k: F.transform(F.slice(w, k * step + 1, F.lit(size)), lambda x, i: F.when((k > 0) & (i < wrong) | (k < last) & (i >= size - wrong), F.concat(x, F.lit("?"))).otherwise(x))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(heard(k), " "))
+
+    heard = once(d, "windows", F.transform(F.array(words(F.coalesce("text", F.lit("")))), cut)[0])
+    return heard.select("doc_id", audio.merged_text(F.col("windows"), shared).alias("text"))
 
 
+RESAMPLED_SQL = "SELECT doc_id, round_even(octet_length(encode(coalesce(text, ''))) * 320 / 441::DOUBLE, 0)::BIGINT AS n_samples FROM documents"
+MERGED_SQL = f"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda w: w <> ''), ' ') AS text FROM documents"
+PREDICTIONS_SQL = "SELECT role || '_a-b' AS label, text AS prediction, conv_id::VARCHAR AS reference, count(*) AS n FROM conversations GROUP BY ALL"
+DATASET_SQL = "SELECT CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split, doc_id, text, lang, source, n_chars FROM documents"
+NUMBERED_SQL = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, length(text) AS n_chars FROM documents"
+FETCHED_SQL = """SELECT conv_id, CASE WHEN conv_id % 7 = 3 THEN 'no url' WHEN conv_id % 5 = 0 THEN 'no json' ELSE 'ok' END AS status, CASE WHEN conv_id % 7 <> 3 AND conv_id % 5 <> 0 THEN count(*) ELSE 0 END AS n_segments,
+CASE WHEN conv_id % 7 <> 3 AND conv_id % 5 <> 0 THEN coalesce(sum(length(text)), 0) ELSE 0 END::BIGINT AS n_chars FROM conversations GROUP BY conv_id"""
 _TRANSCRIPT = "SELECT turn::DOUBLE AS start, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') ELSE '' END AS text FROM conversations"
 WIDE_SQL = f"""WITH w AS (SELECT turn::VARCHAR AS segment, text, unnest(['m 1', 'm 2']) AS model, unnest([CASE WHEN conv_id % 2 = 0 THEN text END, CASE WHEN turn <> 1 THEN role END]) AS said FROM conversations WHERE turn <> 3 AND regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') <> '')
 SELECT segment, model, sum(len({_TOK.format('said')}))::BIGINT AS n_words, sum(len({_TOK.format('text')}))::BIGINT AS n_reference FROM w WHERE regexp_replace(said, '^{_WS}+|{_WS}+$', '', 'g') <> '' GROUP BY 1, 2"""
@@ -741,15 +800,16 @@ _SQL = {
     "english_tagging": TAG_SQL, "english_words": WORDS_SQL, "cleanup_pipeline": CLEANUP_SQL, "cleanup_changed": CHANGED_SQL,
     "phonotactic": PHON_SQL, "loanword_rule": LOAN_SQL, "ngram_counts": COUNTS_SQL, "ngram_context_counts": CONTEXT_SQL, "lm_score": SCORE_SQL,
     "utterance_removed": REMOVED_SQL, "taxonomy_causes": CAUSES_SQL, "taxonomy_examples": EXAMPLES_SQL, "english_token": TOKEN_SQL, "cleanup_examples": SHOWN_SQL,
-    "dictionary_lookup": LOOKUP_SQL, "low_conf_sample": LOW_SQL, "low_conf_review": REVIEW_SQL, "failure_categories": FAILURES_SQL,
+    "dictionary_lookup": LOOKUP_SQL, "low_conf_sample": LOW_SQL, "low_conf_review": REVIEW_SQL, 
     "align_matches": MATCHES_SQL, "lattice_bins": BINS_SQL, "trusted_overrides": OVERRIDES_SQL,
     "jsonl_roundtrip": "SELECT text AS prediction, role AS reference, count(*) AS n FROM conversations GROUP BY 1, 2", "csv_roundtrip": "SELECT doc_id::VARCHAR AS doc_id, nullif(text, '') AS text, nullif(source, '') AS source FROM documents",
-    "lattice_wer": LATTICE_SQL, "lattice_rows": ROWS_SQL, "lattice_report": REPORT_SQL, "lattice_demo": DEMO_SQL, "error_samples": SAMPLES_SQL, "error_samples_json": SAMPLES_SQL, "error_reasons": REASONS_SQL,
-    "taxonomy_fixes": FIXES_SQL, "model_rates": RATES_SQL, "spelling_signals_json": SIGNALS_SQL, "spelling_first_low": FIRST_LOW_SQL, "spelling_sample": SAMPLED_SQL, "number_multipliers": MULTIPLIERS_SQL, "number_mark_final": MARKS_SQL,
+    "lattice_wer": LATTICE_SQL, "lattice_rows": ROWS_SQL, "lattice_report": REPORT_SQL, "error_samples": SAMPLES_SQL, "error_samples_json": SAMPLES_SQL, "error_reasons": REASONS_SQL,
+    "taxonomy_fixes": FIXES_SQL, "model_rates": RATES_SQL, "spelling_signals_json": SIGNALS_SQL, "spelling_first_low": FIRST_LOW_SQL, "number_multipliers": MULTIPLIERS_SQL, "number_mark_final": MARKS_SQL,
     "cleanup_notes": NOTES_SQL, "surely_english": SURELY_SQL, "shuffled": SHUFFLED_SQL, "preview": PREVIEW_SQL, "demo_utterances": DEMO_UTT_SQL, "compute_metrics": METRICS_SQL,
     "words_roundtrip": "SELECT n_name AS word FROM nation", "transcripts_roundtrip": _TRANSCRIPT, "wide_segments": WIDE_SQL, "lattice_json": LATTICE_JSON_SQL,
     "index_roundtrip": "SELECT c_custkey AS user_id, c_custkey * 10 AS recording_id, 'hi' AS language, c_acctbal AS duration, 'https://host/a/' || c_custkey AS rec_url_gcp, 'https://host/t/' || c_custkey AS transcription_url_gcp, 'https://host/m/' || c_custkey AS metadata_url FROM customer WHERE c_nationkey % 2 = 0",
-    "split_roundtrip": f"SELECT split, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM ({SPLIT_SQL}) GROUP BY 1", "models_present": "SELECT * FROM (VALUES (0, 'baseline'), (1, 'tuned')) t(place, model)",
+    "split_roundtrip": f"SELECT split, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM ({SPLIT_SQL}) GROUP BY 1",
+    "resampled": RESAMPLED_SQL, "overlap_merge": MERGED_SQL, "predictions_files": PREDICTIONS_SQL, "dataset_roundtrip": DATASET_SQL, "numbered_predictions": NUMBERED_SQL, "transcripts_fetched": FETCHED_SQL,
     "spelling_classify": CLASSIFY_SQL, "spelling_stats": STATS_SQL, "label_pad_mask": PAD_SQL,
 }
 

@@ -97,14 +97,6 @@ def wide_segments(wide: DataFrame, key: str, reference: str, models: list[str])
     return rows.filter(F.size("models") > 0)
 
 
-def wide_to_long(rows: DataFrame, key: str, reference: str, models: list[str]) -> DataFrame:
-    """(segment, reference, model, prediction); missing cells and the text 'nan' go; segment is the last part of the key."""
-    kept = rows.filter(F.col(key).isNotNull() & (F.col(key) != "nan") & F.col(reference).isNotNull() & (F.col(reference) != "nan"))
-    long = kept.unpivot([key, reference], models, "model", "prediction")
-    long = long.filter(F.col("prediction").isNotNull() & ~strip(F.col("prediction")).isin("", "nan"))
-    return long.select(F.element_at(F.split(key, "/"), -1).alias("segment"), F.col(reference).alias("reference"), "model", "prediction")
-
-
 def write_split(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("split").parquet(path)
 
@@ -113,8 +105,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_json(rows: DataFrame, path: str, by: str | None = None) -> None:
-    (rows.write.partitionBy(by) if by else rows.write).json(path)
+def write_json(rows: DataFrame, path: str) -> None:
+    rows.write.json(path)
 
 
 def read_utterances(spark: SparkSession, path: str) -> DataFrame:
@@ -152,11 +144,6 @@ def write_error_samples(rows: DataFrame, path: str) -> None:
     rows.agg(F.concat(F.lit("["), F.array_join(whole, ",\n"), F.lit("]")).alias("value")).write.text(path)
 
 
-def write_predictions(rows: DataFrame, path: str) -> None:
-    """JSON lines in a folder for each model; in its name blanks become '_' and slashes '-'."""
-    write_json(rows.withColumn("model", F.translate("model", " /", "_-")), path, "model")
-
-
 def write_rates(rows: DataFrame, path: str) -> None:
     """JSON of (model, wer, num_samples)."""
     write_json(rows.select("model", "wer", "num_samples").coalesce(1), path)  # one row a model
