@@ -152,12 +152,13 @@ def _bucket_ties(threshold: float, tolerance: float):
 def _ties(sets: DataFrame, own: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(u, v): ties whose components hold all pairs of classes that are not dropped."""
     keyed = own.select("row", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("row").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = stored(keyed.join(buckets, "key").select("key", "row", "m", "c"), "met")
-    large = met.filter((F.col("c") > BUCKET) & (F.col("row") != F.col("m"))).select(F.col("row").alias("u"), F.col("m").alias("v"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = stored(keyed.join(shared, "key").select("key", "row", "c"), "met")
+    hot = met.filter(F.col("c") > BUCKET)
+    large = hot.join(hot.groupBy("key").agg(F.min("row").alias("m")), "key").filter("row <> m").select(F.col("row").alias("u"), F.col("m").alias("v"))
     small = met.filter(F.col("c") <= BUCKET)
     mark = lambda salt: F.bit_xor(F.xxhash64("row", F.lit(salt)))
-    marked = small.groupBy("key", "m", "c").agg(mark(1).alias("x"), mark(2).alias("y"))
+    marked = small.groupBy("key").agg(F.min("row").alias("m"), F.count(F.lit(1)).alias("c"), mark(1).alias("x"), mark(2).alias("y"))
     chosen = stored(marked.groupBy("m", "c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), "buckets")  # those of the same members once
     members = chosen.agg(F.sum("c")).first()[0] or 0
     dealt = small.select("key", "row").join(chosen.select("key"), "key").join(sets.select("row", "low"), "row")
@@ -243,7 +244,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
     sets = stored(texts.mapInArrow(_summaries(words), "doc_id long, th long, f1 long, f2 long, n long, keys array<long>, low binary").withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = stored(sets.groupBy("f1", "f2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
-    own = sets.join(classes.select("row", "copies"), "row")
+    own = stored(sets.select("row", "doc_id", "th", "n", "keys").join(classes.select("row", "copies"), "row"), "own")  # keys are shuffled once
     near = components(_ties(sets, own, threshold, tolerance))
     members = stored(own.select("row", "doc_id", "th", "n", "copies").join(near.withColumnRenamed("node", "row").withColumnRenamed("root", "comp"), "row"), "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
