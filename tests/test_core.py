@@ -130,7 +130,7 @@ def test_lattice_demo(spark):
 
 def test_lattice_report_keeps_segments_without_words(spark):
     """A reference of punctuation only has no bins but is a segment; null references and segments without models are none."""
-    data = [("a", "?!", [], [("m", ["x", "y"], "x y"), ("n", [], ".")]), ("b", None, None, [("m", ["x"], "x")]), ("c", "x", ["x"], [])]
+    data = [("a", "?!", [], [("m", ["x", "y"], "x y"), ("n", [], ".")]), ("b", None, None, [("m", ["x"], "x")]), ("c", "x", ["x"], []), ("d", "x", ["x"], None)]
     seg = rows(spark, data, "segment string, text string, reference array<string>, models array<struct<model:string,words:array<string>,text:string>>")
     got = sorted(tuple(r) for r in lattice.report(seg).collect())
     assert got == [("a", "?!", "m", "x y", 200.0, 200.0, 0.0), ("a", "?!", "n", ".", 0.0, 0.0, 0.0)]
@@ -155,6 +155,7 @@ def test_alignment_and_edits_against_the_standard_library(monkeypatch):
         a, b = ([rnd.choice(letters) for _ in range(rnd.randrange(40))] for _ in range(2))
         b = [x for x in a if rnd.random() < 0.9] if k % 3 == 0 else b
         monkeypatch.setattr(lattice, "KEPT_BITS", 1 if k % 2 else 1 << 28)  # steps made again, or kept
+        monkeypatch.setattr(lattice, "MOST_RUNS", (0, 1, 4, 40)[k % 4])  # split at longest blocks always, at first, or never
         want = [(i + n, j + n) for i, j, size in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for n in range(size)]
         assert [(i + n, j + n) for i, j, size in lattice.blocks(lattice.masks([w] for w in a), len(a), b) for n in range(size)] == want
         at = [[] for _ in a]
