@@ -467,3 +467,21 @@ def test_word_edits_of_more_words_than_one_unit_holds(spark, monkeypatch):
     monkeypatch.setattr(wer, "WIDE_WORDS", 20)
     with pytest.raises(Exception, match="more distinct words"):
         edits(data[:1])
+
+
+def test_ratios_are_rounded_as_in_sql(spark, tmp_path):
+    """Halves that a double can't hold: the query on turns of 40 and more than 80 words, and other numbers of decimals, against SQL."""
+    import duckdb
+    from varnaflow.plans import catalog
+
+    turns = [(2 * k + 1, t, "user", " ".join(["w"] * n)) for k, m in enumerate(range(81, 201)) for t, n in enumerate((40, m))]
+    turns += [(2 * k + 1001, t, "user", " ".join(["w"] * n)) for k, m in enumerate(range(1, 40)) for t, n in enumerate((80, m))]
+    rows(spark, turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.id: r.reasoning for r in catalog.q_error_reasons(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+        assert got == dict(con.execute(catalog.REASONS_SQL).fetchall())
+        assert got[13000] == "87 words against 40, ratio 2.17, above 2" and len(got) == 159
+        for digits, n in ((2, 40), (4, 160), (6, 640)):
+            want = dict(con.execute(f"SELECT m, round_even(m / {n}, {digits}) FROM range(1, 2000) t(m)").fetchall())
+            assert want == {r.id: r.x for r in spark.range(1, 2000).select("id", wer.round_even(F.col("id") / n, digits).alias("x")).collect()}

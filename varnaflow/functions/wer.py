@@ -13,6 +13,15 @@ FIRST = 256
 NARROW_WORDS, WIDE_WORDS = 0xD800 - FIRST - 1, 0x110000 - 0x800 - FIRST - 1
 
 
+def round_even(x: Column | str, digits: int) -> Column:
+    """A double to so many decimals as SQL engines do it: times a power of ten, to the nearest whole number (halves to the even one), and back.
+
+    ``bround`` goes by the shortest decimal form instead: 87 / 40 is stored just below 2.175 and becomes 2.18 there, 2.17 here.
+    """
+    scale = float(10**digits)
+    return F.rint((F.col(x) if isinstance(x, str) else x) * scale) / scale
+
+
 def with_word_edits(rows: DataFrame, reference: str, hypothesis: str, edits: str = "edits") -> DataFrame:
     """Adds the edit distance of two columns of word arrays. Each distinct word of the pair becomes a character, and the built-in distance does the rest.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..functions.wer import with_word_edits
+from ..functions.wer import round_even, with_word_edits
 
 IGNORED = -100
 
@@ -28,4 +28,4 @@ def compute_metrics(rows: DataFrame, predictions: str, labels: str, decode: Call
     """One row (edits, ref_words, wer): both id columns decoded, masked labels as ``pad``, and the pooled rate in per cent. ``decode`` turns ids into text and drops special ids."""
     texts = rows.select(decode(F.col(predictions)).alias("p"), decode(unmasked(F.col(labels), pad)).alias("r")).select(words(F.col("p")).alias("p"), words(F.col("r")).alias("r"))
     edits = with_word_edits(texts, "r", "p").agg(F.sum("edits").alias("edits"), F.sum(F.size("r")).alias("ref_words"))
-    return edits.withColumn("wer", F.when(F.col("ref_words") > 0, F.bround(100 * F.col("edits") / F.col("ref_words"), 2)))
+    return edits.withColumn("wer", F.when(F.col("ref_words") > 0, round_even(100 * F.col("edits") / F.col("ref_words"), 2)))

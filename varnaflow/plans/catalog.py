@@ -141,19 +141,19 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_standard_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _edits(spark, sf_dir)
-    return e.select("id", "edits", "ref_len", F.bround(F.col("edits") / F.greatest("ref_len", F.lit(1)), 6).alias("wer"))
+    return e.select("id", "edits", "ref_len", wer.round_even(F.col("edits") / F.greatest("ref_len", F.lit(1)), 6).alias("wer"))
 
 
 def q_corpus_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edits(spark, sf_dir).agg(F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_words"), F.bround(100 * F.sum("edits") / F.sum("ref_len"), 2).alias("wer"))
+    return _edits(spark, sf_dir).agg(F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_words"), wer.round_even(100 * F.sum("edits") / F.sum("ref_len"), 2).alias("wer"))
 
 
 def q_wer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd and even conversations as two models: rounded rates, their difference, and the relative gain if there is one."""
     e = _edits(spark, sf_dir)
-    rate = lambda k: F.bround(100 * F.sum(F.when(F.col("conv_id") % 2 == k, F.col("edits"))) / F.sum(F.when(F.col("conv_id") % 2 == k, F.col("ref_len"))), 2)
-    two = e.agg(rate(0).alias("base"), rate(1).alias("tuned")).withColumn("delta", F.bround(F.col("base") - F.col("tuned"), 2))
-    return two.withColumn("relative", F.when(F.col("delta") > 0, F.bround(F.col("delta") / F.col("base") * 100, 1)))
+    rate = lambda k: wer.round_even(100 * F.sum(F.when(F.col("conv_id") % 2 == k, F.col("edits"))) / F.sum(F.when(F.col("conv_id") % 2 == k, F.col("ref_len"))), 2)
+    two = e.agg(rate(0).alias("base"), rate(1).alias("tuned")).withColumn("delta", wer.round_even(F.col("base") - F.col("tuned"), 2))
+    return two.withColumn("relative", F.when(F.col("delta") > 0, wer.round_even(F.col("delta") / F.col("base") * 100, 1)))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_utterance_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("id", "edits", "ref_len", F.bround("wer", 6).alias("wer"))
+    return _scored(spark, sf_dir).select("id", "edits", "ref_len", wer.round_even("wer", 6).alias("wer"))
 
 
 def q_classify_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +436,7 @@ def q_ngram_context_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _words(spark, sf_dir)
-    return spelling.TrigramModel(w).score(w, "latin").select("latin", F.bround("lm_score", 6).alias("lm_score"))
+    return spelling.TrigramModel(w).score(w, "latin").select("latin", wer.round_even("lm_score", 6).alias("lm_score"))
 
 
 def q_spelling_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,7 +545,7 @@ def q_lattice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_lattice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of each model over all segments."""
     r = lattice.scored(_segments(spark, sf_dir))
-    pct = lambda c: F.bround(100 * F.sum(c) / F.sum("ref_len"), 2)
+    pct = lambda c: wer.round_even(100 * F.sum(c) / F.sum("ref_len"), 2)
     return r.groupBy("model").agg(pct("standard_edits").alias("standard_wer_pct"), pct("lattice_edits").alias("lattice_wer_pct"), F.count(F.lit(1)).alias("n_segments"))
 
 
