@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from varnaflow.operators import audio
@@ -84,6 +85,21 @@ def test_long_and_missing_recordings(spark):
     assert sorted((r.id, r.part, r.n_frames) for r in got) == [("a", 0, 100), ("a", 1, 100), ("a", 2, 52)]
 
 
+def test_features_of_bytes_are_those_of_their_samples_in_bounded_batches(spark):
+    """Bytes go to Python as they are (one stage of it, no array of samples) and features leave it a few MB at a time."""
+    from varnaflow.plans import catalog
+
+    table = spark.createDataFrame([("a", bytes(range(256)) * 200), ("b", None), ("c", b""), ("d", b"x")], "id string, b binary")
+    both = [audio.features(t, "id", c, seconds=1, padded=False) for t, c in ((table, "b"), (table.select("id", audio.pcm(F.col("b")).alias("s")), "s"))]
+    got, want = (sorted((r.id, r.part, r.n_frames, r.features) for r in t.collect()) for t in both)
+    assert got == want and [x[:2] for x in got] == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("d", 0)]
+    plan = catalog.q_log_mel(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([b"some text " * 50_000] * 60)], names=["k", "x"])
+    out = list(audio._feature_batches(iter([batch]), 30, 80, False))
+    assert max(b.nbytes for b in out) < audio.HELD_BYTES + 1_100_000 and [k for b in out for k in b.column(0).to_pylist()] == [k for k in range(60) for _ in range(2)]
+
+
 def test_windows_share_their_ends():
     x = np.arange(100)
     parts = audio.windows(x, 30, 10, rate=1)

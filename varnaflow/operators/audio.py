@@ -1,7 +1,9 @@
 """Audio as arrays: resampling by a windowed sinc, log-mel features, overlapping windows and the texts they give.
 
 Each row is one recording and is worked on in numpy over Arrow batches. Windows of a recording are rows of their own, so a
-long recording is transcribed by many tasks; its texts are merged by the words that neighbours share.
+long recording is transcribed by many tasks; its texts are merged by the words that neighbours share. Features are made window
+by window and handed on in small batches: bytes are decoded there, so a task holds one Arrow batch of them (64 MB by Spark's
+default) and not their samples.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from math import gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ WINDOW, HOP, MELS = 400, 160, 80
 #: Zero crossings of the sinc on either side, the share of the band that passes, and the Kaiser window's shape.
 CROSSINGS, PASSES, SHAPE = 32, 0.92, 10.0
 OUTPUTS = 1 << 14
+#: Bytes of features after which a task hands them on.
+HELD_BYTES = 1 << 22
 
 
 @lru_cache(maxsize=16)
@@ -83,11 +88,15 @@ def resampled(samples: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
     return np.concatenate([r.push(samples), r.flush()]).astype(np.float32)
 
 
+def _decoded(data: np.ndarray) -> np.ndarray:
+    return (data.astype(np.float32) - 128) / 128
+
+
 def pcm(data: Column) -> Column:
     """Bytes as samples of 8 bits, from -1 to 1."""
 
     def run(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else (np.frombuffer(v, np.uint8).astype(np.float32) - 128) / 128 for v in values], dtype=object)
+        return pd.Series([None if v is None else _decoded(np.frombuffer(v, np.uint8)) for v in values], dtype=object)
 
     return F.pandas_udf(run, "array<float>")(data)
 
@@ -149,18 +158,40 @@ def windows(samples: np.ndarray, seconds: float = SECONDS, overlap: float = 0.0,
     return [samples[k : k + size] for k in range(0, max(1, len(samples) - (size - step)), step)] if len(samples) else []
 
 
-def features(audio: DataFrame, key: str, samples: str, seconds: int = SECONDS, bands: int = MELS, padded: bool = True) -> DataFrame:
-    """(key, part, n_frames, features): a row for each ``seconds`` of a recording, features by frame, then band. Null and empty recordings have none."""
+def _feature_batches(batches: Iterator[pa.RecordBatch], seconds: int, bands: int, padded: bool) -> Iterator[pa.RecordBatch]:
+    """Of (key, bytes or samples): (k, part, n, f), whole windows, in batches of about HELD_BYTES."""
+
+    def handed(keys: pa.Array, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        at, parts, made = zip(*rows, strict=True)
+        ends = np.cumsum([0, *[f.size for f in made]], dtype=np.int32)
+        columns = [keys.take(pa.array(at)), pa.array(parts, pa.int32()), pa.array([len(f) for f in made], pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate([f.ravel() for f in made]))]
+        return pa.RecordBatch.from_arrays(columns, names=["k", "part", "n", "f"])
+
+    for batch in batches:
+        keys, audio = batch.columns
+        raw = pa.types.is_binary(audio.type) or pa.types.is_large_binary(audio.type)
+        rows, held = [], 0
+        for i, x in enumerate(audio):
+            if not x.is_valid:
+                continue
+            for part, w in enumerate(windows(np.frombuffer(x.as_buffer(), np.uint8) if raw else x.values.to_numpy(zero_copy_only=False), seconds)):
+                rows.append((i, part, log_mel(_decoded(w) if raw else w, seconds, bands, padded)))
+                held += rows[-1][2].nbytes
+                if held >= HELD_BYTES:
+                    yield handed(keys, rows)
+                    rows, held = [], 0
+        if rows:
+            yield handed(keys, rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, x in zip(pdf["k"], pdf["x"], strict=True):
-                parts = [log_mel(w, seconds, bands, padded) for w in windows(np.empty(0) if x is None else np.asarray(x), seconds)]
-                if parts:
-                    yield pd.DataFrame({"k": [k] * len(parts), "part": range(len(parts)), "n": [len(p) for p in parts], "f": [p.ravel() for p in parts]})
 
+def features(audio: DataFrame, key: str, samples: str, seconds: int = SECONDS, bands: int = MELS, padded: bool = True) -> DataFrame:
+    """(key, part, n_frames, features): a row for each ``seconds`` of a recording, features by frame, then band. Null and empty recordings have none.
+
+    ``samples`` is an array of samples, or bytes that are samples of 8 bits as for ``pcm``: a quarter of the array's memory.
+    """
     kind = audio.select(key).dtypes[0][1]
-    out = audio.select(F.col(key).alias("k"), F.col(samples).alias("x")).mapInPandas(run, f"k {kind}, part int, n int, f array<float>")
+    run = lambda batches: _feature_batches(batches, seconds, bands, padded)
+    out = audio.select(F.col(key).alias("k"), F.col(samples).alias("x")).mapInArrow(run, f"k {kind}, part int, n int, f array<float>")
     return out.select(F.col("k").alias(key), "part", F.col("n").alias("n_frames"), F.col("f").alias("features"))
 
 

@@ -744,19 +744,18 @@ def q_transcripts_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- audio: the bytes of texts as samples ----------------------------------------------------------------------------
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _spread(spark, sf_dir, "documents", "doc_id", "text")
-    return d.select("doc_id", audio.pcm(F.coalesce("text", F.lit("")).cast("binary")).alias("samples"))
+def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
 
 
 def q_log_mel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the whole bytes of each text, a row for each thirty seconds; frames of silence behind the end are left out."""
-    return audio.features(_samples(spark, sf_dir), "doc_id", "samples", padded=False)
+    return audio.features(_bytes(spark, sf_dir), "doc_id", "bytes", padded=False)
 
 
 def q_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes taken as samples at 22,050 a second, at 16,000 afterwards."""
-    return _samples(spark, sf_dir).select("doc_id", F.size(audio.resampled_column(F.col("samples"), 22_050)).cast("long").alias("n_samples"))
+    return _bytes(spark, sf_dir).select("doc_id", F.size(audio.resampled_column(audio.pcm(F.col("bytes")), 22_050)).cast("long").alias("n_samples"))
 
 
 OVERLAP = (400, 24, 3)
