@@ -64,3 +64,21 @@ def test_error_samples_name_the_lines(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text("".join(json.dumps({"prediction": p, "reference": r}) + "\n" for p, r in rows), encoding="utf-8")
     got = run(spark, parser().parse_args(["errors", "--input", str(tmp_path / "p.jsonl")])).collect()
     assert [(r.idx, r.error_type) for r in got] == [(3, "SUBSTITUTION_OOV"), (6, "CODE_MIX")]
+
+
+def test_transcript_files_do_not_grow_with_the_conversations(spark, tmp_path, monkeypatch):
+    """Files and folders follow the characters, half the files are broken, and what is read back are all turns."""
+    from varnaflow.plans import catalog
+    from varnaflow.sources import files
+
+    turns = spark.range(9000).select((F.col("id") / 3).cast("long").alias("conv_id"), (F.col("id") % 3).alias("turn"), F.when(F.col("id") % 9 > 0, F.concat(F.lit('क "[]\n'), F.col("id").cast("string"))).alias("text"))
+    turns = turns.union(spark.createDataFrame([(None, None, "x"), (None, 2, None)], "conv_id long, turn long, text string"))
+    for name, table, chars, least, most in (("one", turns, 1 << 20, 2, 2), ("many", turns, 10_000, 60, 160), ("none", turns.limit(0), 1 << 20, 0, 1)):
+        table.write.parquet(str(tmp_path / name / "conversations.parquet"))
+        monkeypatch.setattr(catalog, "FILE_CHARS", chars)
+        monkeypatch.setattr(files, "shared_folder", lambda spark, kind, at=str(tmp_path / name / "files"): at)
+        got = catalog.q_transcripts_roundtrip(spark, str(tmp_path / name)).collect()
+        made = [x for x in (tmp_path / name / "files").rglob("part-*")]
+        assert least <= len(made) <= most and {x.parent for x in made} <= {tmp_path / name / "files"}
+        want = table.select(F.col("turn").cast("double").alias("start"), F.when(F.col("turn") % 2 == 0, F.coalesce("text", F.lit(""))).otherwise("").alias("text")).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))

@@ -666,14 +666,19 @@ def q_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.hindi_only(files.read_index(spark, path))
 
 
+#: Characters of the turns that one transcript file holds, about.
+FILE_CHARS = 1 << 20
+
+
 def q_transcripts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as files of one JSON array each, and as many broken ones: utterances of the whole files only."""
+    """Conversations as files of one JSON array each, some hundred whole conversations a file, and as many broken files: utterances of the whole files only."""
     path = files.shared_folder(spark, "files")
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    chars = c.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64)).first()[0] or 0
     u = F.to_json(F.collect_list(F.struct(F.col("turn").cast("double").alias("start"), F.when(F.col("turn") % 2 == 0, F.col("text")).alias("text"))))
-    one = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(u.alias("value"))
-    both = one.select(F.col("conv_id").alias("part"), "value").union(one.select((-F.col("conv_id") - 1).alias("part"), F.expr("left(value, length(value) - 1)")))
-    both.write.partitionBy("part").text(path)
-    return files.read_transcripts(spark, f"{path}/*/*.txt").select("start", "text")
+    one = c.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(chars // FILE_CHARS + 1)).alias("file")).agg(u.alias("value"))
+    files.write_arrays(one.select(F.explode(F.array("value", F.expr("left(value, length(value) - 1)"))).alias("value")), path)
+    return files.read_transcripts(spark, path).select("start", "text")
 
 
 def q_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

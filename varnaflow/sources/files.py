@@ -52,6 +52,11 @@ def _arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return whole.select("file", F.inline(F.from_json("value", ArrayType(StructType.fromDDL(schema)))))
 
 
+def write_arrays(rows: DataFrame, path: str) -> None:
+    """A file in one folder for each ``value``, a JSON array. Who reads them lists them in the driver, so many small arrays belong into one."""
+    rows.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Landed transcript files (a JSON array each); files that are broken or gone are empty."""
     return _arrays(spark, path, SEGMENTS).withColumn("text", F.coalesce("text", F.lit("")))
